@@ -10,10 +10,10 @@ from dataclasses import dataclass, field
 
 # White space, digits and the CJK block spelt as classes, so that they mean the same
 # with and without the Unicode flag.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒]"
-CJK = r"[一-鿿]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+CJK = r"[\x{4e00}-\x{9fff}]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,10 @@ class TextProfile:
     stop_marks: tuple[str, ...] = ("。", "：", "；")
     list_heading: str = r"^[一二三四五六七八九十]+、"
     bracket_heading: str = r"^\(?[一二三四五六七八九十]+\)?"
-    caption: str = r"^(表|图|专栏)\s*\d+"
-    table_caption: str = r"^(表|图)\s*\d+"
-    source_note: str = r"^(数据来源|资料来源|来源|注|说明)\s*[：:]"
-    unit_note: str = r"^单位\s*[：:]"
+    caption: str = rf"^(表|图|专栏){SPACE}*\p{{Nd}}+"
+    table_caption: str = rf"^(表|图){SPACE}*\p{{Nd}}+"
+    source_note: str = rf"^(数据来源|资料来源|来源|注|说明){SPACE}*[：:]"
+    unit_note: str = rf"^单位{SPACE}*[：:]"
     table_words: tuple[str, ...] = ("表", "图", "专栏")
     note_words: tuple[str, ...] = ("来源", "注")
     narrative: str = (
@@ -77,10 +77,10 @@ LATIN = TextProfile(
     stop_marks=(".", ":", ";"),
     list_heading=r"^[IVX]+\.",
     bracket_heading=r"^\([a-z]\)",
-    caption=r"^(Table|Figure|Box)\s*\d+",
-    table_caption=r"^(Table|Figure)\s*\d+",
-    source_note=r"^(Source|Note)\s*:",
-    unit_note=r"^Unit\s*:",
+    caption=rf"^(Table|Figure|Box){SPACE}*\p{{Nd}}+",
+    table_caption=rf"^(Table|Figure){SPACE}*\p{{Nd}}+",
+    source_note=rf"^(Source|Note){SPACE}*:",
+    unit_note=rf"^Unit{SPACE}*:",
     table_words=("Table", "Figure", "Box"),
     note_words=("Source", "Note"),
     narrative="(the|of|and|de|la|der|que)",

@@ -17,7 +17,7 @@ def require_columns(df: DataFrame, columns: Iterable[str], name: str = "input")
 
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Trim and lower-case every header, dropping a byte-order mark."""
-    return df.toDF(*[c.lstrip("﻿").strip().lower() for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip().lower() for c in df.columns])
 
 
 def column_containing(df: DataFrame, keywords: Iterable[str]) -> str | None:

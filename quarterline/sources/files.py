@@ -32,7 +32,7 @@ def scan_csv(
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", True)
     df = reader.csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def scan_words(
