@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarterline.profiles import NULL_MARKS, SOURCE_NOTE, SPACE, UNIT_ROW
 
-# ---- Fixed values: quarter numerals -------------------------------------------------
+# ---- Fixed values: number format and quarter numerals -------------------------------------------------
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 QUARTER_NUMERALS = {"一": 1, "二": 2, "三": 3, "四": 4}
 
 
@@ -26,7 +27,8 @@ def no_nan(col: Column) -> Column:
 def to_number(col: Column, null_marks: Sequence[str] = NULL_MARKS) -> Column:
     """Number or NULL; the null marks and anything unreadable become NULL."""
     text = strip(col.cast("string"))
-    return no_nan(F.when(~text.isin(*null_marks), text).try_cast("double"))
+    readable = ~text.isin(*null_marks) & text.rlike(NUMBER)
+    return F.when(readable, text).try_cast("double")
 
 
 def to_day(col: Column, fmt: str | None = None) -> Column:

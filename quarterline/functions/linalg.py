@@ -7,6 +7,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ARRAY = T.ArrayType(T.DoubleType())
 
 
 def _square(flat) -> np.ndarray:
@@ -15,7 +18,7 @@ def _square(flat) -> np.ndarray:
     return a.reshape(k, k)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ARRAY)
 def inverse(flat: pd.Series) -> pd.Series:
     """Row-major inverse of a row-major square matrix; NULL when it is singular."""
 
@@ -36,7 +39,7 @@ def inverse(flat: pd.Series) -> pd.Series:
     return flat.map(one)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ARRAY)
 def sandwich_se(inv: pd.Series, meat: pd.Series) -> pd.Series:
     """Square roots of the diagonal of inv * meat * inv."""
 
@@ -49,7 +52,7 @@ def sandwich_se(inv: pd.Series, meat: pd.Series) -> pd.Series:
     return pd.Series([one(a, s) for a, s in zip(inv, meat)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ARRAY)
 def nested_rss(gram: pd.Series, sizes: pd.Series) -> pd.Series:
     """Residual sums of squares of nested models from one Gram matrix whose last row and
     column belong to the response; ``sizes`` lists how many leading regressors each uses."""
@@ -102,7 +105,7 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(np.where(swap, mirrored, direct), 0.0, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & df.notna() & (df > 0)
     out = pd.Series(np.nan, index=t.index)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterline.functions.coerce import strip
 
@@ -60,7 +61,7 @@ def segmenter(words: Sequence[str]):
             i = j
         return out
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def segment(text: pd.Series) -> pd.Series:
         return text.map(cut)
 

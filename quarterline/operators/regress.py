@@ -81,6 +81,14 @@ def with_residuals(
     return rows.withColumn(out, F.col(y).cast("double") - fitted).drop("__b")
 
 
+def _beside(model: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Model rows with the sums of the same key; one row needs no join."""
+    if keys:
+        return model.join(sums, list(keys), "left")
+    packed = sums.select(F.struct(*sums.columns).alias("s")).scalar()
+    return model.withColumn("__s", packed).select(*model.columns, "__s.*")
+
+
 def _summary(
     model: DataFrame, resid: DataFrame, xs: Sequence[str], keys: Sequence[str], meat: Column,
     correct: bool,
@@ -90,7 +98,7 @@ def _summary(
     sums = resid.groupBy(*keys).agg(
         F.sum(F.col("resid") * F.col("resid")).alias("rss"), meat.alias("meat")
     )
-    both = model.join(sums, list(keys), "left") if keys else model.crossJoin(F.broadcast(sums))
+    both = _beside(model, sums, keys)
     free = F.col("n") - k
     se = linalg.sandwich_se("inv", "meat")
     factor = F.sqrt(F.col("n") / free) if correct else F.lit(1.0)
@@ -231,7 +239,7 @@ def residual_shocks(
         F.sum(F.col("shock_raw") * F.col("shock_raw")).alias("rss"),
         F.sum(F.col("__d") * F.col("__d")).alias("dd"),
     )
-    both = model.join(stats, list(keys)) if keys else model.crossJoin(F.broadcast(stats))
+    both = _beside(model, stats, keys)
     report = both.select(
         *keys,
         F.col("n").alias("n_used"),

@@ -18,6 +18,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Let the session read charsets beyond the Unicode family, such as GBK."""
+    if not encoding.upper().startswith(("UTF", "ISO-8859-1", "US-ASCII")):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def scan_csv(
     spark: SparkSession,
     path: str,
@@ -28,6 +34,7 @@ def scan_csv(
 
     Without a schema every column is read as a string; no pass is spent on inference.
     """
+    allow_charset(spark, encoding)
     reader = spark.read.option("header", True).option("encoding", encoding)
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", True)
