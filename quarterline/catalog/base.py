@@ -37,6 +37,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table for CPU-heavy work.
+
+    A small file is one row group and so one task; it is spread over the cores. A table with
+    at least as many splits as cores is read as it is, without a shuffle.
+    """
+    df = table(spark, sf, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(df: DataFrame, *columns: str) -> DataFrame:
     """Round double columns (all of them by default) to six digits."""
     names = columns or [n for n, t in df.dtypes if t == "double"]
@@ -61,7 +72,7 @@ DOC_PERIOD = """
 # ---- sentences of the documents ------------------------------------------------------
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     """``id, doc_id, report_id, lang, sent_no, text, year, quarter`` of all documents."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id", "source", "lang", "text")
     parts = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
     rows = docs.select(
         "doc_id", F.col("source").alias("report_id"), "lang",

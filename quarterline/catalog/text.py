@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quarterline.catalog.base import (
     DIGITS, ND, NOT_SP, SENTENCES, SP, count_sql, lines_sql, normal_sql, query, r6, sentences,
-    strip_sql, table,
+    strip_sql, table, texts,
 )
 from quarterline.functions import text as tx
 from quarterline.operators import textprep as tp
@@ -26,7 +26,7 @@ def report_pages(spark, sf):
         .otherwise(F.col("text"))
     )
     headed = F.when(i % 5 != 0, F.concat(F.lit("Report "), "source", F.lit("\n"), body)).otherwise(body)
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "source", "text").select(
         F.col("source").alias("report_id"), i.alias("page_no"), headed.alias("text")
     )
 
@@ -227,7 +227,7 @@ def clean_section_lines(spark, sf):
 def source_lines(spark, sf):
     """Every source is one section whose lines run over its documents."""
     parts = F.split("text", "\n")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "source", "text").select(
         F.col("source").alias("report_id"),
         F.lit("S1").alias("section"),
         F.lit("S1").alias("section_title"),

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterline.profiles import NULL_MARKS, SOURCE_NOTE, SPACE, UNIT_ROW
+from quarterline.profiles import NULL_MARKS, SOURCE_NOTE, SPACE_CHARS, UNIT_ROW
 
 # ---- Fixed values: number format and quarter numerals -------------------------------------------------
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -16,7 +16,7 @@ QUARTER_NUMERALS = {"一": 1, "二": 2, "三": 3, "四": 4}
 
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def no_nan(col: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarterline.functions.coerce import quarter_index
-from quarterline.functions.text import count_of
+from quarterline.functions.text import count_chars
 from quarterline.profiles import ZH, TextProfile
 
 PERIOD = ("year", "quarter")
@@ -34,7 +34,7 @@ def document_rollup(
     out = sentences.groupBy(*keys).agg(
         F.sum(F.length(F.replace(text, F.lit(" "), F.lit("")))).alias("total_chars"),
         F.count("*").alias("n_rows"),
-        (F.sum(count_of(text, marks)) + gaps).alias("n_marks"),
+        (F.sum(count_chars(text, marks)) + gaps).alias("n_marks"),
     )
     return out.withColumn("n_marks", F.when(F.col("n_marks") > 0, F.col("n_marks")).otherwise(F.col("n_rows")))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.functions.coerce import strip
-from quarterline.functions.text import count_of
+from quarterline.functions.text import contains_any, count_chars, let
 from quarterline.profiles import DIGIT, ZH_COUNT, ZH_TONE, CountProfile, ToneProfile
 
 MAX_WORDS = 50_000
@@ -53,7 +53,7 @@ def supplement_lexicon(
 
 
 def digit_share(text: Column) -> Column:
-    return count_of(text, DIGIT) / F.length(text)
+    return count_chars(text, DIGIT) / F.length(text)
 
 
 def valid_unit(text: Column, tokens: Column, max_share: float = ZH_TONE.max_digit_share) -> Column:
@@ -101,20 +101,17 @@ def with_weights(
 def anchors(tokens: str = "tokens", weights: str = "weights") -> Column:
     """Array of ``(pos, word, weight, prev)`` for the listed tokens; ``prev`` is the position
     of the listed token before, or -1."""
-    hits = F.filter(
-        F.transform(
-            tokens,
-            lambda t, i: F.struct(
-                i.alias("pos"), t.alias("word"), F.get(weights, i).cast("double").alias("weight")
-            ),
+    pairs = F.arrays_zip(F.col(tokens).alias("word"), F.col(weights).alias("weight"))
+    placed = F.transform(
+        pairs,
+        lambda z, i: F.struct(
+            i.alias("pos"), z["word"].alias("word"), z["weight"].cast("double").alias("weight")
         ),
-        lambda a: a["weight"].isNotNull(),
     )
-    return F.transform(
-        hits,
-        lambda a, k: a.withField(
-            "prev", F.when(k > 0, F.get(hits, k - 1)["pos"]).otherwise(F.lit(-1))
-        ),
+    hits = F.filter(placed, lambda a: a["weight"].isNotNull())
+    before = lambda h, k: F.when(k > 0, F.get(h, k - 1)["pos"]).otherwise(F.lit(-1))
+    return let(
+        hits, lambda h: F.transform(h, lambda a, k: a.withField("prev", before(h, k)))
     )
 
 
@@ -136,17 +133,10 @@ def topic_weight(anchor: Column, on_topic: Column, p: ToneProfile) -> Column:
 def context_weight(anchor: Column, weight: Column, tokens: Column, p: ToneProfile) -> Column:
     """A positive rise word after a bad-context word (by substring) counts -1."""
     near = _window(tokens, anchor["pos"] - p.context_window, anchor["pos"])
-    bad = F.exists(near, lambda w: _contains_any(w, p.bad_context))
+    bad = F.exists(near, lambda w: contains_any(w, p.bad_context))
     return F.when((weight == 1) & anchor["word"].isin(*p.volume_up) & bad, F.lit(-1.0)).otherwise(weight)
 
 
-def _contains_any(col: Column, words: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | col.contains(w)
-    return hit
-
-
 def attenuated_weight(anchor: Column, weight: Column, tokens: Column, p: ToneProfile) -> Column:
     """A negative word near an improvement word keeps half its weight."""
     pos = anchor["pos"]
@@ -166,15 +156,12 @@ def negation_count(anchor: Column, tokens: Column, p: ToneProfile) -> Column:
 
 def scored_anchors(p: ToneProfile, tokens: str = "tokens", anchors_col: str = "anchors") -> Column:
     """Anchors with each step's weight: ``topic, context, attenuated, negations, final``."""
-    toks = F.col(tokens)
-    on_topic = F.exists(toks, lambda w: w.isin(*p.price_topic))
 
-    def score(a: Column) -> Column:
+    def score(a: Column, toks: Column, on_topic: Column) -> Column:
         topic = topic_weight(a, on_topic, p)
         context = context_weight(a, topic, toks, p)
         softened = attenuated_weight(a, context, toks, p)
         n = negation_count(a, toks, p)
-        final = F.when(n % 2 == 1, -softened).otherwise(softened)
         return F.struct(
             a["pos"].alias("pos"),
             a["word"].alias("word"),
@@ -183,10 +170,17 @@ def scored_anchors(p: ToneProfile, tokens: str = "tokens", anchors_col: str = "a
             context.alias("context"),
             softened.alias("attenuated"),
             n.alias("negations"),
-            final.alias("final"),
+            F.when(n % 2 == 1, -softened).otherwise(softened).alias("final"),
         )
 
-    return F.transform(anchors_col, score)
+    def sentence(x: Column) -> Column:
+        topical = F.exists(x["toks"], lambda w: w.isin(*p.price_topic))
+        return let(
+            topical,
+            lambda on: F.transform(x["hits"], lambda a: score(a, x["toks"], on)),
+        )
+
+    return let(F.struct(F.col(tokens).alias("toks"), F.col(anchors_col).alias("hits")), sentence)
 
 
 def dict_tone(
@@ -213,10 +207,14 @@ def pos_neg_net(
     A listed token right after a negator counts for the other side; each reversal phrase
     in the text adds one positive; shares are over tokens that are not stopwords.
     """
-    word = F.transform("tokens", strip)
+    paired = let(
+        F.transform("tokens", strip),
+        lambda ws: F.transform(
+            ws, lambda w, i: F.struct(w.alias("w"), F.get(ws, i - 1).alias("before"))
+        ),
+    )
     counted = F.filter(
-        F.transform(word, lambda w, i: F.struct(w.alias("w"), F.get(word, i - 1).alias("before"))),
-        lambda x: (x["w"] != "") & ~x["w"].isin(*profile.stopwords),
+        paired, lambda x: (x["w"] != "") & ~x["w"].isin(*profile.stopwords)
     )
     df = df.withColumn("__c", counted)
 
@@ -244,7 +242,7 @@ def pos_neg_net(
             "Pos": F.when(empty, zero).otherwise(pos),
             "Neg": F.when(empty, zero).otherwise(neg),
             "is_numeric": F.when(
-                ~empty & (count_of(text, DIGIT) / F.length(text) > profile.numeric_share), 1
+                ~empty & (count_chars(text, DIGIT) / F.length(text) > profile.numeric_share), 1
             ).otherwise(0),
         }
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarterline.functions import text as tx
 from quarterline.functions.ranks import ordered_offsets, running_last, running_sum
-from quarterline.profiles import SPACE, ZH, TextProfile
+from quarterline.profiles import ZH, TextProfile
 
 PAGE_CHUNK = 256
 
@@ -140,9 +140,9 @@ def split_sentences(
     sentence_no, text``. The mark stays with its sentence; lines join with one space."""
     marks = f"[{profile.sentence_end}]"
     section = ["report_id", "section", "section_title", "section_rank"]
-    flat = F.regexp_replace("line", f"{SPACE}+", " ")
+    plain = F.regexp_replace(tx.flat(F.col("line")), " {2,}", " ")
     counted = running_sum(
-        lines.withColumn("line", flat),
+        lines.withColumn("line", plain),
         section,
         "page_no",
         tx.count_of(F.col("line"), marks),

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# White space, digits and the CJK block spelt as classes, so that they mean the same
-# with and without the Unicode flag.
-SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space and line breaks as Unicode text has them. Operators first turn every such
+# character into a plain space (or newline), so that patterns need only those.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    + chr(0x1680)
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+)
+BREAK_CHARS = "\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029)
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒]"
 CJK = r"[\x{4e00}-\x{9fff}]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = "\r\n|[\n\r]"
 
 
 @dataclass(frozen=True)
@@ -36,10 +42,10 @@ class TextProfile:
     stop_marks: tuple[str, ...] = ("。", "：", "；")
     list_heading: str = r"^[一二三四五六七八九十]+、"
     bracket_heading: str = r"^\(?[一二三四五六七八九十]+\)?"
-    caption: str = rf"^(表|图|专栏){SPACE}*\p{{Nd}}+"
-    table_caption: str = rf"^(表|图){SPACE}*\p{{Nd}}+"
-    source_note: str = rf"^(数据来源|资料来源|来源|注|说明){SPACE}*[：:]"
-    unit_note: str = rf"^单位{SPACE}*[：:]"
+    caption: str = rf"^(表|图|专栏) *\p{{Nd}}+"
+    table_caption: str = rf"^(表|图) *\p{{Nd}}+"
+    source_note: str = rf"^(数据来源|资料来源|来源|注|说明) *[：:]"
+    unit_note: str = rf"^单位 *[：:]"
     table_words: tuple[str, ...] = ("表", "图", "专栏")
     note_words: tuple[str, ...] = ("来源", "注")
     narrative: str = (
@@ -77,10 +83,10 @@ LATIN = TextProfile(
     stop_marks=(".", ":", ";"),
     list_heading=r"^[IVX]+\.",
     bracket_heading=r"^\([a-z]\)",
-    caption=rf"^(Table|Figure|Box){SPACE}*\p{{Nd}}+",
-    table_caption=rf"^(Table|Figure){SPACE}*\p{{Nd}}+",
-    source_note=rf"^(Source|Note){SPACE}*:",
-    unit_note=rf"^Unit{SPACE}*:",
+    caption=rf"^(Table|Figure|Box) *\p{{Nd}}+",
+    table_caption=rf"^(Table|Figure) *\p{{Nd}}+",
+    source_note=rf"^(Source|Note) *:",
+    unit_note=rf"^Unit *:",
     table_words=("Table", "Figure", "Box"),
     note_words=("Source", "Note"),
     narrative="(the|of|and|de|la|der|que)",

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.profiles import FALLBACK_STOPWORDS, SPACE
+from quarterline.functions.coerce import strip
+from quarterline.profiles import FALLBACK_STOPWORDS
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -57,8 +58,7 @@ def scan_words(
 
 def distinct_words(df: DataFrame, column: str) -> DataFrame:
     """Trimmed, non-empty, distinct values of a string column as ``word``."""
-    trimmed = F.regexp_replace(column, f"^{SPACE}+|{SPACE}+$", "")
-    return df.select(trimmed.alias("word")).where("word <> ''").distinct()
+    return df.select(strip(F.col(column)).alias("word")).where("word <> ''").distinct()
 
 
 def scan_documents(spark: SparkSession, directory: str, glob: str = "*.txt") -> DataFrame:
