@@ -2,3 +2,4 @@
 
 from quarterline.catalog import ingest  # noqa: F401
 from quarterline.catalog import text  # noqa: F401
+from quarterline.catalog import lexicon, tone  # noqa: F401
