@@ -30,14 +30,13 @@ def zscore(
         moment = {c: (F.col(f"__m_{c}"), F.col(f"__s_{c}")) for c in columns}
     else:
         stats = df.agg(*parts)
-        moment = {
-            c: (stats.select(f"__m_{c}").scalar(), stats.select(f"__s_{c}").scalar())
-            for c in columns
-        }
+        # one subquery holds all moments
+        df = df.withColumn("__stats", stats.select(F.struct(*stats.columns)).scalar())
+        moment = {c: (F.col(f"__stats.__m_{c}"), F.col(f"__stats.__s_{c}")) for c in columns}
     scored = {}
     for c in columns:
         mean, dev = moment[c]
         usable = dev.isNotNull() & (dev != 0)
         scored[c + suffix] = F.when(usable, (F.col(c) - mean) / dev).otherwise(F.lit(0.0))
     df = df.withColumns(scored)
-    return df.drop(*[f"__m_{c}" for c in columns], *[f"__s_{c}" for c in columns])
+    return df.drop("__stats", *[f"__m_{c}" for c in columns], *[f"__s_{c}" for c in columns])

@@ -115,12 +115,18 @@ def _next_days(calendar: DataFrame, strict: bool) -> DataFrame:
     return step.where("mapped IS NOT NULL").select(F.explode(span).alias("__day"), "mapped")
 
 
+def _ends(calendar: DataFrame) -> tuple[Column, Column]:
+    """First and last calendar day, both from one subquery."""
+    ends = calendar.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last")).alias("e"))
+    both = ends.scalar()
+    return both["first"], both["last"]
+
+
 def _map_to_calendar(
     events: DataFrame, calendar: DataFrame, date: str, out: str, strict: bool
 ) -> DataFrame:
     days = calendar.select("date").where("date IS NOT NULL").distinct()
-    ends = days.agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    first, last = ends.select("first").scalar(), ends.select("last").scalar()
+    first, last = _ends(days)
     lookup = F.broadcast(_next_days(days, strict))
     joined = events.join(lookup, events[date] == F.col("__day"), "left")
     day = F.col(date)
@@ -193,9 +199,9 @@ def dedup_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def within_sample(events: DataFrame, calendar: DataFrame, date: str, upper: bool = True) -> DataFrame:
     """Events between the first and last calendar day, both included."""
-    ends = calendar.agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    kept = events.where(F.col(date) >= ends.select("first").scalar())
-    return kept.where(F.col(date) <= ends.select("last").scalar()) if upper else kept
+    first, last = _ends(calendar)
+    kept = events.where(F.col(date) >= first)
+    return kept.where(F.col(date) <= last) if upper else kept
 
 
 def aggregate_mapped(
