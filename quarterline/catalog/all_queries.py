@@ -4,3 +4,4 @@ from quarterline.catalog import ingest  # noqa: F401
 from quarterline.catalog import text  # noqa: F401
 from quarterline.catalog import lexicon, tone  # noqa: F401
 from quarterline.catalog import corpus, events, series  # noqa: F401
+from quarterline.catalog import regress, weak  # noqa: F401

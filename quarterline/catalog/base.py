@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarterline.functions.text import add_once
 from quarterline.functions.tokens import latin_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +101,7 @@ sents AS (
 
 def tokenised(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences with their lower-case a-z words."""
-    return sentences(spark, sf).withColumn("tokens", latin_tokens(F.col("text")))
+    return add_once(sentences(spark, sf), {"tokens": latin_tokens(F.col("text"))})
 
 
 TOKENISED = (

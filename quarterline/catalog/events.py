@@ -135,7 +135,7 @@ def asof_strict_next(spark, sf):
 
 @query(
     "centered_change",
-    f"""WITH {LEVELS}, s AS (SELECT date, value / 3e4 AS value FROM levels WHERE series = 'F'),
+    f"""WITH {LEVELS}, s AS (SELECT date, value / 31415.93e0 AS value FROM levels WHERE series = 'F'),
 steps AS (SELECT date, lead(value) OVER (ORDER BY date) - lag(value) OVER (ORDER BY date) AS step FROM s),
 d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS event_date FROM lineitem),
 m AS (SELECT event_date, coalesce((SELECT min(date) FROM s WHERE date >= event_date), (SELECT max(date) FROM s)) AS date_used FROM d)
@@ -143,7 +143,7 @@ SELECT event_date, date_used, round(coalesce(step, 0), 6) + 0e0 AS "S_policy", C
 FROM m JOIN steps ON date = date_used""",
 )
 def centered_change(spark, sf):
-    series = levels(spark, sf).where("series = 'F'").select("date", (F.col("value") / 30000).alias("value"))
+    series = levels(spark, sf).where("series = 'F'").select("date", (F.col("value") / 31415.93).alias("value"))
     days = shipments(spark, sf).select("event_date").distinct()
     return r6(ev.centered_change(days, series))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarterline.catalog.base import (
-    DIGITS, SCORED, SENTENCES, TOKENISED, count_sql, query, r6, scored, sentences, strip_sql, texts,
+    DIGITS, SCORED, TOKENISED, count_sql, query, r6, scored, texts,
     tokenised,
 )
 from quarterline.functions.tokens import latin_tokens

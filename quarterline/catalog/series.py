@@ -67,13 +67,13 @@ def daily_controls(spark, sf):
 
 @query(
     "diff_logret_spread",
-    f"""WITH {LEVELS}, w AS (SELECT series, date, value / 3e4 AS v FROM levels)
+    f"""WITH {LEVELS}, w AS (SELECT series, date, value / 31415.93e0 AS v FROM levels)
 SELECT series, date, round(v - lag(v) OVER s, 6) + 0e0 AS diff, round(ln(v / lag(v) OVER s), 6) + 0e0 AS ret,
        round(v - 2 * v, 6) AS spread, CAST(NULL AS DOUBLE) AS absent FROM w WINDOW s AS (PARTITION BY series ORDER BY date)""",
 )
 def diff_logret_spread(spark, sf):
     rows = levels(spark, sf).select(
-        "series", "date", (F.col("value") / 30000).alias("v"), (F.col("value") / 15000).alias("u")
+        "series", "date", (F.col("value") / 31415.93).alias("v"), (2 * F.col("value") / 31415.93).alias("u")
     )
     out = sr.add_changes(
         rows, {"diff": "v"}, {"ret": "v"}, {"spread": ("v", "u"), "absent": ("v", "nope")}, by=["series"]
@@ -167,12 +167,12 @@ _H = (0, 1, 5, 10)
 
 @query(
     "forward_cumulative",
-    f"""WITH {GAPPY}, v AS (SELECT series, date, CASE WHEN year(date) % 2 = 0 THEN value ELSE coalesce(value, 1e5) END / 3e6 AS v FROM gappy)
+    f"""WITH {GAPPY}, v AS (SELECT series, date, CASE WHEN year(date) % 2 = 0 THEN value ELSE coalesce(value, 1e5) END / 3141593e0 AS v FROM gappy)
 SELECT series, date, {', '.join(f'CASE WHEN count(v) OVER w{h} = {h + 1} THEN round(sum(v) OVER w{h}, 6) END AS cum_{h}' for h in _H)}
 FROM v WINDOW {', '.join(f'w{h} AS (PARTITION BY series ORDER BY date ROWS BETWEEN CURRENT ROW AND {h} FOLLOWING)' for h in _H)}""",
 )
 def forward_cumulative(spark, sf):
     even = F.year("date") % 2 == 0
-    v = F.when(even, F.col("value")).otherwise(F.coalesce("value", F.lit(1e5))) / 3e6
+    v = F.when(even, F.col("value")).otherwise(F.coalesce("value", F.lit(1e5))) / 3141593.0
     rows = gappy(spark, sf).select("series", "date", v.alias("v"))
     return r6(sr.forward_cumulative(rows, "v", _H, by=["series"]).drop("v"))

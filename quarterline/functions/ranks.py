@@ -52,13 +52,13 @@ def ranked_values(
     bucketed = with_value_bucket(kept, "value", "b", buckets)
     counts = bucketed.groupBy(*keys, "b", "value").agg(F.count("*").alias("c"))
     inside = W.partitionBy(*keys, "b").orderBy("value")
-    counts = counts.withColumn("before", F.sum("c").over(inside) - F.col("c"))
+    placed = counts.withColumn("before", F.sum("c").over(inside) - F.col("c"))
     if buckets <= 1:
         whole = W.partitionBy(*keys, "b")
-        return counts.select(
+        return placed.select(
             *keys, "value", "c", F.col("before").alias("start"), F.sum("c").over(whole).alias("n")
         )
-    totals = bucketed.groupBy(*keys, "b").agg(F.count("*").alias("bc"))
+    totals = counts.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
     along, all_of = W.partitionBy(*keys).orderBy("b"), W.partitionBy(*keys)
     totals = totals.select(
         *keys,
@@ -66,7 +66,7 @@ def ranked_values(
         (F.sum("bc").over(along) - F.col("bc")).alias("offset"),
         F.sum("bc").over(all_of).alias("n"),
     )
-    return counts.join(totals, [*keys, "b"]).select(
+    return placed.join(totals, [*keys, "b"]).select(
         *keys, "value", "c", (F.col("before") + F.col("offset")).alias("start"), "n"
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.functions.coerce import strip
@@ -63,6 +63,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def add_once(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    The columns come out of a generator, which filters on them are not pushed through; a
+    plain derived column would be computed again inside every such filter.
+    """
+    row = F.struct(*[c.alias(name) for name, c in fields.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def flat(col: Column) -> Column:
     """Every kind of white space becomes a plain space, one for one."""
     return F.translate(col, SPACE_CHARS, " " * len(SPACE_CHARS))

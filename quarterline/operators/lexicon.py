@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.functions.coerce import strip
-from quarterline.functions.text import contains_any, count_chars, let
+from quarterline.functions.text import add_once, contains_any, count_chars, let
 from quarterline.profiles import DIGIT, ZH_COUNT, ZH_TONE, CountProfile, ToneProfile
 
 MAX_WORDS = 50_000
@@ -188,12 +188,12 @@ def dict_tone(
     limit: int = MAX_WORDS,
 ) -> DataFrame:
     """Add ``scored`` (anchors with weights), ``dict_tone`` and ``is_valid_unit``."""
-    df = with_weights(df, lexicon, ident, limit=limit)
-    df = df.withColumn("anchors", anchors()).withColumn("scored", scored_anchors(profile))
+    df = add_once(with_weights(df, lexicon, ident, limit=limit), {"anchors": anchors()})
+    df = add_once(df.drop("weights"), {"scored": scored_anchors(profile)})
     total = F.aggregate("scored", F.lit(0.0), lambda acc, a: acc + a["final"])
     valid = valid_unit(F.col("text"), F.col("tokens"), profile.max_digit_share)
     tone = F.when((valid == 1) & (F.size("scored") > 0), total / F.size("tokens")).otherwise(0.0)
-    return df.withColumns({"dict_tone": tone, "is_valid_unit": valid}).drop("weights", "anchors")
+    return add_once(df.drop("anchors"), {"dict_tone": tone, "is_valid_unit": valid})
 
 
 def pos_neg_net(
@@ -216,7 +216,7 @@ def pos_neg_net(
     counted = F.filter(
         paired, lambda x: (x["w"] != "") & ~x["w"].isin(*profile.stopwords)
     )
-    df = df.withColumn("__c", counted)
+    df = add_once(df, {"__c": counted})
 
     def count_side(is_positive_side: bool) -> Column:
         def hit(x: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarterline.functions import text as tx
 from quarterline.functions.ranks import ordered_offsets, running_last, running_sum
 from quarterline.profiles import ZH, TextProfile
+from quarterline.session import checkpoint
 
 PAGE_CHUNK = 256
 
@@ -65,16 +66,14 @@ def clean_pages(pages: DataFrame, profile: TextProfile = ZH) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     kept = F.filter(
-        F.col("lines"),
+        F.col("normal"),
         lambda x: ~F.array_contains(F.coalesce("banned", none), x) & ~tx.is_page_number(x),
     )
-    return (
-        drop_toc_pages(pages, profile)
-        .select("report_id", "page_no", _normal_lines().alias("lines"))
-        .join(banned, "report_id", "left")
-        .select("report_id", "page_no", kept.alias("lines"))
-        .where(F.size("lines") > 0)
+    body = drop_toc_pages(pages, profile).select(
+        "report_id", "page_no", _normal_lines().alias("normal")
     )
+    body = tx.add_once(body.join(banned, "report_id", "left"), {"lines": kept})
+    return body.where(F.size("lines") > 0).select("report_id", "page_no", "lines")
 
 
 def body_lines(clean: DataFrame) -> DataFrame:
@@ -120,7 +119,8 @@ def section_lines(
     )
     line = tx.normalize_line(F.col("raw"))
     whole = F.col("section") == "S_all"
-    placed = placed.where("section IS NOT NULL").withColumn("line", F.when(whole, F.col("raw")).otherwise(line))
+    placed = placed.where("section IS NOT NULL")
+    placed = tx.add_once(placed, {"line": F.when(whole, F.col("raw")).otherwise(line)})
     placed = placed.where(whole | ~drop_line(F.col("line"), profile))
     return placed.join(names, ["report_id", "section"], "left").select(
         "report_id",
@@ -162,15 +162,16 @@ def split_sentences(
         .agg(ordered.alias("p"))
         .withColumn("text", joined)
     )
-    clean = tx.clean_sentence(F.col("text")) if postprocess else tx.strip(F.col("text"))
-    return (
-        whole.select(*section, "sentence_no", clean.alias("text"))
-        .where(F.length("text") >= profile.min_sentence)
+    raw = F.col("joined")
+    clean = tx.clean_sentence(raw) if postprocess else tx.strip(raw)
+    cleaned = tx.add_once(whole.withColumnRenamed("text", "joined"), {"text": clean})
+    return cleaned.where(F.length("text") >= profile.min_sentence).select(
+        *section, "sentence_no", "text"
     )
 
 
 def with_noise_reason(sentences: DataFrame, profile: TextProfile = ZH) -> DataFrame:
-    return sentences.withColumn("reason", tx.noise_reason(F.col("text"), profile))
+    return tx.add_once(sentences, {"reason": tx.noise_reason(F.col("text"), profile)})
 
 
 def noise_report(sentences: DataFrame, top: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +224,12 @@ def number_sentences(
 
 
 def report_sentences(pages: DataFrame, profile: TextProfile = ZH) -> DataFrame:
-    """Pages to kept, numbered sentences."""
-    lines = section_lines(body_lines(clean_pages(pages, profile)), profile)
+    """Pages to kept, numbered sentences.
+
+    Each stage reads its input more than once (totals, then rows), so the costly ones are
+    checkpointed in between.
+    """
+    lines = checkpoint(body_lines(clean_pages(pages, profile)))
+    lines = checkpoint(section_lines(lines, profile))
     scored = with_noise_reason(split_sentences(lines, profile), profile)
-    return number_sentences(scored.where("reason IS NULL").drop("reason"))
+    return number_sentences(checkpoint(scored.where("reason IS NULL").drop("reason")))

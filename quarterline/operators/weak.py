@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarterline.functions.coerce import strip
 from quarterline.functions.ranks import exact_quantiles, hash_ranks
 from quarterline.operators.lexicon import digit_share
+from quarterline.session import checkpoint
 
 
 def weak_labels_sign(
@@ -40,10 +41,8 @@ def weak_labels_quantile(
     cuts = exact_quantiles(kept, [], score, {"low": low, "high": high})
     bottom = F.col(score) <= cuts.select("low").scalar()
     top = F.col(score) >= cuts.select("high").scalar()
-    labels = F.filter(
-        F.array(F.when(bottom, 0), F.when(top, 1)), lambda x: x.isNotNull()
-    )
-    return kept.withColumn("label", F.explode(labels))
+    both = F.array(F.when(bottom, 0), F.when(top, 1))
+    return kept.withColumn("label", F.explode(both)).where("label IS NOT NULL")
 
 
 def balanced_sample(
@@ -52,15 +51,19 @@ def balanced_sample(
     """Equal numbers of both classes in a seeded random order (column ``shuffle``).
 
     Every class is ranked by a hash of seed and id; the smaller class sets the size. Fewer
-    than ``min_rows`` rows fail the query.
+    than ``min_rows`` rows fail the query. The labels are read several times, so id and
+    label are checkpointed first.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
+    slim = checkpoint(df.select(ident, label))
+    sizes = slim.groupBy(label).agg(F.count("*").alias("n"))
     smallest = sizes.agg(F.min("n").alias("m"), F.count("*").alias("classes"))
     m = smallest.select(F.when(F.col("classes") == 2, F.col("m")).otherwise(0).alias("m")).scalar()
     few = F.raise_error(F.lit(f"fewer than {min_rows} rows in the smaller class")).cast("boolean")
-    ranked = hash_ranks(df, [label], ident, seed, "class_rank")
+    ranked = hash_ranks(slim, [label], ident, seed, "class_rank")
     sample = ranked.where(F.when(m < min_rows, few).otherwise(F.col("class_rank") <= m))
-    return hash_ranks(sample.drop("class_rank"), [], f"{ident}", seed, "shuffle")
+    shuffled = hash_ranks(sample.drop("class_rank"), [], ident, seed, "shuffle")
+    rest = [c for c in df.columns if c not in (ident, label)]
+    return df.drop(label).join(shuffled, ident) if rest else shuffled
 
 
 def train_eval_split(df: DataFrame, share: float = 0.9, rank: str = "shuffle") -> DataFrame:

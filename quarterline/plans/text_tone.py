@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarterline.functions.text import add_once
 from quarterline.functions.tokens import explode_tokens, filter_tokens
 from quarterline.operators import corpus, lexicon, textprep, tone, weak
+
 from quarterline.profiles import TOPIC_WORDS, ZH, ZH_TONE, TextProfile, ToneProfile
+from quarterline.session import checkpoint
 
 
 def scored_sentences(
     sentences: DataFrame, tokens: Column, words: DataFrame, profile: ToneProfile = ZH_TONE
 ) -> DataFrame:
     """Valid sentences with tokens and lexicon tone."""
-    scored = lexicon.dict_tone(sentences.withColumn("tokens", tokens), words, "id", profile)
+    scored = lexicon.dict_tone(add_once(sentences, {"tokens": tokens}), words, "id", profile)
     return scored.where("is_valid_unit = 1").drop("scored")
 
 
 def classified(scored: DataFrame, seed: int = 42) -> DataFrame:
     """Train the classifier on balanced weak labels and score every sentence.
 
-    Training needs the labels more than once, so they are cached for the fit.
+    Sampling and scoring each read the sentences, so they are checkpointed; the sample
+    is cached for the iterations of the fit.
     """
+    scored = checkpoint(scored)
     labels = weak.balanced_sample(weak.weak_labels_sign(scored), "id", "label", seed)
     train = weak.train_eval_split(labels).where("split = 'train'").select("tokens", "label").cache()
     try:
