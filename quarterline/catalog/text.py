@@ -342,9 +342,12 @@ SELECT id, CAST(n_chars AS INTEGER) AS n_chars, CAST(n_native AS INTEGER) AS n_n
        round(native_ratio, 6) AS native_ratio, round(digit_ratio, 6) AS digit_ratio FROM prof""",
 )
 def char_class_profile(spark, sf):
-    cols = tx.char_profile(F.col("raw"), LATIN.native)
-    out = captioned(spark, sf).select("id", *[c.alias(n) for n, c in cols.items() if n != "n_latin"])
-    return r6(out)
+    rows = tx.add_once(captioned(spark, sf), {"f": tx.char_profile(F.col("raw"), LATIN.native)})
+    ratios = {
+        "native_ratio": tx.share(F.col("f"), "n_native"),
+        "digit_ratio": tx.share(F.col("f"), "n_digits"),
+    }
+    return r6(rows.withColumns(ratios).select("id", "f.*", *ratios).drop("s"))
 
 
 TABLE_LIKE = rf"""

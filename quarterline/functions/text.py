@@ -220,23 +220,26 @@ def clean_sentence(col: Column) -> Column:
     return postprocess_sentence(strip_caption(normalize_line(col)))
 
 
-def char_profile(col: Column, native: str = CJK) -> dict[str, Column]:
-    """Character and token counts of a stripped sentence."""
-    text = strip(flat(col))
-    n = F.length(text)
-    natives, digits = count_chars(text, native), count_chars(text, DIGIT)
-    whole = F.greatest(n, F.lit(1))
-    return {
-        "n_chars": n,
-        "n_native": natives,
-        "n_digits": digits,
-        "n_latin": count_chars(text, "[a-zA-Z\\x{212a}]"),
-        "native_ratio": natives / whole,
-        "digit_ratio": digits / whole,
-        "n_tokens": count_of(text, "[^ ]+"),
-        "n_numbers": count_of(text, rf"{D}+(?:\.{D}+)?"),
-        "n_percents": count_of(text, rf"{D}+(?:\.{D}+)?%"),
-    }
+def char_profile(col: Column, native: str = CJK) -> Column:
+    """Struct of the stripped sentence ``s`` with its character and token counts."""
+
+    def measure(s: Column) -> Column:
+        return F.struct(
+            s.alias("s"),
+            F.length(s).alias("n_chars"),
+            count_chars(s, native).alias("n_native"),
+            count_chars(s, DIGIT).alias("n_digits"),
+            count_of(s, "[^ ]+").alias("n_tokens"),
+            count_of(s, rf"{D}+(?:\.{D}+)?").alias("n_numbers"),
+            count_of(s, rf"{D}+(?:\.{D}+)?%").alias("n_percents"),
+        )
+
+    return let(strip(flat(col)), measure)
+
+
+def share(profile: Column, count: str) -> Column:
+    """A count of a character profile over its characters."""
+    return profile[count] / F.greatest(profile["n_chars"], F.lit(1))
 
 
 def is_table_like(col: Column, profile: TextProfile) -> Column:
@@ -246,7 +249,7 @@ def is_table_like(col: Column, profile: TextProfile) -> Column:
     """
 
     def decide(f: Column) -> Column:
-        s, n, native, digit = f["s"], f["n_chars"], f["native_ratio"], f["digit_ratio"]
+        s, n, native, digit = f["s"], f["n_chars"], share(f, "n_native"), share(f, "n_digits")
         tokens, numbers, percents = f["n_tokens"], f["n_numbers"], f["n_percents"]
         prose_like = (native >= 0.65) & (tokens <= 8)
         dense = (
@@ -278,16 +281,11 @@ def is_table_like(col: Column, profile: TextProfile) -> Column:
             .when(header | noted, True)
         )
         if profile.native_required:
-            foreign = (f["n_digits"] > 0) | (f["n_latin"] > 0)
+            foreign = (f["n_digits"] > 0) | s.rlike("[a-zA-Z]")
             rules = rules.when((f["n_native"] == 0) & foreign, True)
         return rules.otherwise(False)
 
-    def measure(s: Column) -> Column:
-        return F.struct(
-            s.alias("s"), *[c.alias(k) for k, c in char_profile(s, profile.native).items()]
-        )
-
-    return let(let(strip(flat(col)), measure), decide)
+    return let(char_profile(col, profile.native), decide)
 
 
 def noise_reason(col: Column, profile: TextProfile) -> Column:

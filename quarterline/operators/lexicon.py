@@ -158,19 +158,29 @@ def scored_anchors(p: ToneProfile, tokens: str = "tokens", anchors_col: str = "a
     """Anchors with each step's weight: ``topic, context, attenuated, negations, final``."""
 
     def score(a: Column, toks: Column, on_topic: Column) -> Column:
-        topic = topic_weight(a, on_topic, p)
-        context = context_weight(a, topic, toks, p)
-        softened = attenuated_weight(a, context, toks, p)
-        n = negation_count(a, toks, p)
-        return F.struct(
-            a["pos"].alias("pos"),
-            a["word"].alias("word"),
-            a["weight"].alias("weight"),
-            topic.alias("topic"),
-            context.alias("context"),
-            softened.alias("attenuated"),
-            n.alias("negations"),
-            F.when(n % 2 == 1, -softened).otherwise(softened).alias("final"),
+        def steps(topic: Column, context: Column, softened: Column, n: Column) -> Column:
+            return F.struct(
+                a["pos"].alias("pos"),
+                a["word"].alias("word"),
+                a["weight"].alias("weight"),
+                topic.alias("topic"),
+                context.alias("context"),
+                softened.alias("attenuated"),
+                n.alias("negations"),
+                F.when(n % 2 == 1, -softened).otherwise(softened).alias("final"),
+            )
+
+        return let(
+            topic_weight(a, on_topic, p),
+            lambda topic: let(
+                context_weight(a, topic, toks, p),
+                lambda context: let(
+                    attenuated_weight(a, context, toks, p),
+                    lambda soft: let(
+                        negation_count(a, toks, p), lambda n: steps(topic, context, soft, n)
+                    ),
+                ),
+            ),
         )
 
     def sentence(x: Column) -> Column:

@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarterline.functions import linalg
-from quarterline.functions.scale import zscore
 from quarterline.operators.series import add_lags, forward_cumulative
+from quarterline.session import checkpoint
 
 # ---- Fixed values: normal quantiles of two-sided 90 and 95 percent bands ---------------
 BAND_QUANTILES = {90: 1.6448536269514722, 95: 1.959963984540054}
@@ -66,39 +66,44 @@ def fit(
     return solved.withColumn("beta", F.when(F.col("inv").isNotNull(), beta)).drop("gram", "xty")
 
 
-def with_residuals(
+def with_model(
     df: DataFrame, model: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
     out: str = "resid",
 ) -> DataFrame:
-    """Complete rows with their residual. Without keys the one model enters as a scalar."""
+    """Complete rows with their residual and their model as the struct ``model``.
+
+    Without keys the one model enters as a scalar.
+    """
     rows = complete_cases(df, [y, *xs])
+    packed = F.struct(*[c for c in model.columns if c not in keys]).alias("model")
     if keys:
-        rows = rows.join(model.select(*keys, F.col("beta").alias("__b")), list(keys))
+        rows = rows.join(model.select(*keys, packed), list(keys))
     else:
-        rows = rows.withColumn("__b", model.select("beta").scalar())
+        rows = rows.withColumn("model", model.select(packed).scalar())
     cols = _regressors(xs)
-    fitted = sum((F.get("__b", i) * c for i, c in enumerate(cols[1:], 1)), F.get("__b", 0))
-    return rows.withColumn(out, F.col(y).cast("double") - fitted).drop("__b")
+    beta = F.col("model.beta")
+    fitted = sum((F.get(beta, i) * c for i, c in enumerate(cols[1:], 1)), F.get(beta, 0))
+    return rows.withColumn(out, F.col(y).cast("double") - fitted)
 
 
-def _beside(model: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Model rows with the sums of the same key; one row needs no join."""
-    if keys:
-        return model.join(sums, list(keys), "left")
-    packed = sums.select(F.struct(*sums.columns).alias("s")).scalar()
-    return model.withColumn("__s", packed).select(*model.columns, "__s.*")
+def with_residuals(
+    df: DataFrame, model: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (),
+    out: str = "resid",
+) -> DataFrame:
+    """Complete rows with their residual."""
+    return with_model(df, model, y, xs, keys, out).drop("model")
 
 
 def _summary(
-    model: DataFrame, resid: DataFrame, xs: Sequence[str], keys: Sequence[str], meat: Column,
-    correct: bool,
+    resid: DataFrame, xs: Sequence[str], keys: Sequence[str], meat: Column, correct: bool
 ) -> DataFrame:
-    """Long table per model and term."""
+    """Long table per model and term, from rows made by ``with_model``."""
     k = len(xs) + 1
-    sums = resid.groupBy(*keys).agg(
-        F.sum(F.col("resid") * F.col("resid")).alias("rss"), meat.alias("meat")
-    )
-    both = _beside(model, sums, keys)
+    both = resid.groupBy(*keys).agg(
+        F.sum(F.col("resid") * F.col("resid")).alias("rss"),
+        meat.alias("meat"),
+        F.first("model").alias("model"),
+    ).select(*keys, "rss", "meat", "model.*")
     free = F.col("n") - k
     se = linalg.sandwich_se("inv", "meat")
     factor = F.sqrt(F.col("n") / free) if correct else F.lit(1.0)
@@ -124,12 +129,12 @@ def _summary(
 def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Coefficients with classical standard errors, t, p and centred R2."""
     model = fit(df, y, xs, keys)
-    resid = with_residuals(df, model, y, xs, keys)
+    resid = with_model(df, model, y, xs, keys)
     cols = _regressors(xs)
     k = len(cols)
     variance = F.sum(F.col("resid") * F.col("resid")) / (F.count("*") - k)
     meat = _symmetric(k, lambda i, j: F.sum(cols[i] * cols[j]) * variance)
-    return _summary(model, resid, xs, keys, meat, correct=False)
+    return _summary(resid, xs, keys, meat, correct=False)
 
 
 def ols_hc1(
@@ -137,11 +142,11 @@ def ols_hc1(
 ) -> DataFrame:
     """Coefficients with heteroskedasticity-robust errors times n/(n-k)."""
     model = fit(df, y, xs, keys, min_n)
-    resid = with_residuals(df, model, y, xs, keys)
+    resid = with_model(df, model, y, xs, keys)
     cols = _regressors(xs)
     square = F.col("resid") * F.col("resid")
     meat = _symmetric(len(cols), lambda i, j: F.sum(square * cols[i] * cols[j]))
-    return _summary(model, resid, xs, keys, meat, correct=True)
+    return _summary(resid, xs, keys, meat, correct=True)
 
 
 def newey_west(
@@ -154,7 +159,7 @@ def newey_west(
     calendar.
     """
     model = fit(df, y, xs, keys)
-    resid = with_residuals(df, model, y, xs, keys)
+    resid = with_model(df, model, y, xs, keys)
     k = len(xs) + 1
     along = W.partitionBy(*keys).orderBy(*order)
     scores = {f"__v{i}": F.col("resid") * c for i, c in enumerate(_regressors(xs))}
@@ -172,7 +177,7 @@ def newey_west(
             total = total + F.lit(1 - ell / (lags + 1)) * F.coalesce(cross, F.lit(0.0))
         return F.sum(total)
 
-    return _summary(model, resid, xs, keys, _symmetric(k, cell), correct=False)
+    return _summary(resid, xs, keys, _symmetric(k, cell), correct=False)
 
 
 def tone_response(
@@ -231,22 +236,23 @@ def residual_shocks(
     rows = add_lags(df, [measure, *macro], [1], period, keys)
     xs = [f"{measure}_l1", *[f"{m}_l1" for m in macro]]
     model = fit(rows, measure, xs, keys)
-    used = with_residuals(rows, model, measure, xs, keys, "shock_raw")
+    used = with_model(rows, model, measure, xs, keys, "shock_raw")
     along = W.partitionBy(*keys).orderBy(*period)
     used = used.withColumn("__d", F.col("shock_raw") - F.lag("shock_raw").over(along))
     stats = used.groupBy(*keys).agg(
         F.stddev_pop("shock_raw").alias("sd"),
         F.sum(F.col("shock_raw") * F.col("shock_raw")).alias("rss"),
         F.sum(F.col("__d") * F.col("__d")).alias("dd"),
+        F.first("model").alias("m"),
     )
-    both = _beside(model, stats, keys)
-    report = both.select(
+    report = stats.select(
         *keys,
-        F.col("n").alias("n_used"),
-        (1 - F.col("rss") / F.col("tss")).alias("r2"),
-        F.get("beta", 1).alias("rho"),
+        F.col("m.n").alias("n_used"),
+        (1 - F.col("rss") / F.col("m.tss")).alias("r2"),
+        F.get("m.beta", 1).alias("rho"),
         (F.col("dd") / F.col("rss")).alias("dw"),
     )
+    used = used.drop("model")
     if keys:
         scored = used.join(stats.select(*keys, "sd"), list(keys))
     else:
@@ -272,11 +278,16 @@ def local_projections(
     rows = wide.where(F.col(is_event) != 0).select(
         series, *shocks, *controls, *lag_names, F.inline(F.array(*cells))
     )
+    # a bounded table (event days x horizons) that the fit reads several times
+    rows = checkpoint(rows)
     table = ols_hc1(rows, "y", [*shocks, *controls, *lag_names], [series, "h"], min_n)
-    kept = table.where(F.col("term").isin(*shocks)).select(
-        series, "h", F.col("term").alias("shock"), "beta", "se", F.col("n").alias("nobs")
+    names = F.explode(F.array(*[F.lit(s) for s in shocks])).alias("shock")
+    grid = rows.select(series, "h").distinct().select(series, "h", names)
+    kept = table.select(series, "h", F.col("term").alias("shock"), "beta", "se", "n")
+    out = grid.join(kept, [series, "h", "shock"], "left").select(
+        series, "h", "shock", "beta", "se", F.coalesce("n", F.lit(0)).alias("nobs")
     )
-    return confidence_bands(kept)
+    return confidence_bands(out)
 
 
 def confidence_bands(df: DataFrame, quantiles: Mapping[int, float] = BAND_QUANTILES) -> DataFrame:
@@ -439,7 +450,3 @@ def event_regression_rows(
     cols = [*xs, *[c for c in optional if c in df.columns]]
     rows = complete_cases(df, [y, *cols])
     return rows.select("date", (F.col(y) * scale).alias(y), *cols)
-
-
-def standardise_shocks(df: DataFrame, columns: Sequence[str], ddof: int = 1) -> DataFrame:
-    return zscore(df, columns, ddof=ddof)

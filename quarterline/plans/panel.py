@@ -8,21 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.operators import events as ev
+from quarterline.session import checkpoint
 from quarterline.sources.columns import require_columns
 
 
 def with_event_family(
-    panel: DataFrame, events: DataFrame | None, shock: str, dummy: str, date: str = "event_date"
+    panel: DataFrame, calendar: DataFrame, events: DataFrame | None, shock: str, dummy: str,
+    date: str = "event_date",
 ) -> DataFrame:
     """Events in the sample mapped to the next trading day; shocks add, dummies take the
     maximum. Without events both columns are 0."""
     if events is None:
         return panel.withColumns({shock: F.lit(0.0), dummy: F.lit(0.0)})
     require_columns(events, [date, shock, dummy], "events")
-    inside = ev.within_sample(events, panel, date)
+    inside = ev.within_sample(events, calendar, date)
     # many events share a day: combine them before they meet the calendar
     daily = inside.groupBy(date).agg(F.sum(shock).alias(shock), F.max(dummy).alias(dummy))
-    mapped = ev.map_strict_next(daily, panel, date)
+    mapped = ev.map_strict_next(daily, calendar, date)
     merged = ev.aggregate_mapped(mapped, sums=[shock], maxes=[dummy])
     return ev.left_join_default(panel, merged, [shock, dummy])
 
@@ -46,17 +48,20 @@ def daily_panel(
     require_columns(returns, ["date"], "returns")
     require_columns(reports, ["year", "quarter", "report_date"], "reports")
     require_columns(quarterly, ["year", "quarter", *plain, *scored], "quarterly attributes")
+    # the calendar is read by every mapping: keep its few thousand days instead of deriving them
+    calendar = checkpoint(returns.select("date"))
     panel = returns
     if controls is not None:
         panel = panel.join(controls, "date", "left")
     for (shock, dummy), events in families.items():
-        panel = with_event_family(panel, events, shock, dummy)
-    inside = ev.within_sample(reports, returns, "report_date")
-    mapped = ev.map_strict_next(inside, returns, "report_date").where("date_mapped IS NOT NULL")
+        panel = with_event_family(panel, calendar, events, shock, dummy)
+    inside = ev.within_sample(reports, calendar, "report_date")
+    mapped = ev.map_strict_next(inside, calendar, "report_date").where("date_mapped IS NOT NULL")
     attributes = ev.quarter_attributes(mapped, quarterly, plain, scored)
     attributes = attributes.withColumn("D_report", F.lit(1.0))
     columns = ["D_report", *scored.values(), *plain]
-    panel = ev.spread_event_window(panel, attributes, columns, window, scale)
+    spread = ev.spread_event_window(calendar, attributes, columns, window, scale)
+    panel = panel.join(spread, "date")
     core = [
         *[c for c in returns.columns],
         *[c for pair in families for c in pair],
@@ -84,9 +89,10 @@ def report_event_columns(
     if pick is not None:
         tone = tone.withColumn("tone_z", F.col(pick))
     have = [c for c in columns if c in tone.columns]
-    dated = ev.within_sample(reports, daily, "report_date", upper=False)
+    calendar = checkpoint(daily.select("date"))
+    dated = ev.within_sample(reports, calendar, "report_date", upper=False)
     joined = dated.join(tone.select("year", "quarter", *have), ["year", "quarter"])
-    mapped = ev.map_strict_next(joined, daily, "report_date")
+    mapped = ev.map_strict_next(joined, calendar, "report_date")
     means = ev.aggregate_mapped(mapped, means=have).withColumnsRenamed({c: columns[c] for c in have})
     out = ev.left_join_default(daily, means, [columns[c] for c in have])
     return out.withColumns({n: F.lit(0.0) for c, n in columns.items() if c not in have})
