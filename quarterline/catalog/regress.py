@@ -207,10 +207,12 @@ lp AS ({horizons}),
 res AS (
   SELECT series, CAST(h AS INTEGER) AS h, 'd_tone_policy' AS shock, b_1 AS beta, sqrt(w_1) * sqrt(n / (n - {len(_LP_XS) + 1})) AS se, n AS nobs FROM a_se
   UNION ALL
-  SELECT series, CAST(h AS INTEGER), 'd_tone_macro', b_2, sqrt(w_2) * sqrt(n / (n - {len(_LP_XS) + 1})), n FROM a_se)
+  SELECT series, CAST(h AS INTEGER), 'd_tone_macro', b_2, sqrt(w_2) * sqrt(n / (n - {len(_LP_XS) + 1})), n FROM a_se),
+grid AS (SELECT DISTINCT series, CAST(h AS INTEGER) AS h, unnest(['d_tone_policy', 'd_tone_macro']) AS shock FROM lp),
+whole AS (SELECT g.*, beta, se, coalesce(nobs, 0) AS nobs FROM grid g LEFT JOIN res r ON r.series = g.series AND r.h = g.h AND r.shock = g.shock)
 SELECT series, h, shock, round(CASE WHEN nobs >= 30 THEN beta END, 6) + 0e0 AS beta, round(CASE WHEN nobs >= 30 THEN se END, 6) AS se, nobs,
   {', '.join(f'round(CASE WHEN nobs >= 30 THEN beta - {z}e0 * se END, 6) + 0e0 AS lo_{lv}, round(CASE WHEN nobs >= 30 THEN beta + {z}e0 * se END, 6) + 0e0 AS hi_{lv}' for lv, z in rg.BAND_QUANTILES.items())}
-FROM res"""
+FROM whole"""
 
 
 def long_returns(spark, sf):

@@ -140,7 +140,8 @@ m AS (SELECT year, quarter, quantile_cont(neg_prob, 0.975) AS t FROM selected WH
 j AS (SELECT s.year, s.quarter, n, p.t AS tone_tail_policy, m.t AS tone_tail_macro FROM sizes s
       LEFT JOIN p ON p.year = s.year AND p.quarter = s.quarter LEFT JOIN m ON m.year = s.year AND m.quarter = s.quarter)
 SELECT year, quarter, n, round(tone_tail_policy, 6) AS tone_tail_policy,
-       round((tone_tail_policy - avg(tone_tail_policy) OVER ()) / stddev_samp(tone_tail_policy) OVER (), 6) + 0e0 AS tone_tail_policy_z,
+       CASE WHEN coalesce(stddev_samp(tone_tail_policy) OVER (), 0) = 0 THEN 0e0
+            ELSE round((tone_tail_policy - avg(tone_tail_policy) OVER ()) / stddev_samp(tone_tail_policy) OVER (), 6) + 0e0 END AS tone_tail_policy_z,
        round(tone_tail_macro, 6) AS tone_tail_macro FROM j""",
 )
 def tail_tone_update(spark, sf):
@@ -279,7 +280,8 @@ def section_tone(spark, sf):
 
 
 def _z(c):
-    return f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) + 0e0 AS {c}_z"
+    sd = f"stddev_samp({c}) OVER ()"
+    return f"CASE WHEN coalesce({sd}, 0) = 0 THEN 0e0 ELSE round(({c} - avg({c}) OVER ()) / {sd}, 6) + 0e0 END AS {c}_z"
 
 
 _TONES = ("tone_all", "tone_tail_all", "tone_policy", "tone_tail_policy", "tone_macro", "tone_tail_macro")

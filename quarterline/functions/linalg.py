@@ -94,14 +94,13 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided p-value of Student's t: I_x(df/2, 1/2) at x = df/(df+t^2)."""
     t, df = np.asarray(t, float), np.asarray(df, float)
     a, b = df / 2.0, np.full_like(df, 0.5)
-    x = df / (df + t * t)
+    x, rest = df / (df + t * t), t * t / (df + t * t)
     lg = np.vectorize(math.lgamma, otypes=[float])
-    front = np.exp(
-        lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-np.minimum(x, 1 - 1e-16))
-    )
+    logs = a * np.log(x) + b * np.log(np.maximum(rest, 1e-300))
+    front = np.exp(lg(a + b) - lg(a) - lg(b) + logs)
     swap = x >= (a + 1.0) / (a + b + 2.0)
     direct = front * _beta_fraction(a, b, np.where(swap, 0.5, x)) / a
-    mirrored = 1.0 - front * _beta_fraction(b, a, np.where(swap, 1.0 - x, 0.5)) / b
+    mirrored = 1.0 - front * _beta_fraction(b, a, np.where(swap, rest, 0.5)) / b
     return np.clip(np.where(swap, mirrored, direct), 0.0, 1.0)
 
 

@@ -188,6 +188,7 @@ def tone_response(
     period = ["year", "quarter"]
     lagged = add_lags(tone.select(*keys, *period, measure), [measure], [1], period, keys)
     rows = lagged.join(macro.select(*keys, *period, *controls), [*keys, *period])
+    rows = checkpoint(rows)  # a period table that the fit reads several times
     return newey_west(rows, measure, [f"{measure}_l1", *controls], period, keys, lags)
 
 
@@ -203,7 +204,7 @@ def difference_regression(
     along = W.partitionBy(*keys).orderBy(*period)
     d = f"d_{measure}"
     rows = df.withColumn(d, F.col(measure) - F.lag(measure).over(along))
-    rows = add_lags(rows, [d], [1], period, keys)
+    rows = checkpoint(add_lags(rows, [d], [1], period, keys))
     xs = [f"{d}_l1", *controls, *levels]
     table = newey_west(rows, d, xs, period, keys, lags)
     return table, with_residuals(rows, fit(rows, d, xs, keys), d, xs, keys, resid)
@@ -216,9 +217,10 @@ def orthogonalised_shock(
     """The residual of the first tone equation (``info_shock``) enters the second equation;
     the second residual is ``policy_shock``."""
     period = ["year", "quarter"]
-    rows = add_lags(df, [first, second], [1], period, keys)
+    rows = checkpoint(add_lags(df, [first, second], [1], period, keys))
     xs1 = [f"{first}_l1", *controls]
     rows = with_residuals(rows, fit(rows, first, xs1, keys), first, xs1, keys, "info_shock")
+    rows = checkpoint(rows)
     xs2 = [f"{second}_l1", *controls, "info_shock"]
     table = newey_west(rows, second, xs2, period, keys, lags)
     return table, with_residuals(rows, fit(rows, second, xs2, keys), second, xs2, keys, "policy_shock")
@@ -233,7 +235,7 @@ def residual_shocks(
     row per model with ``n_used``, ``r2``, ``rho`` (own lag) and ``dw`` (Durbin-Watson).
     """
     period = ["year", "quarter"]
-    rows = add_lags(df, [measure, *macro], [1], period, keys)
+    rows = checkpoint(add_lags(df, [measure, *macro], [1], period, keys))
     xs = [f"{measure}_l1", *[f"{m}_l1" for m in macro]]
     model = fit(rows, measure, xs, keys)
     used = with_model(rows, model, measure, xs, keys, "shock_raw")

@@ -9,7 +9,9 @@ from quarterline.functions.text import add_once
 from quarterline.functions.tokens import explode_tokens, filter_tokens
 from quarterline.operators import corpus, lexicon, textprep, tone, weak
 
-from quarterline.profiles import TOPIC_WORDS, ZH, ZH_TONE, TextProfile, ToneProfile
+from quarterline.profiles import (
+    TONE_RULES, TOPIC_WORDS, ZH, ZH_TONE, TextProfile, ToneProfile, ToneRules,
+)
 from quarterline.session import checkpoint
 
 
@@ -39,13 +41,13 @@ def classified(scored: DataFrame, seed: int = 42) -> DataFrame:
 
 def indicators(
     sentences: DataFrame, stopwords: DataFrame | None = None, topic_words=None,
-    profile: TextProfile = ZH,
+    profile: TextProfile = ZH, rules: ToneRules = TONE_RULES,
 ) -> DataFrame:
     """Quarterly tone, similarity and readability from classified sentences
     (``id, year, quarter, text, tokens, neg_prob``)."""
     weighted = tone.topic_scores(sentences, words=topic_words or TOPIC_WORDS)
-    weighted = tone.raw_weights(tone.top_topics(weighted))
-    quarterly = tone.quarterly_tone(weighted)
+    weighted = tone.raw_weights(tone.top_topics(weighted, rules), rules)
+    quarterly = tone.quarterly_tone(weighted, rules=rules)
     docs = corpus.readability(corpus.document_rollup(sentences, profile=profile))
     terms = corpus.term_counts(filter_tokens(explode_tokens(sentences, corpus.PERIOD), stopwords))
     similar = corpus.similarity_prev(terms, docs)

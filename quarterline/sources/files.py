@@ -65,9 +65,8 @@ def scan_documents(spark: SparkSession, directory: str, glob: str = "*.txt") ->
     """One row per text file: ``report_id`` (the file name) and ``text``."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
-        .text(directory)
+        spark.read.option("pathGlobFilter", glob)
+        .text(directory, wholetext=True)
         .select(F.url_decode(name).alias("report_id"), F.col("value").alias("text"))
     )
 
