@@ -141,14 +141,14 @@ def anchor_steps(spark, sf, *columns):
 
 @query("sentiment_anchors", f"WITH {ANCHORS} SELECT id, pos, word, weight, prev FROM hits")
 def sentiment_anchors(spark, sf):
-    rows = lx.with_weights(tokenised(spark, sf), word_table(spark), "id")
+    rows = lx.with_hits(tokenised(spark, sf), word_table(spark), "id")
     return rows.select("id", F.inline(lx.anchors())).select("id", "pos", "word", "weight", "prev")
 
 
 @query("sentiment_anchors_joined", f"WITH {ANCHORS} SELECT id, pos, word, weight, prev FROM hits")
 def sentiment_anchors_joined(spark, sf):
     """The same through a join, the way taken by a lexicon beyond the word limit."""
-    rows = lx.with_weights(tokenised(spark, sf), word_table(spark), "id", limit=0)
+    rows = lx.with_hits(tokenised(spark, sf), word_table(spark), "id", limit=0)
     return rows.select("id", F.inline(lx.anchors())).select("id", "pos", "word", "weight", "prev")
 
 

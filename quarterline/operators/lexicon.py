@@ -73,45 +73,44 @@ def word_weights(lexicon: DataFrame, limit: int = MAX_WORDS) -> dict[int, list[s
     return by_weight
 
 
-def with_weights(
+def with_hits(
     df: DataFrame, lexicon: DataFrame, ident: str, tokens: str = "tokens", limit: int = MAX_WORDS
 ) -> DataFrame:
-    """Add ``weights``: an array parallel to the tokens, NULL where a token is not listed."""
+    """Add ``hits``: an array of ``(pos, word, weight)`` for the listed tokens."""
     groups = word_weights(lexicon, limit)
+
+    def hit(pos: Column, word: Column, weight: Column) -> Column:
+        return F.struct(
+            pos.alias("pos"), word.alias("word"), weight.cast("double").alias("weight")
+        )
+
     if groups is not None:
 
-        def weight(t: Column) -> Column:
-            out = F.lit(None).cast("int")
+        def find(t: Column, i: Column) -> Column:
+            out = F.lit(None)
             for value, words in sorted(groups.items()):
-                out = F.when(t.isin(words), F.lit(value)).otherwise(out)
+                out = F.when(t.isin(words), hit(i, t, F.lit(value))).otherwise(out)
             return out
 
-        return df.withColumn("weights", F.transform(tokens, weight))
-    hits = (
+        listed = F.filter(F.transform(tokens, find), lambda a: a.isNotNull())
+        return add_once(df, {"hits": listed})
+    found = (
         df.select(ident, F.posexplode(tokens).alias("pos", "word"))
         .join(lexicon.select("word", "weight"), "word")
         .groupBy(ident)
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("__h"))
+        .agg(F.sort_array(F.collect_list(hit(F.col("pos"), F.col("word"), F.col("weight")))).alias("__h"))
     )
-    joined = df.join(hits, ident, "left")
-    looked_up = F.transform(tokens, lambda t, i: F.try_element_at("__h", i))
-    return joined.withColumn("weights", looked_up).drop("__h")
-
-
-def anchors(tokens: str = "tokens", weights: str = "weights") -> Column:
-    """Array of ``(pos, word, weight, prev)`` for the listed tokens; ``prev`` is the position
-    of the listed token before, or -1."""
-    pairs = F.arrays_zip(F.col(tokens).alias("word"), F.col(weights).alias("weight"))
-    placed = F.transform(
-        pairs,
-        lambda z, i: F.struct(
-            i.alias("pos"), z["word"].alias("word"), z["weight"].cast("double").alias("weight")
-        ),
-    )
-    hits = F.filter(placed, lambda a: a["weight"].isNotNull())
+    joined = df.join(found, ident, "left")
+    none = F.array().cast("array<struct<pos:int,word:string,weight:double>>")
+    listed = F.when(F.col(tokens).isNotNull(), F.coalesce("__h", none))
+    return joined.withColumn("hits", listed).drop("__h")
+
+
+def anchors(hits: str = "hits") -> Column:
+    """The hits with ``prev``, the position of the listed token before, or -1."""
     before = lambda h, k: F.when(k > 0, F.get(h, k - 1)["pos"]).otherwise(F.lit(-1))
     return let(
-        hits, lambda h: F.transform(h, lambda a, k: a.withField("prev", before(h, k)))
+        F.col(hits), lambda h: F.transform(h, lambda a, k: a.withField("prev", before(h, k)))
     )
 
 
@@ -198,8 +197,8 @@ def dict_tone(
     limit: int = MAX_WORDS,
 ) -> DataFrame:
     """Add ``scored`` (anchors with weights), ``dict_tone`` and ``is_valid_unit``."""
-    df = add_once(with_weights(df, lexicon, ident, limit=limit), {"anchors": anchors()})
-    df = add_once(df.drop("weights"), {"scored": scored_anchors(profile)})
+    df = with_hits(df, lexicon, ident, limit=limit).withColumn("anchors", anchors())
+    df = add_once(df.drop("hits"), {"scored": scored_anchors(profile)})
     total = F.aggregate("scored", F.lit(0.0), lambda acc, a: acc + a["final"])
     valid = valid_unit(F.col("text"), F.col("tokens"), profile.max_digit_share)
     tone = F.when((valid == 1) & (F.size("scored") > 0), total / F.size("tokens")).otherwise(0.0)

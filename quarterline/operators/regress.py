@@ -28,13 +28,17 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _symmetric(k: int, cell) -> Column:
-    """Row-major array of a symmetric matrix of sums; each pair is summed once."""
-    sums = {(i, j): cell(i, j) for i in range(k) for j in range(i, k)}
-    return F.array(*[sums[min(i, j), max(i, j)] for i in range(k) for j in range(k)])
+    """Row-major array of the sums of a symmetric matrix of SQL terms.
+
+    Written as one SQL text: a dozen regressors make thousands of column calls otherwise.
+    """
+    sums = [f"sum({cell(min(i, j), max(i, j))})" for i in range(k) for j in range(k)]
+    return F.expr(f"array({', '.join(sums)})")
 
 
-def _regressors(xs: Sequence[str]) -> list[Column]:
-    return [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+def _sql_names(xs: Sequence[str]) -> list[str]:
+    """The regressors as SQL terms, constant first."""
+    return ["1D", *[f"cast(`{x}` as double)" for x in xs]]
 
 
 def fit(
@@ -44,26 +48,20 @@ def fit(
 
     Models with fewer than ``min_n`` rows, or a singular Gram matrix, have NULL arrays.
     """
-    cols, target = _regressors(xs), F.col(y).cast("double")
+    cols, target = _sql_names(xs), f"cast(`{y}` as double)"
     k = len(cols)
     rows = complete_cases(df, [y, *xs])
-    gram = _symmetric(k, lambda i, j: F.sum(cols[i] * cols[j]))
     moments = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        (F.var_pop(target) * F.count("*")).alias("tss"),
-        gram.alias("gram"),
-        F.array(*[F.sum(c * target) for c in cols]).alias("xty"),
+        F.expr(f"var_pop({target}) * count(*)").alias("tss"),
+        _symmetric(k, lambda i, j: f"{cols[i]} * {cols[j]}").alias("gram"),
+        F.expr(f"array({', '.join(f'sum({c} * {target})' for c in cols)})").alias("xty"),
     )
     usable = F.col("n") >= (min_n if min_n is not None else k)
     solved = moments.withColumn("inv", linalg.inverse(F.when(usable, F.col("gram"))))
-    beta = F.array(
-        *[
-            sum((F.get("inv", i * k + j) * F.get("xty", j) for j in range(1, k)),
-                F.get("inv", i * k) * F.get("xty", 0))
-            for i in range(k)
-        ]
-    )
-    return solved.withColumn("beta", F.when(F.col("inv").isNotNull(), beta)).drop("gram", "xty")
+    beta = [" + ".join(f"inv[{i * k + j}] * xty[{j}]" for j in range(k)) for i in range(k)]
+    beta_sql = f"CASE WHEN inv IS NOT NULL THEN array({', '.join(beta)}) END"
+    return solved.withColumn("beta", F.expr(beta_sql)).drop("gram", "xty")
 
 
 def with_model(
@@ -80,10 +78,8 @@ def with_model(
         rows = rows.join(model.select(*keys, packed), list(keys))
     else:
         rows = rows.withColumn("model", model.select(packed).scalar())
-    cols = _regressors(xs)
-    beta = F.col("model.beta")
-    fitted = sum((F.get(beta, i) * c for i, c in enumerate(cols[1:], 1)), F.get(beta, 0))
-    return rows.withColumn(out, F.col(y).cast("double") - fitted)
+    fitted = " + ".join(f"model.beta[{i}] * {c}" for i, c in enumerate(_sql_names(xs)))
+    return rows.withColumn(out, F.expr(f"cast(`{y}` as double) - ({fitted})"))
 
 
 def with_residuals(
@@ -130,10 +126,11 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> D
     """Coefficients with classical standard errors, t, p and centred R2."""
     model = fit(df, y, xs, keys)
     resid = with_model(df, model, y, xs, keys)
-    cols = _regressors(xs)
+    cols = _sql_names(xs)
     k = len(cols)
-    variance = F.sum(F.col("resid") * F.col("resid")) / (F.count("*") - k)
-    meat = _symmetric(k, lambda i, j: F.sum(cols[i] * cols[j]) * variance)
+    gram = _symmetric(k, lambda i, j: f"{cols[i]} * {cols[j]}")
+    variance = F.expr(f"sum(resid * resid) / (count(*) - {k})")
+    meat = F.transform(gram, lambda g: g * variance)
     return _summary(resid, xs, keys, meat, correct=False)
 
 
@@ -143,9 +140,8 @@ def ols_hc1(
     """Coefficients with heteroskedasticity-robust errors times n/(n-k)."""
     model = fit(df, y, xs, keys, min_n)
     resid = with_model(df, model, y, xs, keys)
-    cols = _regressors(xs)
-    square = F.col("resid") * F.col("resid")
-    meat = _symmetric(len(cols), lambda i, j: F.sum(square * cols[i] * cols[j]))
+    cols = _sql_names(xs)
+    meat = _symmetric(len(cols), lambda i, j: f"resid * resid * {cols[i]} * {cols[j]}")
     return _summary(resid, xs, keys, meat, correct=True)
 
 
@@ -162,20 +158,20 @@ def newey_west(
     resid = with_model(df, model, y, xs, keys)
     k = len(xs) + 1
     along = W.partitionBy(*keys).orderBy(*order)
-    scores = {f"__v{i}": F.col("resid") * c for i, c in enumerate(_regressors(xs))}
-    resid = resid.withColumns(scores)
+    scores = [f"resid * {c}" for c in _sql_names(xs)]
+    resid = resid.withColumn("__v", F.expr(f"array({', '.join(scores)})"))
+    # missing leads at the start of a series count as zero
+    zeros = F.expr(f"array({', '.join(['0D'] * k)})")
     resid = resid.withColumns(
-        {f"__v{i}_{ell}": F.lag(f"__v{i}", ell).over(along)
-         for i in range(k) for ell in range(1, lags + 1)}
+        {f"__v{ell}": F.coalesce(F.lag("__v", ell).over(along), zeros) for ell in range(1, lags + 1)}
     )
 
-    def cell(i: int, j: int) -> Column:
-        v = lambda a, ell=0: F.col(f"__v{a}_{ell}" if ell else f"__v{a}")
-        total = v(i) * v(j)
+    def cell(i: int, j: int) -> str:
+        parts = [f"__v[{i}] * __v[{j}]"]
         for ell in range(1, lags + 1):
-            cross = v(i) * v(j, ell) + v(j) * v(i, ell)
-            total = total + F.lit(1 - ell / (lags + 1)) * F.coalesce(cross, F.lit(0.0))
-        return F.sum(total)
+            weight = repr(1 - ell / (lags + 1)) + "D"
+            parts.append(f"{weight} * (__v[{i}] * __v{ell}[{j}] + __v[{j}] * __v{ell}[{i}])")
+        return " + ".join(parts)
 
     return _summary(resid, xs, keys, _symmetric(k, cell), correct=False)
 
@@ -386,9 +382,9 @@ def ar_order_by_bic(
     rows = add_lags(df, [y], list(range(1, max_order + 1)), order, keys)
     lag_names = [f"{y}_l{i}" for i in range(1, max_order + 1)]
     rows = complete_cases(rows, [y, *xs, *lag_names])
-    cols = [*_regressors([*xs, *lag_names]), F.col(y).cast("double")]
+    cols = [*_sql_names([*xs, *lag_names]), f"cast(`{y}` as double)"]
     sizes = [1 + len(xs) + p for p in range(max_order + 1)]
-    gram = _symmetric(len(cols), lambda i, j: F.sum(cols[i] * cols[j]))
+    gram = _symmetric(len(cols), lambda i, j: f"{cols[i]} * {cols[j]}")
     moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), gram.alias("gram"))
     rss = linalg.nested_rss("gram", F.array(*[F.lit(s) for s in sizes]))
     long = moments.withColumn("rss", rss).select(

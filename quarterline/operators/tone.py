@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarterline.functions.ranks import exact_quantiles, trimmed_mean
+from quarterline.functions.ranks import exact_quantiles
 from quarterline.functions.scale import zscore
 from quarterline.functions.text import count_of
 from quarterline.profiles import SECTION_FLAGS, TONE_RULES, TOPIC_WORDS, SectionFlags, ToneRules
+from quarterline.session import checkpoint
 
 PERIOD = ("year", "quarter")
 
@@ -243,12 +244,20 @@ def tone_all(
     """Trimmed mean and tail percentile of the informative rows per period."""
     keys = list(keys)
     selected = topk_informative(df, ident, keys, rules) if selected is None else selected
-    mean = trimmed_mean(selected, keys, "neg_prob", rules.trim, "tone_all", buckets=1)
-    tail = selected.groupBy(*keys).agg(
-        F.percentile("neg_prob", rules.tail).alias("tone_tail_all"),
-        F.count("*").cast("int").alias("n_selected"),
+    # at most ``topk_max`` values per period
+    values = F.sort_array(F.collect_list("neg_prob"))
+    kept = F.slice("v", F.col("cut") + 1, F.col("n_selected") - 2 * F.col("cut"))
+    total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x)
+    return (
+        selected.groupBy(*keys)
+        .agg(
+            values.alias("v"),
+            F.percentile("neg_prob", rules.tail).alias("tone_tail_all"),
+            F.count("*").cast("int").alias("n_selected"),
+        )
+        .withColumn("cut", F.floor(F.lit(rules.trim) * F.col("n_selected")).cast("int"))
+        .select(*keys, (total / F.size(kept)).alias("tone_all"), "tone_tail_all", "n_selected")
     )
-    return mean.join(tail, keys)
 
 
 def coverage_report(
@@ -293,7 +302,7 @@ def quarterly_tone(
 ) -> DataFrame:
     """All tone indicators per period with z-scores (sample sd over the periods)."""
     keys = list(keys)
-    levels = thresholds(df, keys, rules)
+    levels = checkpoint(thresholds(df, keys, rules))  # period tables are small and reused
     toned = weighted_tone(select_weighted(df, ident, keys, rules, levels), keys, rules.tail)
     wide = []
     for t in rules.topics:
@@ -309,7 +318,7 @@ def quarterly_tone(
         sizes.join(tone_all(df, ident, keys, rules).drop("n_selected"), keys, "left")
         .join(toned.groupBy(*keys).agg(*wide), keys, "left")
     )
-    return zscore(out, [c for c in out.columns if c.startswith("tone_")])
+    return zscore(checkpoint(out), [c for c in out.columns if c.startswith("tone_")])
 
 
 def section_flags(
