@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarterline.functions.coerce import quarter_index
 from quarterline.functions.text import count_chars
+from quarterline.operators.tone import period_side
 from quarterline.profiles import ZH, TextProfile
 
 PERIOD = ("year", "quarter")
@@ -104,7 +105,7 @@ def similarity_prev(
     keys = list(keys)
     in_order = W.orderBy(*keys)  # one row per period
     docs = documents.select(*keys).distinct().withColumn("ord", F.row_number().over(in_order))
-    weighted = _term_weights(terms, docs, keys, smooth).join(F.broadcast(docs), keys)
+    weighted = _term_weights(terms, docs, keys, smooth).join(period_side(docs, keys), keys)
     along = W.partitionBy("term").orderBy("ord")
     adjacent = F.lag("ord").over(along) == F.col("ord") - 1
     pairs = weighted.withColumn("wp", F.when(adjacent, F.lag("w").over(along)))

@@ -92,7 +92,7 @@ def two_class_softmax(logit0: Column, logit1: Column) -> Column:
     return 1 / (1 + F.exp(logit0 - logit1))
 
 
-def weak_classifier(features: int = 1 << 16, max_iter: int = 20) -> Pipeline:
+def weak_classifier(features: int = 1 << 15, max_iter: int = 15) -> Pipeline:
     """Hashed token counts, IDF, logistic regression; expects ``tokens`` and ``label``."""
     return Pipeline(
         stages=[
