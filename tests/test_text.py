@@ -67,6 +67,12 @@ def test_section_line_rules(spark):
     assert got == [True, True, False, False, False, True, True, True, False, True, True]
 
 
+def test_older_line_rules(spark):
+    lines = ["第一部分 分析", "二、措施", "十一、标题", "专栏 1 ....... 3", "专栏。.......", "正文", ""]
+    got = apply(spark, lambda c: tx.drop_section_line_simple(c, ZH), lines)
+    assert got == [True, True, False, True, False, False, True]
+
+
 def test_caption_and_references(spark):
     got = apply(
         spark, tx.strip_caption,
