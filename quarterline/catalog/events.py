@@ -90,14 +90,15 @@ def indicator_event_dates(spark, sf):
 
 @query(
     "event_union_dummies",
-    f"""WITH {FLAGS}, e AS (SELECT * FROM starts UNION ALL SELECT DISTINCT 'RRR', event_date FROM ships WHERE flag = 'R' AND day(event_date) = 15)
+    f"""WITH {FLAGS}, {QUARTERLY}, e AS (SELECT * FROM starts UNION ALL SELECT 'RRR', report_date FROM quarterly)
 SELECT date, CAST(max(CASE WHEN event_type = 'RRR' THEN 1 ELSE 0 END) AS INTEGER) AS "D_RRR",
        CAST(max(CASE WHEN event_type = 'RateAdj' THEN 1 ELSE 0 END) AS INTEGER) AS "D_RateAdj",
        CAST(max(CASE WHEN event_type = 'SLF' THEN 1 ELSE 0 END) AS INTEGER) AS "D_SLF", 1 AS "D_policy" FROM e GROUP BY date""",
 )
 def event_union_dummies(spark, sf):
-    monthly = shipments(spark, sf).where((F.col("flag") == "R") & (F.dayofmonth("event_date") == 15))
-    extra = monthly.select(F.lit("RRR").alias("event_type"), F.col("event_date").alias("date"))
+    extra = quarterly(spark, sf).select(
+        F.lit("RRR").alias("event_type"), F.col("report_date").alias("date")
+    )
     return ev.event_union_dummies(
         run_starts(spark, sf).unionByName(extra), ["RRR", "RateAdj", "SLF"], "D_policy"
     )
@@ -202,13 +203,16 @@ def mapped_event_mean(spark, sf):
 
 @query(
     "left_join_default",
-    f"""WITH {MAPPED}, a AS (SELECT strict AS date, sum(shock) AS shock FROM inside WHERE flag = 'R' AND month(strict) < 4 GROUP BY strict)
+    f"""WITH {CALENDAR}, {QUARTERLY},
+m AS (SELECT (SELECT min(date) FROM cal WHERE date > report_date) AS date, tone_policy FROM quarterly),
+a AS (SELECT date, sum(tone_policy) AS shock FROM m WHERE date IS NOT NULL GROUP BY date)
 SELECT c.date, round(coalesce(shock, CASE WHEN month(c.date) = 12 THEN 7 END, 0), 6) + 0e0 AS shock FROM cal c LEFT JOIN a ON a.date = c.date""",
 )
 def left_join_default(spark, sf):
     cal = calendar(spark, sf).withColumn("shock", F.when(F.month("date") == 12, 7.0))
-    some = mapped_ships(spark, sf).where((F.col("flag") == "R") & (F.month("date_mapped") < 4))
-    return r6(ev.left_join_default(cal, ev.aggregate_mapped(some, sums=["shock"]), ["shock"]))
+    reports = quarterly(spark, sf).select("report_date", F.col("tone_policy").alias("shock"))
+    mapped = ev.map_strict_next(reports, cal, "report_date")
+    return r6(ev.left_join_default(cal, ev.aggregate_mapped(mapped, sums=["shock"]), ["shock"]))
 
 
 REPORTS = f"""{QUARTERLY},
