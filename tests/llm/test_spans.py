@@ -91,6 +91,7 @@ def test_secret_operator(spark):
 def test_pii_operator(spark):
     rows = [(i, f"call me at (407) 555-77{i:02d} or mail a{i}@b.org and 10.0.0.{i}", "x", "s", 1) for i in range(30)]
     rows += [(50, None, None, None, None), (None, "", "x", None, 3), (51, "plain words 2020-01-02", "x", "s", 1)]
+    rows += [(60 + i, f"plain words 2020-01-{i}", "x", "s", 1) for i in range(10, 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, PII string, n_chars long")
     model = pii.train(docs)
     assert 0 < model["reliability"]["pattern"] <= 1
