@@ -1,4 +1,4 @@
 """Import every operator module so that its query registers."""
 
-from quarterline.llm import pii, quality, secret_scan  # noqa: F401
+from quarterline.llm import mixture, pii, quality, secret_scan  # noqa: F401
 from quarterline.llm.common import ORACLES, QUERIES  # noqa: F401
