@@ -278,9 +278,11 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
             at = max(at, end)
         return "".join([*out, x[at:]])
 
-    masked = F.pandas_udf(lambda s: pd.Series([clean(x) for x in s], dtype=object), T.StringType())
+    def masked(texts: pd.Series) -> pd.Series:
+        return pd.Series([clean(x) for x in texts], dtype=object)
+
     new = fresh(docs, "masked")[0]
-    done = docs.withColumn(new, masked.asNondeterministic()(F.col("text")))
+    done = docs.withColumn(new, F.pandas_udf(masked, T.StringType()).asNondeterministic()(F.col("text")))
     changed = {"text": F.col(new), "n_chars": F.length(new).cast("long")}
     return done.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
