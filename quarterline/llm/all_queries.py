@@ -1,4 +1,4 @@
 """Import every operator module so that its query registers."""
 
-from quarterline.llm import decontaminate, html_extract, mixture, ngram_join, pii, quality, secret_scan, warc  # noqa: F401
+from quarterline.llm import decontaminate, html_extract, mixture, ngram_join, pii, quality, secret_scan, toxicity, warc  # noqa: F401
 from quarterline.llm.common import ORACLES, QUERIES  # noqa: F401
