@@ -6,7 +6,8 @@ that Poisson distribution at a uniform number hashed from the seed and the docum
 a lost executor draws the same copies. The documents are exploded by their counts (zero drops a
 document) and shuffled globally: range-partitioned and sorted by a second hash.
 
-The rate table has a row per source; it is joined, and only its two totals come to the driver. Copies of one document spread
+The rate table has a row per source. Only its totals come to the driver; they tell its size, and it
+is broadcast if that is small, else joined like any table. Copies of one document spread
 over all partitions, so neither a hot source nor a high rate falls into one task.
 
 Cases: a null source is a source of its own; a document without an id is drawn by its text; rows
@@ -16,12 +17,16 @@ an empty result; extra columns pass through, and the added columns take free nam
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.llm.common import fresh, query, table
 
 SEED = 17
+#: The rate table is broadcast if its distributions have at most this many numbers in all (16 MB).
+MAX_BROADCAST = 2_000_000
 #: 52 bits of a digest make the uniform number.
 HEX = 13
 
@@ -61,9 +66,13 @@ def rates(docs: DataFrame, source: str = "source", weights: dict | None = None,
     else:
         w = F.sqrt("n") if alpha == 0.5 else F.pow("n", F.lit(float(alpha)))
     n = n.withColumn("w", w)
-    whole = n.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()  # two numbers
-    rated = n.withColumn("rate", F.col("w") / F.lit(whole["w"] or 1.0) * F.lit(whole["n"] or 0) / F.col("n"))
-    return rated.where("rate > 0").select("source", "n", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
+    whole = n.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") / F.col("n")).alias("r"), F.count("*").alias("k")).first()
+    all_w, all_n = whole["w"] or 1.0, whole["n"] or 0
+    rated = n.withColumn("rate", F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n"))
+    rated = rated.where("rate > 0").select("source", "n", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
+    rate_sum = (whole["r"] or 0.0) * all_n / all_w
+    entries = rate_sum + 12 * math.sqrt(rate_sum * whole["k"]) + 32 * whole["k"]  # of all distributions, at most
+    return F.broadcast(rated) if entries <= MAX_BROADCAST else rated
 
 
 def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, **targets) -> tuple[DataFrame, dict[str, str]]:
