@@ -55,6 +55,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """An object that a Python worker keeps between batches, such as a cache of word hashes."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

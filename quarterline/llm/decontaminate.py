@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.llm.common import fixed, fresh, lowered, query, small_batches, table
+from quarterline.llm.common import fixed, fresh, kept, lowered, query, small_batches, table
 from quarterline.llm.ngram_join import mixed
 
 #: Edit distance in characters that still counts as the item, as a share of its length.
@@ -117,7 +117,7 @@ class Symbols:
         seen = self.seen
         if len(seen) > self.remembered:
             seen.clear()
-        for w in set(found) - seen.keys():
+        for w in set(found).difference(seen):
             seen[w] = xxhash.xxh64_intdigest(w) or 1
         return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
 
@@ -254,7 +254,7 @@ def find_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     bloom = spark.sparkContext.broadcast(key_filter(keys.select("key")))
 
     def scan(texts: pd.Series) -> pd.Series:
-        return pd.Series(hits_of(list(texts), sizes, bloom.value, Symbols()), dtype=object)
+        return pd.Series(hits_of(list(texts), sizes, bloom.value, kept("symbols", Symbols)), dtype=object)
 
     slim = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
     hits = slim.select("id", F.sha1("t").alias("digest"), F.explode(F.pandas_udf(scan, _HIT).asNondeterministic()("t")).alias("h"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.llm.common import WORD, fixed, fresh, lowered, query, small_batches, table
+from quarterline.llm.common import WORD, fixed, fresh, kept, lowered, query, small_batches, table
 from quarterline.llm.graph import components
 
 WIDTH = 4
@@ -69,7 +69,7 @@ class Shingler:
         seen = self.seen
         if len(seen) > self.remembered:
             seen.clear()
-        for w in set(found) - seen.keys():
+        for w in set(found).difference(seen):
             seen[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
         k = min(self.width, len(h))
@@ -87,7 +87,7 @@ def frequency_classes(docs: DataFrame, text: str = "text", width: int = WIDTH) -
     each = SLOTS // BLOCKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, counts = Shingler(width), np.zeros(SLOTS, np.int64)
+        shingles, counts = kept(("shingles", width), lambda: Shingler(width)), np.zeros(SLOTS, np.int64)
         for rows in batches:
             sets = [shingles(x) for x in rows["t"]]
             if sets:
@@ -138,7 +138,7 @@ def signer(classes, width: int, threshold: int):
     """Column function: size, key, mean frequency class and first prefix of a text's set."""
 
     def sign(texts: pd.Series) -> pd.DataFrame:
-        shingles, rows = Shingler(width), []
+        shingles, rows = kept(("shingles", width), lambda: Shingler(width)), []
         table_ = classes.value
         for x in texts:
             s = shingles(x)
@@ -156,7 +156,7 @@ def detailer(classes, width: int, threshold: int):
     """Column function: key, prefixes in the further orders, and the whole set."""
 
     def detail(texts: pd.Series) -> pd.DataFrame:
-        shingles, rows = Shingler(width), []
+        shingles, rows = kept(("shingles", width), lambda: Shingler(width)), []
         for x in texts:
             s = shingles(x)
             more = [prefix(s, classes.value, o, threshold).view(np.int64) for o in ORDERS[1:]] if len(s) else None
@@ -251,7 +251,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) ->
 
 def _keys(width: int):
     def keys(texts: pd.Series) -> pd.Series:
-        shingles = Shingler(width)
+        shingles = kept(("shingles", width), lambda: Shingler(width))
         sets = (shingles(x) for x in texts)
         return pd.Series([key_of(s) if len(s) else None for s in sets], dtype=object)
 

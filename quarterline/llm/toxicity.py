@@ -1,8 +1,9 @@
 """Toxicity of texts by a small convolutional network, written and trained in numpy.
 
-Words (UTF-8, A-Z in lower case, punctuation at the ends removed) are hashed into BUCKETS embeddings;
-filters of several widths run over them, each keeps its largest response over the whole text, and a
-logistic layer turns the responses into a score. The score is scaled (Platt) on labelled documents
+Words (UTF-8, A-Z in lower case, punctuation at the ends removed) and their beginnings of PREFIXES
+bytes are hashed into BUCKETS embeddings, whose sum stands for the word, so that unseen forms of a
+stem are known too. Filters of several widths run over the words, each keeps its largest response over
+the whole text, and a logistic layer turns the responses into a score. The score is scaled (Platt) on labelled documents
 that the network did not see, and there each language gets the threshold with the best F1.
 
 The network is fitted on the driver to a bounded sample: of the labelled documents the MAX_POSITIVE
@@ -16,6 +17,7 @@ both classes every score is their rate; empty tables give empty results; extra c
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.llm.common import fresh, lowered, query, small_batches, table
+from quarterline.llm.common import fresh, kept, lowered, query, small_batches, table
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
+PREFIXES = (5, 6, 7, 8, 9)
 DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
@@ -44,24 +47,36 @@ _ENDS = b".,;:!?\"'()[]{}<>*#$%&|+-=/_"
 
 
 class Hasher:
-    """Texts to embedding numbers; remembers the words it has seen."""
+    """Texts to word numbers, and the embedding numbers of each word; remembers the words it has seen."""
 
-    def __init__(self, remembered: int = 500_000):
-        self.seen, self.remembered = {}, remembered
+    def __init__(self, remembered: int = 300_000):
+        self.remembered = remembered
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; number 0 is the unknown word."""
+        self.seen: dict[bytes, int] = {}
+        self.parts: list[tuple[int, ...]] = [(BUCKETS,) * (1 + len(PREFIXES))]
+        self.shares: np.ndarray | None = None  # what a network made of the words so far
 
     def __call__(self, text: str | None) -> np.ndarray:
         found = lowered(text).split()
-        seen = self.seen
-        if len(seen) > self.remembered:
-            seen.clear()
-        for w in set(found) - seen.keys():
-            seen[w] = xxhash.xxh64_intdigest(w.strip(_ENDS)) % BUCKETS
+        seen, parts = self.seen, self.parts
+        for w in set(found).difference(seen):
+            core = w.strip(_ENDS)
+            seen[w] = len(parts)
+            parts.append(
+                (xxhash.xxh64_intdigest(core) % BUCKETS, *[xxhash.xxh64_intdigest(core[:k], k) % BUCKETS if len(core) > k else BUCKETS for k in PREFIXES])
+            )
         return np.fromiter(map(seen.__getitem__, found), np.int32, len(found))
 
+    def embeddings(self, since: int = 0) -> np.ndarray:
+        return np.array(self.parts[since:], np.int32).reshape(-1, 1 + len(PREFIXES))
+
 
 @dataclass
 class Network:
-    """Embeddings (the last row is the unknown word), filters by width, and the logistic layer."""
+    """Embeddings (the last row, of no part, is zero), filters by width, and the logistic layer."""
 
     embedding: np.ndarray
     filters: list[np.ndarray]  # per width: (width, DIM, FILTERS)
@@ -71,10 +86,16 @@ class Network:
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict = field(default_factory=dict)
     overall: float = CUT
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def tables(self) -> list[list[np.ndarray]]:
-        """Per width and place in the window: every embedding's share of the responses."""
-        return [[self.embedding @ f[o] for o in range(len(f))] for f in self.filters]
+    def shares(self, hasher: Hasher) -> np.ndarray:
+        """Every remembered word's share of the responses, by width and place in the window."""
+        done = 0 if hasher.shares is None else len(hasher.shares)
+        if done < len(hasher.parts):
+            flat = np.concatenate([f[o] for f in self.filters for o in range(len(f))], axis=1)
+            new = (self.embedding[hasher.embeddings(done)].sum(1) @ flat).astype(np.float32)
+            hasher.shares = new if done == 0 else np.concatenate([hasher.shares, new])
+        return hasher.shares
 
 
 def laid_out(texts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,34 +103,37 @@ def laid_out(texts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     gap = max(WIDTHS)
     sizes = np.array([max(1, len(t)) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + gap)])
-    ids = np.full(begin[-1] + gap, BUCKETS, np.int32)
+    ids = np.zeros(begin[-1] + gap, np.int32)
     for t, b in zip(texts, begin):
         ids[b : b + len(t)] = t
     return ids, begin[:-1], sizes
 
 
-def responses(tables: list[list[np.ndarray]], ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def responses(shares: np.ndarray, ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The largest response of every filter over every text."""
-    n, out = len(ids) - max(WIDTHS), []
+    n, out, at = len(ids) - max(WIDTHS), [], 0
     edges = np.stack([begin, begin + sizes], 1).ravel()
-    for parts in tables:
-        r = parts[0][ids[:n]]
-        for o, p in enumerate(parts[1:], 1):
-            r += p[ids[o : n + o]]
+    words = shares[ids]
+    for width in WIDTHS:
+        r = words[:n, at : at + FILTERS].copy()
+        for o in range(1, width):
+            r += words[o : n + o, at + o * FILTERS : at + (o + 1) * FILTERS]
+        at += width * FILTERS
         out.append(np.maximum.reduceat(np.concatenate([r, r[-1:]]), edges, axis=0)[::2])
     return np.concatenate(out, 1)
 
 
-def raw_scores(net: Network, texts: Sequence[np.ndarray], tables=None, words_at_once: int = 100_000) -> np.ndarray:
-    """Log-odds of every text, before scaling."""
-    tables = tables or net.tables()
+def raw_scores(net: Network, texts: Sequence[str | None], hasher: Hasher, words_at_once: int = 50_000) -> np.ndarray:
+    """Log-odds of every text, before scaling; texts are taken together up to a number of words."""
     out, part, size = [], [], 0
-    for i, t in enumerate(texts):
-        part.append(t)
-        size += len(t)
+    for i, text in enumerate(texts):
+        part.append(hasher(text))
+        size += len(part[-1])
         if size >= words_at_once or i == len(texts) - 1:
-            out.append(np.maximum(responses(tables, *laid_out(part)) + net.shift, 0) @ net.weight + net.bias)
+            out.append(np.maximum(responses(net.shares(hasher), *laid_out(part)) + net.shift, 0) @ net.weight + net.bias)
             part, size = [], 0
+            if len(hasher.parts) > hasher.remembered:
+                hasher.clear()
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -117,20 +141,21 @@ def probabilities(net: Network, raw: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(net.scale[0] * raw + net.scale[1], -30, 30)))
 
 
-def fit_network(texts: list[np.ndarray], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+def fit_network(texts: list[np.ndarray], parts: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """Adam on the logistic loss, classes weighted equally.
 
     Only the window with the largest response of a filter gets a gradient, so a step touches few
     embeddings. The first embedding dimension starts at the word's log-odds among the sampled documents.
     """
     rng = np.random.default_rng(seed)
-    sets = [np.unique(t) for t in texts]
+    sets = [np.unique(parts[np.unique(t)]) for t in texts]
+    sets = [s[s < BUCKETS] for s in sets]
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
     in1, in0 = (np.bincount(np.concatenate([s for s, y in zip(sets, toxic) if y == c] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for c in (True, False))
     odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     known = in1 + in0 >= min(MIN_DOCUMENTS, max(2, n1 // 8))
     e = rng.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
-    e[:-1, 0] = np.clip(odds, -2, 4)
+    e[:-1, 0] = np.clip(odds, -1, 4) / 2
     e[:-1][~known] = 0
     e[-1] = 0
     f = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) / w for w in WIDTHS]
@@ -148,7 +173,7 @@ def fit_network(texts: list[np.ndarray], toxic: np.ndarray, epochs: int = EPOCHS
             rows = order[low : low + BATCH]
             ids, begin, sizes = laid_out([texts[i] for i in rows])
             n = len(ids) - max(WIDTHS)
-            x = e[ids]
+            x = e[parts[ids]].sum(1)
             best = np.empty((len(rows), k), np.int64)
             top = np.empty((len(rows), k), np.float32)
             for j, w in enumerate(WIDTHS):
@@ -168,10 +193,12 @@ def fit_network(texts: list[np.ndarray], toxic: np.ndarray, epochs: int = EPOCHS
                 cols = slice(j * FILTERS, (j + 1) * FILTERS)
                 gf = np.empty_like(dense[f"f{j}"])
                 for o in range(w):
-                    words = ids[best[:, cols] + o]
-                    gf[o] = np.einsum("df,dfk->kf", back[:, cols], e[words])
-                    at_id.append(words.ravel())
-                    by.append((back[:, cols, None] * dense[f"f{j}"][o].T[None]).reshape(-1, DIM))
+                    words = best[:, cols] + o
+                    gf[o] = np.einsum("df,dfk->kf", back[:, cols], x[words])
+                    pull = (back[:, cols, None] * dense[f"f{j}"][o].T[None]).reshape(-1, DIM)
+                    for part in parts[ids[words]].reshape(-1, parts.shape[1]).T:
+                        at_id.append(part)
+                        by.append(pull)
                 grad[f"f{j}"] = gf + 1e-4 * dense[f"f{j}"]
             step += 1
             for name, gx in grad.items():
@@ -222,12 +249,6 @@ def held_out_column(ident: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(f"`{ident}`").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-@F.pandas_udf(T.BinaryType())
-def _numbers(texts: pd.Series) -> pd.Series:
-    hasher = Hasher()
-    return pd.Series([hasher(x).astype("<i4").tobytes() for x in texts], dtype=object)
-
-
 def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> Network:
     """Fit and calibrate on the bounded sample of labelled documents that are not held out."""
     one = labels.where(F.col(ident).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(ident).alias("of")).agg(F.max(label).alias("y"))
@@ -236,9 +257,10 @@ def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     totals = {bool(r.y): r.c for r in one.groupBy(F.col("y") > 0).agg(F.count("*").alias("c")).withColumnRenamed("(y > 0)", "y").collect()}
     chosen = one.where("y > 0").orderBy(order, "of").limit(MAX_POSITIVE).unionByName(one.where("y <= 0").orderBy(order, "of").limit(MAX_NEGATIVE))
     slim = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang"))
-    rows = slim.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "y", "lang", _numbers("t").alias("w")).collect()
-    rows.sort(key=lambda r: (hashlib.md5(f"split{r.id}".encode()).digest(), bytes(r.w)))
-    texts = [np.frombuffer(bytes(r.w), "<i4") for r in rows]
+    rows = slim.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "y", "lang", "t").collect()
+    rows.sort(key=lambda r: (hashlib.md5(f"split{r.id}".encode()).digest(), r.t or ""))
+    hasher = Hasher()
+    texts = [hasher(r.t) for r in rows]
     toxic = np.array([r.y > 0 for r in rows], bool)
     if toxic.all() or not toxic.any():
         rate = float(toxic.mean()) if len(toxic) else 0.0
@@ -250,10 +272,10 @@ def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     cut = int(len(rows) * CALIBRATION)
     if not 0 < toxic[:cut].sum() < cut or toxic[cut:].all() or not toxic[cut:].any():
         cut = 0  # too few to set any aside
-    net = fit_network(texts[cut:], toxic[cut:])
+    net = fit_network(texts[cut:], hasher.embeddings(), toxic[cut:])
     held = slice(0, cut) if cut else slice(0, len(rows))
     weight = np.where(toxic, totals[True] / toxic.sum(), totals[False] / (~toxic).sum())
-    calibrate(net, raw_scores(net, texts[held]), toxic[held], [r.lang for r in rows[held]], weight[held])
+    calibrate(net, raw_scores(net, [r.t for r in rows[held]], Hasher()), toxic[held], [r.lang for r in rows[held]], weight[held])
     return net
 
 
@@ -269,8 +291,9 @@ def score(docs: DataFrame, net: Network, text: str = "text", lang: str = "lang")
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def scores(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        hasher, n = Hasher(), model.value
-        p = probabilities(n, raw_scores(n, [hasher(x) for x in texts]))
+        n = model.value
+        hasher = kept(("toxicity", n.name), Hasher)
+        p = probabilities(n, raw_scores(n, list(texts), hasher))
         cuts = np.array([n.thresholds.get(x, n.overall) for x in langs], float)
         return pd.DataFrame({"score": p, "threshold": cuts, "flagged": p >= cuts})
 
