@@ -42,7 +42,7 @@ from quarterline.llm.ngram_join import mixed
 MAX_DISTANCE = 0.2
 #: The recall that the repetitions are chosen for, with this share of a window's words edited.
 RECALL, EDITED = 0.95, 0.1
-SAMPLED = 4
+SAMPLED = 5
 SEED = 29
 FILTER_BITS = 1 << 24
 FILTER_HASHES = 4
