@@ -39,14 +39,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a text table for CPU-heavy work.
-
-    A small file is one row group and so one task; it is spread over the cores. A table with
-    at least as many splits as cores is read as it is, without a shuffle.
-    """
-    df = table(spark, sf, name).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Columns of a text table, read as it is stored."""
+    return table(spark, sf, name).select(*columns)
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
@@ -166,12 +160,11 @@ weighted AS (
 
 # ---- trading calendar and returns ----------------------------------------------------
 def levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Long daily levels ``series, date, value``: order value per status on weekdays."""
+    """Long daily levels ``series, date, value``: order value per status."""
     orders = table(spark, sf, "orders")
     day = F.to_date("o_orderdate")
     return (
-        orders.where(F.dayofweek(day).between(2, 6))
-        .groupBy(F.col("o_orderstatus").alias("series"), day.alias("date"))
+        orders.groupBy(F.col("o_orderstatus").alias("series"), day.alias("date"))
         .agg(F.sum("o_totalprice").alias("value"))
     )
 
@@ -179,7 +172,7 @@ def levels(spark: SparkSession, sf: str) -> DataFrame:
 LEVELS = """
 levels AS (
   SELECT o_orderstatus AS series, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS value
-  FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY ALL)"""
+  FROM orders GROUP BY ALL)"""
 
 
 def returns(spark: SparkSession, sf: str) -> DataFrame:

@@ -136,17 +136,23 @@ def asof_strict_next(spark, sf):
 
 @query(
     "centered_change",
-    f"""WITH {LEVELS}, s AS (SELECT date, value / 31415.93e0 AS value FROM levels WHERE series = 'F'),
-steps AS (SELECT date, lead(value) OVER (ORDER BY date) - lag(value) OVER (ORDER BY date) AS step FROM s),
+    f"""WITH {LEVELS}, s AS (SELECT series, date, value / 31415.93e0 AS value FROM levels),
+steps AS (SELECT series, date, lead(value) OVER w - lag(value) OVER w AS step FROM s WINDOW w AS (PARTITION BY series ORDER BY date)),
 d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS event_date FROM lineitem),
-m AS (SELECT event_date, coalesce((SELECT min(date) FROM s WHERE date >= event_date), (SELECT max(date) FROM s)) AS date_used FROM d)
-SELECT event_date, date_used, round(coalesce(step, 0), 6) + 0e0 AS "S_policy", CASE WHEN step IS NULL THEN 0 ELSE 1 END AS "S_policy_available"
-FROM m JOIN steps ON date = date_used""",
+m AS (SELECT event_date, n.series, coalesce((SELECT min(date) FROM s WHERE s.series = n.series AND date >= event_date), (SELECT max(date) FROM s WHERE s.series = n.series)) AS date_used
+  FROM d, (SELECT DISTINCT series FROM s) n)
+SELECT l_orderkey, l_linenumber, m.series, m.event_date, date_used, round(coalesce(step, 0), 6) + 0e0 AS "S_policy", CASE WHEN step IS NULL THEN 0 ELSE 1 END AS "S_policy_available"
+FROM lineitem JOIN m ON m.event_date = CAST(l_shipdate AS DATE) JOIN steps ON date = date_used AND steps.series = m.series""",
 )
 def centered_change(spark, sf):
-    series = levels(spark, sf).where("series = 'F'").select("date", (F.col("value") / 31415.93).alias("value"))
-    days = shipments(spark, sf).select("event_date").distinct()
-    return r6(ev.centered_change(days, series))
+    """Every line item against each of the three daily series."""
+    rows = levels(spark, sf).select("series", "date", (F.col("value") / 31415.93).alias("value"))
+    events = line_events(spark, sf).select("l_orderkey", "l_linenumber", "event_date")
+    each = [
+        ev.centered_change(events, rows.where(F.col("series") == s).select("date", "value")).withColumn("series", F.lit(s))
+        for s in ("F", "O", "P")
+    ]
+    return r6(each[0].unionByName(each[1]).unionByName(each[2]))
 
 
 @query(
@@ -281,6 +287,7 @@ def panel(spark, sf, window=1):
     families = {
         ("S_gdp", "D_gdp"): family("R", "S_gdp", "D_gdp"),
         ("S_policy", "D_policy"): family("A", "S_policy", "D_policy"),
+        ("S_other", "D_other"): family("N", "S_other", "D_other"),
     }
     return pn.daily_panel(
         returns(spark, sf), reports, rows, PLAIN, ZSCORED, families, controls(spark, sf), window
@@ -297,6 +304,7 @@ def _family_sql(flag, shock, dummy, name):
 
 PANEL = f"""{RETURNS}, {RATES}, {SHIPMENTS}, {QUARTERLY},
 {_family_sql('R', 'S_gdp', 'D_gdp', 'fam_r')}, {_family_sql('A', 'S_policy', 'D_policy', 'fam_a')},
+{_family_sql('N', 'S_other', 'D_other', 'fam_n')},
 scored_q AS (
   SELECT year, quarter, report_date, tone_policy, tone_macro,
          coalesce((similarity_prev - avg(similarity_prev) OVER ()) / stddev_samp(similarity_prev) OVER (), 0) AS "Similarity",
@@ -310,14 +318,15 @@ sums AS (SELECT ord, sum(0.5e0) AS "D_report", sum("Similarity" / 2) AS "Similar
   sum(tone_policy / 2) AS tone_policy, sum(tone_macro / 2) AS tone_macro FROM placed GROUP BY ord),
 panel AS (
   SELECT r.date, r."F", r."O", r."P", coalesce("S_gdp", 0e0) AS "S_gdp", coalesce("D_gdp", 0) AS "D_gdp",
-         coalesce("S_policy", 0e0) AS "S_policy", coalesce("D_policy", 0) AS "D_policy", coalesce("D_report", 0e0) AS "D_report",
+         coalesce("S_policy", 0e0) AS "S_policy", coalesce("D_policy", 0) AS "D_policy",
+         coalesce("S_other", 0e0) AS "S_other", coalesce("D_other", 0) AS "D_other", coalesce("D_report", 0e0) AS "D_report",
          coalesce("Similarity", 0e0) AS "Similarity", coalesce("Readability", 0e0) AS "Readability",
          coalesce(tone_policy, 0e0) AS tone_policy, coalesce(tone_macro, 0e0) AS tone_macro,
          usdcny_mid, usdcny_chg, fx_ret, shibor_1w, ib_7d, short_rate, short_rate_chg, ib_minus_shibor
-  FROM returns r LEFT JOIN controls c ON c.date = r.date LEFT JOIN fam_r ON fam_r.date = r.date LEFT JOIN fam_a ON fam_a.date = r.date
+  FROM returns r LEFT JOIN controls c ON c.date = r.date LEFT JOIN fam_r ON fam_r.date = r.date LEFT JOIN fam_a ON fam_a.date = r.date LEFT JOIN fam_n ON fam_n.date = r.date
   JOIN ord o ON o.date = r.date LEFT JOIN sums s ON s.ord = o.ord)"""
 _PANEL = (
-    '"F"', '"O"', '"P"', '"S_gdp"', '"D_gdp"', '"S_policy"', '"D_policy"', '"D_report"', '"Similarity"', '"Readability"',
+    '"F"', '"O"', '"P"', '"S_gdp"', '"D_gdp"', '"S_policy"', '"D_policy"', '"S_other"', '"D_other"', '"D_report"', '"Similarity"', '"Readability"',
     "tone_policy", "tone_macro", "usdcny_mid", "usdcny_chg", "fx_ret", "shibor_1w", "ib_7d", "short_rate", "short_rate_chg",
     "ib_minus_shibor",
 )

@@ -135,20 +135,24 @@ a5 AS (SELECT *, CASE WHEN negations % 2 = 1 THEN -attenuated ELSE attenuated EN
 
 
 def anchor_steps(spark, sf, *columns):
-    tone = lx.dict_tone(tokenised(spark, sf), word_table(spark), "id", PROFILE)
+    tone = lx.dict_tone(tokenised(spark, sf), word_table(spark), PROFILE)
     return tone.select("id", F.inline("scored")).select("id", "pos", "word", *columns)
 
 
 @query("sentiment_anchors", f"WITH {ANCHORS} SELECT id, pos, word, weight, prev FROM hits")
 def sentiment_anchors(spark, sf):
-    rows = lx.with_hits(tokenised(spark, sf), word_table(spark), "id")
+    rows = lx.with_hits(tokenised(spark, sf), word_table(spark))
     return rows.select("id", F.inline(lx.anchors())).select("id", "pos", "word", "weight", "prev")
 
 
-@query("sentiment_anchors_joined", f"WITH {ANCHORS} SELECT id, pos, word, weight, prev FROM hits")
+@query(
+    "sentiment_anchors_joined",
+    f"WITH {ANCHORS} SELECT id // 2 AS id, pos, word, weight, prev FROM hits",
+)
 def sentiment_anchors_joined(spark, sf):
-    """The same through a join, the way taken by a lexicon beyond the word limit."""
-    rows = lx.with_hits(tokenised(spark, sf), word_table(spark), "id", limit=0)
+    """With words listed twice (the larger weight holds) and ids that two sentences share."""
+    twice = word_table(spark).unionByName(word_table(spark).withColumn("weight", F.col("weight") - 3))
+    rows = lx.with_hits(tokenised(spark, sf).withColumn("id", F.floor(F.col("id") / 2)), twice)
     return rows.select("id", F.inline(lx.anchors())).select("id", "pos", "word", "weight", "prev")
 
 
@@ -186,7 +190,7 @@ dict_tone AS (SELECT *, CASE WHEN valid = 1 THEN coalesce(s / len(tokens), 0e0)
     f"WITH {DICT_TONE} SELECT id, round(tone, 6) + 0e0 AS dict_tone, valid AS is_valid_unit FROM dict_tone",
 )
 def dict_tone(spark, sf):
-    tone = lx.dict_tone(tokenised(spark, sf), word_table(spark), "id", PROFILE)
+    tone = lx.dict_tone(tokenised(spark, sf), word_table(spark), PROFILE)
     return r6(tone.select("id", "dict_tone", "is_valid_unit"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quarterline.catalog import regress_sql as sql
 from quarterline.catalog.base import (
-    QUARTERLY, RETURNS, calendar, macro, macro_sql, quarterly, query, r6, returns,
+    QUARTERLY, RETURNS, levels, macro, macro_sql, quarterly, query, r6, returns,
     table,
 )
 from quarterline.operators import events as ev
@@ -144,14 +144,14 @@ def residual_shock_report(spark, sf):
 
 # ---- daily panel with weekly event days ---------------------------------------------
 def event_days(spark, sf):
-    """Calendar with daily tone levels, a control and an event flag on Mondays."""
+    """All days of the level series with daily tone levels, a control and an event flag on Mondays."""
     d = F.to_date("l_shipdate")
     tone = table(spark, sf, "lineitem").groupBy(d.alias("date")).agg(
         (F.avg("l_discount") * 10).alias("tone_policy"),
         (F.avg("l_tax") * 10).alias("tone_macro"),
         (F.avg("l_quantity") / 25).alias("rate"),
     )
-    days = calendar(spark, sf).join(tone, "date", "left")
+    days = levels(spark, sf).select("date").distinct().join(tone, "date", "left")
     days = add_changes(days, {"rate_chg": "rate"})
     return days.withColumn("is_event", (F.dayofweek("date") == 2).cast("int"))
 
@@ -183,7 +183,7 @@ def event_delta_shock(spark, sf):
     return r6(shocked_days(spark, sf).select("date", "is_event", *SHOCKS.values()))
 
 
-_LP_H = (0, 1, 2, 5, 10)
+_LP_H = tuple(range(11))
 _LP_XS = ["d_tone_policy", "d_tone_macro", "rate_chg", *[f"ret_l{i}" for i in range(1, 6)]]
 
 
@@ -263,14 +263,18 @@ t AS (
          sum(exp(a.theta1 * (a.o - b.o) + a.theta2 * (a.o - b.o) * (a.o - b.o)) * b.tone_policy)
          / sum(exp(a.theta1 * (a.o - b.o) + a.theta2 * (a.o - b.o) * (a.o - b.o))) AS x
   FROM og a JOIN og b ON a.theta1 = b.theta1 AND a.theta2 = b.theta2 AND a.o - b.o BETWEEN 0 AND 7 GROUP BY ALL),
-j AS (SELECT theta1, theta2, x, "F" * "F" AS y FROM returns r JOIN t ON t.year = year(r.date) AND t.quarter = quarter(r.date) WHERE "F" IS NOT NULL),
-s AS (SELECT theta1, theta2, count(*) AS n, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS ssr FROM j GROUP BY ALL)
-SELECT theta1, theta2, n, round(ssr, 4) AS ssr FROM s ORDER BY ssr, theta1, theta2 LIMIT 1""",
+l AS (SELECT date, 'F' AS series, "F" AS ret FROM returns UNION ALL SELECT date, 'O', "O" FROM returns UNION ALL SELECT date, 'P', "P" FROM returns),
+j AS (SELECT series, theta1, theta2, x, ret * ret AS y FROM l JOIN t ON t.year = year(l.date) AND t.quarter = quarter(l.date) WHERE ret IS NOT NULL),
+s AS (SELECT series, theta1, theta2, count(*) AS n, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS ssr FROM j GROUP BY ALL)
+SELECT series, theta1, theta2, n, round(ssr, 4) AS ssr FROM s
+QUALIFY row_number() OVER (PARTITION BY series ORDER BY ssr, theta1, theta2) = 1""",
 )
 def midas_weight_search(spark, sf):
-    days = returns(spark, sf).select(F.year("date").alias("year"), F.quarter("date").alias("quarter"), "F")
+    """The best weights for each of the three series."""
+    days = returns(spark, sf).select(F.year("date").alias("year"), F.quarter("date").alias("quarter"), "F", "O", "P")
     quarters = quarterly(spark, sf).select(*PERIOD, "tone_policy")
-    out = rg.midas_weight_search(days, quarters, "F", "tone_policy", GRID)
+    best = [rg.midas_weight_search(days, quarters, c, "tone_policy", GRID).withColumn("series", F.lit(c)) for c in ("F", "O", "P")]
+    out = best[0].unionByName(best[1]).unionByName(best[2])
     return out.withColumns({"n": F.col("n").cast("bigint"), "ssr": F.round("ssr", 4)})
 
 

@@ -162,7 +162,7 @@ def lag_columns(spark, sf):
     return sr.add_lags(rows, ["v"], [1, 2], "date", ["series"], drop_missing=True)
 
 
-_H = (0, 1, 5, 10)
+_H = tuple(range(11))
 
 
 @query(

@@ -9,7 +9,7 @@ from quarterline.plans.text_tone import scored_sentences
 
 SIGN = f"""{DICT_TONE},
 labelled AS (SELECT id, text, tone, CASE WHEN tone > 0 THEN 0 ELSE 1 END AS label FROM dict_tone
-  WHERE valid = 1 AND length(text) > 4 AND abs(tone) > 0.02e0)"""
+  WHERE valid = 1 AND length(text) > 4 AND abs(tone) > 0)"""
 
 
 def toned(spark, sf):
@@ -25,7 +25,7 @@ def tokenised_column():
 
 
 def labelled(spark, sf):
-    return wk.weak_labels_sign(toned(spark, sf), margin=0.02)
+    return wk.weak_labels_sign(toned(spark, sf))
 
 
 @query("weak_labels_sign", f"WITH {SIGN} SELECT id, label FROM labelled")

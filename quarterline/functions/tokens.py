@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarterline.functions.coerce import strip
 
@@ -21,49 +20,42 @@ def latin_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
-def collect_words(words: DataFrame, column: str = "word", limit: int = 200_000) -> list[str]:
-    """A word table as a list on the driver; refuses a table beyond ``limit`` words."""
-    rows = words.select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} words; join the word table instead")
-    return [r[0] for r in rows]
+def collect_words(words: DataFrame, column: str = "word") -> list[str]:
+    """A dictionary as a list on the driver, for ``segmenter``."""
+    return [r[0] for r in words.select(column).where(F.col(column).isNotNull()).distinct().collect()]
+
+
+def _folded(words: Sequence[str]) -> str:
+    """A pattern for any of the words, common beginnings folded, longest match first."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [re.sub(r"[^\w]", r"\\\g<0>", ch) + pattern(below) for ch, below in sorted(node.items()) if ch]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return f"{body}?" if "" in node else body
+
+    return pattern(tree)
 
 
 def segmenter(words: Sequence[str]):
-    """Forward maximum matching over a word list, as a vectorised function.
+    """Forward maximum matching over a word list, as a column function.
 
     At each position the longest listed word is taken, else a run of ASCII letters or
     digits, else one character.
     """
-    known = frozenset(w for w in words if w)
-    longest = max((len(w) for w in known), default=1)
-
-    def run_end(text: str, i: int) -> int:
-        ch = text[i]
-        same = str.isdigit if ch.isdigit() else str.isalpha
-        j = i + 1
-        while j < len(text) and text[j].isascii() and same(text[j]):
-            j += 1
-        return j
-
-    def cut(text: str | None) -> list[str]:
-        out: list[str] = []
-        i = 0
-        while text and i < len(text):
-            j = next(
-                (k for k in range(min(len(text), i + longest), i + 1, -1) if text[i:k] in known),
-                0,
-            )
-            if not j:
-                ascii_word = text[i].isascii() and text[i].isalnum()
-                j = run_end(text, i) if ascii_word else i + 1
-            out.append(text[i:j])
-            i = j
-        return out
+    known = sorted({w for w in words if w and len(w) > 1})
+    pattern = "(?s)" + "|".join([*([_folded(known)] if known else []), "[A-Za-z]+", "[0-9]+", "."])
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def segment(text: pd.Series) -> pd.Series:
-        return text.map(cut)
+    def segment(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
     return segment
 

@@ -164,7 +164,7 @@ def centered_change(
         (F.lead(value).over(order) - F.lag(value).over(order)).alias("__step"),
     )
     mapped = map_on_or_after(events, known, date, used)
-    joined = mapped.join(F.broadcast(steps), used, "left")
+    joined = mapped.join(steps, used, "left")
     return joined.withColumns(
         {
             out: F.coalesce("__step", F.lit(0.0)),

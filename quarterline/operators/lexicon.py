@@ -1,8 +1,8 @@
 """Lexicon scoring of tokenised sentences.
 
 A sentence's tokens stay in one array, so negation, context and attenuation are looked up
-by position inside the row and nothing is shuffled. Lexicons within ``MAX_WORDS`` enter the
-plan as a hashed word set; a larger one is joined to the tokens.
+by position inside the row. The listed tokens are found by a join with the lexicon, whatever its
+size; Spark broadcasts it when it is small.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from quarterline.functions.coerce import strip
 from quarterline.functions.text import add_once, contains_any, count_chars, let
 from quarterline.profiles import DIGIT, ZH_COUNT, ZH_TONE, CountProfile, ToneProfile
 
-MAX_WORDS = 50_000
-
 
 def build_lexicon(sheets: DataFrame, profile: ToneProfile = ZH_TONE) -> DataFrame:
     """Rows ``sheet, sheet_order, row, word`` to one weight per word.
@@ -62,48 +60,27 @@ def valid_unit(text: Column, tokens: Column, max_share: float = ZH_TONE.max_digi
     return F.when(text.isNull() | heavy | (F.size(tokens) == 0), 0).otherwise(1)
 
 
-def word_weights(lexicon: DataFrame, limit: int = MAX_WORDS) -> dict[int, list[str]] | None:
-    """Words by weight when the lexicon has at most ``limit`` words, else ``None``."""
-    rows = lexicon.select("word", "weight").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    by_weight: dict[int, list[str]] = {}
-    for word, weight in rows:
-        by_weight.setdefault(weight, []).append(word)
-    return by_weight
+def one_weight(lexicon: DataFrame) -> DataFrame:
+    """One weight per word; of a word listed with several, the largest holds."""
+    return lexicon.groupBy("word").agg(F.max(F.col("weight").cast("double")).alias("weight"))
 
 
-def with_hits(
-    df: DataFrame, lexicon: DataFrame, ident: str, tokens: str = "tokens", limit: int = MAX_WORDS
-) -> DataFrame:
-    """Add ``hits``: an array of ``(pos, word, weight)`` for the listed tokens."""
-    groups = word_weights(lexicon, limit)
+def with_hits(df: DataFrame, lexicon: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Add ``hits``: an array of ``(pos, word, weight)`` for the listed tokens.
 
-    def hit(pos: Column, word: Column, weight: Column) -> Column:
-        return F.struct(
-            pos.alias("pos"), word.alias("word"), weight.cast("double").alias("weight")
-        )
-
-    if groups is not None:
-
-        def find(t: Column, i: Column) -> Column:
-            out = F.lit(None)
-            for value, words in sorted(groups.items()):
-                out = F.when(t.isin(words), hit(i, t, F.lit(value))).otherwise(out)
-            return out
-
-        listed = F.filter(F.transform(tokens, find), lambda a: a.isNotNull())
-        return add_once(df, {"hits": listed})
-    found = (
-        df.select(ident, F.posexplode(tokens).alias("pos", "word"))
-        .join(lexicon.select("word", "weight"), "word")
-        .groupBy(ident)
-        .agg(F.sort_array(F.collect_list(hit(F.col("pos"), F.col("word"), F.col("weight")))).alias("__h"))
+    Hits depend on the tokens alone, so rows find theirs by a digest of the token array: equal
+    sentences share them, and ids needn't be unique. A row without tokens (NULL) has no hits (NULL).
+    """
+    key = F.sha1(F.concat_ws("\u0001", tokens))
+    listed = (
+        df.select(key.alias("__k"), F.posexplode(tokens).alias("pos", "word"))
+        .join(one_weight(lexicon), "word")
+        .groupBy("__k")
+        .agg(F.sort_array(F.collect_set(F.struct("pos", "word", "weight"))).alias("__h"))
     )
-    joined = df.join(found, ident, "left")
     none = F.array().cast("array<struct<pos:int,word:string,weight:double>>")
-    listed = F.when(F.col(tokens).isNotNull(), F.coalesce("__h", none))
-    return joined.withColumn("hits", listed).drop("__h")
+    found = F.when(F.col(tokens).isNotNull(), F.coalesce("__h", none))
+    return df.withColumn("__k", key).join(listed, "__k", "left").withColumn("hits", found).drop("__k", "__h")
 
 
 def anchors(hits: str = "hits") -> Column:
@@ -193,11 +170,10 @@ def scored_anchors(p: ToneProfile, tokens: str = "tokens", anchors_col: str = "a
 
 
 def dict_tone(
-    df: DataFrame, lexicon: DataFrame, ident: str = "id", profile: ToneProfile = ZH_TONE,
-    limit: int = MAX_WORDS,
+    df: DataFrame, lexicon: DataFrame, profile: ToneProfile = ZH_TONE
 ) -> DataFrame:
     """Add ``scored`` (anchors with weights), ``dict_tone`` and ``is_valid_unit``."""
-    df = with_hits(df, lexicon, ident, limit=limit).withColumn("anchors", anchors())
+    df = with_hits(df, lexicon).withColumn("anchors", anchors())
     df = add_once(df.drop("hits"), {"scored": scored_anchors(profile)})
     total = F.aggregate("scored", F.lit(0.0), lambda acc, a: acc + a["final"])
     valid = valid_unit(F.col("text"), F.col("tokens"), profile.max_digit_share)

@@ -174,7 +174,7 @@ def write_back(
     final = selected.groupBy(ident).agg(
         *[F.max(F.when(F.col("topic") == t, F.col("weight"))).alias(f"weight_{t}") for t in rules.topics]
     )
-    out = df.join(period_side(final, keys), ident, "left")
+    out = df.join(final, ident, "left")
     return out.withColumns(
         {f"weight_{t}": F.coalesce(f"weight_{t}", F.lit(0.0)) for t in rules.topics}
     )
@@ -208,9 +208,11 @@ def update_tail(
     return out.select(*tone.columns, *[c for c in names if c not in tone.columns])
 
 
-def global_median(df: DataFrame, column: str = "neg_prob") -> DataFrame:
-    """One row with the exact median of the whole column."""
-    return exact_quantiles(df, [], column, {"median": 0.5})
+def global_median(
+    df: DataFrame, column: str = "neg_prob", keys: Sequence[str] = PERIOD
+) -> DataFrame:
+    """One row with the exact median of the column over all rows that have a period."""
+    return exact_quantiles(df.dropna(subset=list(keys)), [], column, {"median": 0.5})
 
 
 def topk_informative(
@@ -218,11 +220,12 @@ def topk_informative(
 ) -> DataFrame:
     """Per period the rows whose score is farthest from the global median; ties by id.
 
+    Rows without a period count nowhere, not even in the median.
     k = min(n, min(max, max(min, round(share*n)))), n being the rows with a score.
     """
     keys = list(keys)
-    scored = df.where("neg_prob IS NOT NULL")
-    median = global_median(scored)
+    scored = df.where("neg_prob IS NOT NULL").dropna(subset=keys)
+    median = global_median(scored, keys=keys)
     info = F.abs(F.col("neg_prob") - median.select("median").scalar())
     order = W.partitionBy(*keys).orderBy(F.desc("info"), F.asc(ident))
     ranked = (
@@ -265,8 +268,9 @@ def coverage_report(
     rules: ToneRules = TONE_RULES,
 ) -> DataFrame:
     """Per period and topic: totals, thresholds, counts and averages of the selection, plus
-    one row for the topic-free tone."""
+    one row for the topic-free tone. Rows without a period are left out."""
     keys = list(keys)
+    levels = levels.dropna(subset=keys)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     chosen = F.coalesce("n_selected", F.lit(0))
     topics = levels.join(toned, [*keys, "topic"], "left").select(
@@ -300,8 +304,12 @@ def coverage_report(
 def quarterly_tone(
     df: DataFrame, ident: str = "id", keys: Sequence[str] = PERIOD, rules: ToneRules = TONE_RULES
 ) -> DataFrame:
-    """All tone indicators per period with z-scores (sample sd over the periods)."""
+    """All tone indicators per period with z-scores (sample sd over the periods).
+
+    Rows without a period are left out before anything is counted.
+    """
     keys = list(keys)
+    df = df.dropna(subset=keys)
     levels = checkpoint(thresholds(df, keys, rules))  # period tables are small and reused
     toned = weighted_tone(select_weighted(df, ident, keys, rules, levels), keys, rules.tail)
     wide = []

@@ -19,7 +19,7 @@ def scored_sentences(
     sentences: DataFrame, tokens: Column, words: DataFrame, profile: ToneProfile = ZH_TONE
 ) -> DataFrame:
     """Valid sentences with tokens and lexicon tone."""
-    scored = lexicon.dict_tone(add_once(sentences, {"tokens": tokens}), words, "id", profile)
+    scored = lexicon.dict_tone(add_once(sentences, {"tokens": tokens}), words, profile)
     return scored.where("is_valid_unit = 1").drop("scored")
 
 
@@ -44,7 +44,9 @@ def indicators(
     profile: TextProfile = ZH, rules: ToneRules = TONE_RULES,
 ) -> DataFrame:
     """Quarterly tone, similarity and readability from classified sentences
-    (``id, year, quarter, text, tokens, neg_prob``)."""
+    (``id, year, quarter, text, tokens, neg_prob``). Rows without period or text are left out
+    first; the scored rows are then fixed once, for every step that reads them."""
+    sentences = checkpoint(sentences.dropna(subset=[*corpus.PERIOD, "text"]))
     weighted = tone.topic_scores(sentences, words=topic_words or TOPIC_WORDS)
     weighted = tone.raw_weights(tone.top_topics(weighted, rules), rules)
     quarterly = tone.quarterly_tone(weighted, rules=rules)

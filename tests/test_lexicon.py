@@ -10,16 +10,15 @@ from quarterline.profiles import ZH_TONE
 WORDS = [("好", 1), ("上涨", 1), ("回落", -1), ("衰退", -1), ("改善", 1)]
 
 
-def tone(spark, sentences, limit=lx.MAX_WORDS):
+def tone(spark, sentences):
     words = spark.createDataFrame(WORDS, "word string, weight int")
     rows = [(i, "".join(t), t) for i, t in enumerate(sentences)]
     df = spark.createDataFrame(rows, "id int, text string, tokens array<string>").repartition(2)
-    got = lx.dict_tone(df, words, "id", ZH_TONE, limit).orderBy("id").collect()
+    got = lx.dict_tone(df, words, ZH_TONE).orderBy("id").collect()
     return [(r.dict_tone * max(len(r.tokens), 1), r.is_valid_unit) for r in got]
 
 
-@pytest.mark.parametrize("limit", [lx.MAX_WORDS, 0])
-def test_dict_tone(spark, limit):
+def test_dict_tone(spark):
     cases = {
         ("不", "不", "好"): 1,
         ("不", "好"): -1,
@@ -35,7 +34,7 @@ def test_dict_tone(spark, limit):
         ("上涨",): 1,
         ("无关",): 0,
     }
-    got = tone(spark, [list(c) for c in cases], limit)
+    got = tone(spark, [list(c) for c in cases])
     assert [round(v, 9) for v, _ in got] == list(cases.values())
     assert all(valid == 1 for _, valid in got)
 
@@ -95,8 +94,14 @@ def test_segmenter(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r.w for r in df.select("i", cut("t").alias("w")).orderBy("i").collect()]
     assert got == [brute(t, set(known)) for t in texts]
-    with pytest.raises(ValueError):
-        collect_words(words, limit=3)
+
+
+def test_repeated_words_and_ids_have_one_answer(spark):
+    words = spark.createDataFrame([("good", 1), ("good", -1), ("bad", -1)], "word string, weight int")
+    rows = [(1, "x", ["x", "a", "good", "bad"]), (1, "x", ["good"]), (1, "x", ["good"]), (2, "x", None)]
+    df = spark.createDataFrame(rows, "id int, text string, tokens array<string>")
+    got = lx.dict_tone(df, words, ZH_TONE).collect()
+    assert sorted((r.id, len(r.tokens or []), r.dict_tone) for r in got) == [(1, 1, 1.0), (1, 1, 1.0), (1, 4, 0.0), (2, 0, 0.0)]
 
 
 def test_filter_tokens(spark):
