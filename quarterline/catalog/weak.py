@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from quarterline.catalog.base import DIGITS, count_sql, query, r6, table, tokenised
 from quarterline.catalog.lexicon import DICT_TONE, POS_NEG, PROFILE, net_rows, word_table
 from quarterline.operators import weak as wk
-from quarterline.plans.text_tone import scored_sentences
+from quarterline.plans.text_tone import classified, scored_sentences
+from quarterline.plans.text_tone import classifier_metrics as held_out_metrics
 
 SIGN = f"""{DICT_TONE},
 labelled AS (SELECT id, text, tone, CASE WHEN tone > 0 THEN 0 ELSE 1 END AS label FROM dict_tone
@@ -91,11 +92,30 @@ def two_class_softmax(spark, sf):
     return r6(table(spark, sf, "events").select("event_id", p.alias("neg_prob")))
 
 
-@query("weak_classifier")
+SPLIT = f"""{BALANCED},
+split AS (SELECT *, shuffle <= floor(0.9e0 * count(*) OVER ()) AS is_train FROM sample),
+counts AS (SELECT token, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0
+  FROM split s JOIN tok t ON t.id = s.id WHERE is_train GROUP BY token),
+totals AS (SELECT sum(n1) AS s1, sum(n0) AS s0, count(*) AS v FROM counts),
+weights AS (SELECT token, CAST(round(ln((n1 + 1) / (s1 + v)) - ln((n0 + 1) / (s0 + v)), 9) AS DECIMAL(20, 9)) AS w FROM counts, totals),
+sums_w AS (SELECT t.id, CAST(sum(w) AS DOUBLE) AS s FROM tok t JOIN weights USING (token) GROUP BY t.id),
+prob AS (SELECT d.id, year, quarter, 1 / (1 + exp(-coalesce(u.s, 0e0))) AS p FROM dict_tone d LEFT JOIN sums_w u ON u.id = d.id WHERE valid = 1)"""
+
+
+@query("weak_classifier", f"WITH {SPLIT} SELECT id, year, quarter, round(p, 6) AS neg_prob FROM prob")
 def weak_classifier(spark, sf):
     """Train on balanced weak labels and score every valid sentence."""
-    from quarterline.plans.text_tone import classified
-
     return classified(toned(spark, sf)).select("id", "year", "quarter", F.round("neg_prob", 6).alias("neg_prob"))
 
 
+@query(
+    "classifier_metrics",
+    f"""WITH {SPLIT},
+held AS (SELECT label AS y, CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END AS p FROM split s JOIN prob b ON b.id = s.id WHERE NOT is_train),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
+  count(*) FILTER (WHERE y = 1 AND p = 0) AS fn FROM held)
+SELECT *, round((n - fp - fn) / n, 6) AS accuracy, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""",
+)
+def classifier_metrics(spark, sf):
+    """Accuracy and F1 on the held-out tenth."""
+    return r6(held_out_metrics(toned(spark, sf)))

@@ -1,13 +1,9 @@
-"""Weak labels, balanced sampling and a linear classifier trained on them."""
+"""Weak labels, balanced sampling and a count-based classifier trained on them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +88,34 @@ def two_class_softmax(logit0: Column, logit1: Column) -> Column:
     return 1 / (1 + F.exp(logit0 - logit1))
 
 
-def weak_classifier(features: int = 1 << 15, max_iter: int = 15) -> Pipeline:
-    """Hashed token counts, IDF, logistic regression; expects ``tokens`` and ``label``."""
-    return Pipeline(
-        stages=[
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
-            IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2),
-            LogisticRegression(featuresCol="tfidf", labelCol="label", maxIter=max_iter, regParam=0.01),
-        ]
+def token_weights(train: DataFrame, tokens: str = "tokens", label: str = "label") -> DataFrame:
+    """``token, weight``: the add-one smoothed log-odds of a token between the classes.
+
+    Each token counts as often as it occurs. Weights have nine decimals, so that their sums
+    are exact in any order.
+    """
+    counts = train.select(F.explode(tokens).alias("token"), label).groupBy("token").agg(
+        F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")
     )
+    total = counts.agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"), F.count("*").alias("v"))
+    t = {c: total.select(c).scalar() for c in ("s1", "s0", "v")}
+    odds = F.ln((F.col("n1") + 1) / (t["s1"] + t["v"])) - F.ln((F.col("n0") + 1) / (t["s0"] + t["v"]))
+    return counts.select("token", F.round(odds, 9).cast("decimal(20,9)").alias("weight"))
+
 
+def score_sentences(weights: DataFrame, sentences: DataFrame, out: str = "neg_prob") -> DataFrame:
+    """Add the probability of class 1: the logistic function of the tokens' summed weights.
 
-def score_sentences(model, sentences: DataFrame, out: str = "neg_prob") -> DataFrame:
-    """Score every sentence with the fitted model; keeps the input columns."""
-    scored = model.transform(sentences)
-    return scored.withColumn(out, vector_to_array("probability")[1]).select(*sentences.columns, out)
+    A sentence finds its sum by a digest of its tokens; unknown tokens weigh nothing.
+    """
+    key = F.sha1(F.concat_ws("\u0001", "tokens"))
+    distinct = sentences.select(key.alias("__k"), "tokens").dropDuplicates(["__k"])
+    sums = (
+        distinct.select("__k", F.explode("tokens").alias("token"))
+        .join(weights, "token")
+        .groupBy("__k")
+        .agg(F.sum("weight").cast("double").alias("__s"))
+    )
+    scored = sentences.withColumn("__k", key).join(sums, "__k", "left")
+    p = 1 / (1 + F.exp(-F.coalesce("__s", F.lit(0.0))))
+    return scored.withColumn(out, p).select(*sentences.columns, out)

@@ -23,20 +23,28 @@ def scored_sentences(
     return scored.where("is_valid_unit = 1").drop("scored")
 
 
+def trained(scored: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Token weights fitted to the first nine tenths of the balanced sample, and the last tenth."""
+    labels = weak.balanced_sample(weak.weak_labels_sign(scored), "id", "label", seed)
+    split = weak.train_eval_split(labels)
+    weights = checkpoint(weak.token_weights(split.where("split = 'train'")))
+    return weights, split.where("split = 'eval'")
+
+
 def classified(scored: DataFrame, seed: int = 42) -> DataFrame:
     """Train the classifier on balanced weak labels and score every sentence.
 
-    Sampling and scoring each read the sentences, so they are checkpointed; the sample
-    is cached for the iterations of the fit.
+    Sampling and scoring each read the sentences, so they are checkpointed.
     """
     scored = checkpoint(scored)
-    labels = weak.balanced_sample(weak.weak_labels_sign(scored), "id", "label", seed)
-    train = weak.train_eval_split(labels).where("split = 'train'").select("tokens", "label").cache()
-    try:
-        model = weak.weak_classifier().fit(train)
-    finally:
-        train.unpersist()
-    return weak.score_sentences(model, scored)
+    return weak.score_sentences(trained(scored, seed)[0], scored)
+
+
+def classifier_metrics(scored: DataFrame, seed: int = 42) -> DataFrame:
+    """Accuracy and F1 on the tenth of the balanced sample that was not trained on."""
+    weights, held = trained(checkpoint(scored), seed)
+    found = weak.score_sentences(weights, held)
+    return weak.binary_metrics(found.withColumn("p", (F.col("neg_prob") >= 0.5).cast("int")), "label", "p")
 
 
 def indicators(

@@ -1,25 +1,15 @@
-"""Catalogue queries against their SQL on the smallest tables.
-
-A sample of every module by default; ALL_QUERIES=1 takes them all.
-"""
+"""Every catalogue query against its SQL on the smallest tables."""
 
 import os
 
 import pytest
 
-import __spark_entry__ as entry
+from quarterline.catalog import all_queries  # noqa: F401
+from quarterline.catalog.base import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = (
-    "scan_csv_typed coerce_numeric period_from_text unpivot_indicators normalize_line clean_page_text "
-    "split_sections split_sentences noise_reason sentence_ids build_lexicon sentiment_anchors_joined "
-    "negation_flip pos_neg_net balanced_sample binary_metrics topn_weighted tail_tone_update coverage_report "
-    "quarterly_tone section_tone similarity_prev strict_gap_null overwrite_columns daily_controls "
-    "validated_join indicator_event_dates asof_strict_next spread_event_window daily_panel ols newey_west "
-    "orthogonalised_shock_rows local_projections midas_weight_search ar_order_by_bic clean_regressors"
-).split()
-NAMES = list(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SAMPLE
+NAMES = list(ORACLES)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
 
@@ -30,9 +20,9 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, con, name):
-    ok, note = compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
+    ok, note = compare(QUERIES[name](spark, SF), con, ORACLES[name])
     assert ok, note
 
 
-def test_every_query_but_the_classifier_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"weak_classifier"}
+def test_every_query_of_the_catalogue_has_sql():
+    assert set(QUERIES) == set(ORACLES)
