@@ -3,7 +3,7 @@
 A document's set is its distinct 4-word shingles (64-bit hashes). Two documents link when their
 sets' Jaccard similarity is at least THRESHOLD percent.
 
-1. Equal sets become one class; everything below works on one representative per class.
+1. Equal sets (by a 64-bit digest) become one class; all below works on one representative of each.
 2. A count-min sketch of all shingles gives each a frequency class; its size is fixed, so it can
    be sent to every task. A token order sorts by frequency class, rare first, then by a hash; other
    hashes give other orders. Whatever the sketch says, an order is the same for all documents, so
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.llm.common import WORD, fixed, fresh, kept, lowered, query, small_batches, table
+from quarterline.llm.common import WORD, fixed, fresh, query, small_batches, table
 from quarterline.llm.graph import components
 
 WIDTH = 4
@@ -42,6 +42,8 @@ SLOTS = 1 << 20
 BLOCKS = 64
 #: Hash seeds of the token orders; the first finds pairs, the others filter them.
 ORDERS = (1, 2, 3)
+#: Names of sets (two numbers each) that may be broadcast.
+MAX_BROADCAST = 1_000_000
 
 _A = 0x9E3779B97F4A7C15
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -56,27 +58,68 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Texts to sorted distinct shingle hashes; remembers the hashes of words it has seen."""
+#: A 64-bit number per byte, and its place's multiplier, for hashing words without making objects.
+_BYTE = mixed(np.arange(256, dtype=np.uint64), 12345)
+_POWERS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(256)], np.uint64)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
-    def __init__(self, width: int = WIDTH, remembered: int = 500_000):
-        self.width, self.remembered, self.seen = width, remembered, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = lowered(text).split()
-        if not found:
-            return np.zeros(0, np.uint64)
-        seen = self.seen
-        if len(seen) > self.remembered:
-            seen.clear()
-        for w in set(found).difference(seen):
-            seen[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
-        k = min(self.width, len(h))
-        out = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            out = mixed(out ^ h[i : i + len(out)], k)
-        return np.unique(out)
+def word_hashes(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first places of all words in an array of bytes, A-Z as a-z.
+
+    A word's hash is a sum over its bytes of (byte's number) * (multiplier ** place), mixed.
+    """
+    inside = ~_IS_SPACE[joined]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    size = end - start
+    at = np.flatnonzero(inside)
+    place = at - np.repeat(start, size)
+    power = _POWERS[place & 255]
+    if size.max() > 256:
+        far = place > 255
+        power[far] = mixed((place[far] >> 8).astype(np.uint64), 7) * power[far] | np.uint64(1)
+    value = _BYTE[_LOWER[joined[at]]] * power
+    return mixed(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64)), start
+
+
+def shingle_sets(texts, width: int = WIDTH, bytes_at_once: int = 1 << 15) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; short texts are hashed together."""
+    part: list[bytes] = []
+    size = 0
+
+    def done():
+        joined = np.frombuffer(b" ".join([*part, b""]), np.uint8)
+        hashes, start = word_hashes(joined)
+        cuts = np.searchsorted(start, np.cumsum([0, *[len(x) + 1 for x in part]]))
+        whole = np.zeros(len(hashes), np.uint64)
+        for i in range(width if len(hashes) >= width else 0):
+            n = len(hashes) - width + 1
+            whole[:n] = mixed(whole[:n] ^ hashes[i : i + n], width)
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a >= width:
+                s = np.sort(whole[a : b - width + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+            else:  # the whole sequence is one shingle
+                one = np.zeros(min(1, b - a), np.uint64)
+                for h in hashes[a:b]:
+                    one = mixed(one ^ h, int(b - a))
+                yield one
+
+    for x in texts:
+        raw = x.encode("utf-8", "surrogatepass") if x else b""
+        part.append(raw)
+        size += len(raw)
+        if size >= bytes_at_once:
+            yield from done()
+            part, size = [], 0
+    if part:
+        yield from done()
 
 
 def frequency_classes(docs: DataFrame, text: str = "text", width: int = WIDTH) -> np.ndarray:
@@ -87,11 +130,10 @@ def frequency_classes(docs: DataFrame, text: str = "text", width: int = WIDTH) -
     each = SLOTS // BLOCKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, counts = kept(("shingles", width), lambda: Shingler(width)), np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.int64)
         for rows in batches:
-            sets = [shingles(x) for x in rows["t"]]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for s in shingle_sets(rows["t"], width):
+                np.add.at(counts, slot_of(s), 1)
         yield pd.DataFrame({"b": range(BLOCKS), "c": [counts[i * each : (i + 1) * each].astype("<i8").tobytes() for i in range(BLOCKS)]})
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -108,6 +150,10 @@ def frequency_classes(docs: DataFrame, text: str = "text", width: int = WIDTH) -
     return out
 
 
+def slot_of(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
@@ -115,39 +161,47 @@ def prefix_length(n: int, threshold: int) -> int:
 def prefix(s: np.ndarray, classes: np.ndarray, seed: int, threshold: int) -> np.ndarray:
     """The set's first tokens in the order of a seed."""
     p = prefix_length(len(s), threshold)
-    rank = mixed(s, seed) >> np.uint64(8) | classes[(s % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+    rank = mixed(s, seed) >> np.uint64(8) | classes[slot_of(s)].astype(np.uint64) << np.uint64(56)
     first = np.argpartition(rank, p - 1)[:p] if p < len(s) else np.arange(len(s))
     return s[first[np.argsort(rank[first], kind="stable")]]
 
 
+#: ``pack`` holds how common a set's tokens are (7 bits), its size and a token's place (28 bits each).
 _SIGNED = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("common", T.DoubleType()),
+    T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("pack", T.LongType()),
     T.StructField("prefix", T.ArrayType(T.LongType())),
 ])
 _DETAIL = T.StructType([
-    T.StructField("key", T.BinaryType()), T.StructField("more", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("key", T.LongType()), T.StructField("more", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("all", T.ArrayType(T.LongType())),
 ])
+PLACE_BITS = 28
+
+
+def key_of(s: np.ndarray) -> int:
+    """A set's name: a signed 64-bit digest of its sorted hashes."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
 
 
-def key_of(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+def _framed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """A frame whose whole numbers stay whole beside nulls."""
+    columns = list(zip(*rows)) or [()] * len(names)
+    whole = {"n", "key", "pack"}
+    return pd.DataFrame({n: pd.array(c, "Int64") if n in whole else pd.Series(c, dtype=object) for n, c in zip(names, columns)})
 
 
 def signer(classes, width: int, threshold: int):
-    """Column function: size, key, mean frequency class and first prefix of a text's set."""
+    """Column function: size, key, commonness with size, and first prefix of a text's set."""
 
     def sign(texts: pd.Series) -> pd.DataFrame:
-        shingles, rows = kept(("shingles", width), lambda: Shingler(width)), []
-        table_ = classes.value
-        for x in texts:
-            s = shingles(x)
+        rows, table_ = [], classes.value
+        for s in shingle_sets(texts, width):
             if len(s):
-                common = float(table_[(s % np.uint64(SLOTS)).astype(np.int64)].mean())
-                rows.append((len(s), key_of(s), common, prefix(s, table_, ORDERS[0], threshold).view(np.int64)))
+                common = min(127, int(table_[slot_of(s)].mean() * 4))
+                rows.append((len(s), key_of(s), common << 2 * PLACE_BITS | len(s) << PLACE_BITS, prefix(s, table_, ORDERS[0], threshold).view(np.int64)))
             else:
                 rows.append((0, None, None, None))
-        return pd.DataFrame(rows, columns=_SIGNED.names)
+        return _framed(rows, _SIGNED.names)
 
     return F.pandas_udf(sign, _SIGNED).asNondeterministic()
 
@@ -156,30 +210,44 @@ def detailer(classes, width: int, threshold: int):
     """Column function: key, prefixes in the further orders, and the whole set."""
 
     def detail(texts: pd.Series) -> pd.DataFrame:
-        shingles, rows = kept(("shingles", width), lambda: Shingler(width)), []
-        for x in texts:
-            s = shingles(x)
+        rows = []
+        for s in shingle_sets(texts, width):
             more = [prefix(s, classes.value, o, threshold).view(np.int64) for o in ORDERS[1:]] if len(s) else None
             rows.append((key_of(s) if len(s) else None, more, s.view(np.int64)))
-        return pd.DataFrame(rows, columns=_DETAIL.names)
+        return _framed(rows, _DETAIL.names)
 
     return F.pandas_udf(detail, _DETAIL).asNondeterministic()
 
 
 def may_link(a: str, b: str, threshold: int):
-    """Length and positional filter for two rows of one token (columns ``<a>n``, ``<a>pos`` ...)."""
-    na, nb, pa, pb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
+    """Length and positional filter for two rows of one token, from their columns ``pack``."""
+    low = (1 << PLACE_BITS) - 1
+    na, nb = (F.shiftright(F.col(x), PLACE_BITS).bitwiseAND(low) for x in (a, b))
+    pa, pb = (F.col(x).bitwiseAND(low) for x in (a, b))
     lengths = (100 * na >= threshold * nb) & (100 * nb >= threshold * na)
     rest = F.least(na - pa, nb - pb)  # common tokens at most, this one included
     return lengths & ((100 + threshold) * rest >= threshold * (na + nb))
 
 
+def details(pairs: DataFrame, classes: DataFrame, slim: DataFrame, detail_of) -> DataFrame:
+    """``key, more, all`` of all sets in the pairs, made anew from one text of each class.
+
+    Up to MAX_BROADCAST sets the texts are looked up without a shuffle.
+    """
+    ends = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    needed = fixed(classes.join(ends, "key").select(F.col("key").alias("wanted"), "rep"))
+    needed = F.broadcast(needed) if needed.count() <= MAX_BROADCAST else needed
+    fetched = slim.join(needed, F.col("id").eqNullSafe(F.col("rep"))).select("wanted", detail_of("t").alias("d"))
+    return fixed(fetched.where("d.key = wanted").select("d.*"))
+
+
 def verified(pairs: DataFrame, detail: DataFrame, threshold: int) -> DataFrame:
     """The pairs ``u, v`` that pass every further order's filter and then the exact test."""
-    side = lambda x: detail.select(F.col("key").alias(x), F.col("more").alias(f"more_{x}"), F.col("all").alias(f"all_{x}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    side = lambda x, c: detail.select(F.col("key").alias(x), F.col(c).alias(f"{c}_{x}"))
+    both = pairs.join(side("u", "more"), "u").join(side("v", "more"), "v")
     for i in range(len(ORDERS) - 1):
         both = both.where(F.arrays_overlap(F.col("more_u")[i], F.col("more_v")[i]))
+    both = both.select("u", "v").join(side("u", "all"), "u").join(side("v", "all"), "v")
     shared = F.size(F.array_intersect("all_u", "all_v"))
     return both.where((100 + threshold) * shared >= threshold * (F.size("all_u") + F.size("all_v"))).select("u", "v")
 
@@ -193,35 +261,33 @@ def similarity_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text
     small_batches(spark)
     slim = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
     sketch = spark.sparkContext.broadcast(frequency_classes(slim, "t", width))
-    sign = signer(sketch, width, threshold)
+    sign, detail_of = signer(sketch, width, threshold), detailer(sketch, width, threshold)
     signed = fixed(slim.select("id", sign("t").alias("s")).select("id", "s.*"))
-    classes = signed.where("n > 0").groupBy("key").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("common").alias("common"), F.first("prefix").alias("prefix")
-    )
-    rows = classes.select("key", "rep", "n", "common", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    leaders = rows.groupBy("token").agg(F.count("*").alias("c"), F.max(F.struct("common", "key", "n", "pos")).alias("leader"))
+    classes = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
+    once = signed.where("n > 0").dropDuplicates(["key"])
+    rows = once.select("key", "pack", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("token", "key", (F.col("pack") + F.col("pos")).alias("pack")).repartition("token")
+    leaders = rows.groupBy("token").agg(F.count("*").alias("c"), F.max(F.struct("pack", "key")).alias("leader"))
     leaders = leaders.where("c > 1").select(F.col("token").alias("of"), F.col("leader").alias("l"))
     grouped = rows.join(leaders, F.col("token") == F.col("of"))
-    grouped = fixed(grouped.select("token", "key", "rep", "n", "pos", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("key", "n", "pos", "common")]))
-
-    needed = grouped.select("key", "rep").distinct().withColumnsRenamed({"key": "wanted"})
-    fetched = slim.join(needed, F.col("id").eqNullSafe(F.col("rep"))).select("wanted", detailer(sketch, width, threshold)("t").alias("d"))
-    detail = fixed(fetched.where("d.key = wanted").select("d.*").dropDuplicates(["key"]))
+    grouped = fixed(grouped.select("token", "key", "pack", F.col("l.key").alias("l_key"), F.col("l.pack").alias("l_pack")))
 
-    stars = grouped.where(F.col("key") != F.col("l_key")).where(may_link("", "l_", threshold))
-    stars = fixed(stars.groupBy(F.col("l_key").alias("u"), F.col("key").alias("v")).agg(F.max("l_common").alias("common")))
-    first = fixed(verified(stars.select("u", "v"), detail, threshold))
-    hangs = first.join(stars, ["u", "v"]).groupBy("v").agg(F.max(F.struct("common", "u")).alias("h"))
+    rank = F.shiftright("l_pack", PLACE_BITS)  # how common the leader's tokens are, then its size
+    stars = grouped.where(F.col("key") != F.col("l_key")).where(may_link("pack", "l_pack", threshold))
+    stars = fixed(stars.groupBy(F.col("l_key").alias("u"), F.col("key").alias("v")).agg(F.max(rank).alias("rank")))
+    first = fixed(verified(stars.select("u", "v"), details(stars, classes, slim, detail_of), threshold))
+    hangs = first.join(stars, ["u", "v"]).groupBy("v").agg(F.max(F.struct("rank", "u")).alias("h"))
     hangs = hangs.select(F.col("v").alias("member"), F.col("h.u").alias("leader"))
-    led = grouped.join(hangs, F.col("key") == F.col("member"), "left").select("token", "key", "n", "pos", F.coalesce("leader", "key").alias("leader"))
-    left, right = (led.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "pos", "leader")]) for x in "ab")
-    rest = left.join(right, "token").where((F.col("a_key") < F.col("b_key")) & (F.col("a_leader") != F.col("b_leader")) & may_link("a_", "b_", threshold))
+    led = grouped.join(hangs, F.col("key") == F.col("member"), "left").select("token", "key", "pack", F.coalesce("leader", "key").alias("leader"))
+    left, right = (led.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "pack", "leader")]) for x in "ab")
+    rest = left.join(right, "token").where((F.col("a_key") < F.col("b_key")) & (F.col("a_leader") != F.col("b_leader")) & may_link("a_pack", "b_pack", threshold))
     rest = rest.select(F.col("a_key").alias("u"), F.col("b_key").alias("v")).distinct()
     done = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    links = first.unionByName(verified(rest.join(done, ["u", "v"], "left_anti"), detail, threshold))
+    rest = fixed(rest.join(done, ["u", "v"], "left_anti"))
+    links = first.unionByName(verified(rest, details(rest, classes, slim, detail_of), threshold))
 
     roots = components(links)
-    named = classes.select("key", "rep").join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return signed.select("id", "n", "key"), named.join(least, "root").select("key", "component_id", "root")
 
@@ -241,7 +307,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) ->
     """
     _, classes = similarity_classes(docs, "doc_id", "text", width, threshold)
     key, of, cid, root = fresh(docs, "key", "of", "cid", "root")
-    name = F.pandas_udf(_keys(width), T.BinaryType()).asNondeterministic()
+    name = F.pandas_udf(_keys(width), T.LongType()).asNondeterministic()
     keyed = docs.withColumn(key, name(F.col("text")))
     joined = keyed.join(classes.select(F.col("key").alias(of), F.col("component_id").alias(cid), F.col("root").alias(root)), F.col(key) == F.col(of), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -251,9 +317,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) ->
 
 def _keys(width: int):
     def keys(texts: pd.Series) -> pd.Series:
-        shingles = kept(("shingles", width), lambda: Shingler(width))
-        sets = (shingles(x) for x in texts)
-        return pd.Series([key_of(s) if len(s) else None for s in sets], dtype=object)
+        return pd.Series([key_of(s) if len(s) else None for s in shingle_sets(texts, width)], dtype="Int64")
 
     return keys
 
