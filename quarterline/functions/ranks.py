@@ -16,18 +16,23 @@ from pyspark.sql import functions as F
 
 from quarterline.session import checkpoint
 
+#: At least so many ranges of values, and at most so many distinct values in one of them.
 BUCKETS = 512
+BUCKET_ROWS = 50_000
 CHUNK = 4096
 
 
 def with_value_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
     """Number ordered value ranges that hold about equal row counts.
 
-    The cut points come from one mergeable sketch (``buckets`` numbers reach the driver).
+    The cut points come from one mergeable sketch; one number per range reaches the driver.
+    There are ``buckets`` ranges, or more for a table of over ``buckets * BUCKET_ROWS`` rows.
     Any cut points give the same results downstream; they only balance the work.
     """
     if buckets <= 1:
         return df.withColumn(out, F.lit(0))
+    n = df.count()
+    buckets = max(buckets, -(-n // BUCKET_ROWS))
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(value, probs, 20 * buckets).alias("cuts")).first()
     cuts = sorted(set(row["cuts"] or []))
@@ -45,12 +50,14 @@ def ranked_values(
     """Distinct values per key with their count ``c``, first rank ``start`` (from 0) and
     the key's row count ``n``.
 
-    Equal values collapse on the map side. ``buckets=1`` is for groups with a known bound.
+    Equal values collapse on the map side, before the ranges are cut: a value that most rows
+    share is one row of them. The counted values are checkpointed, as cutting reads them too.
+    ``buckets=1`` is for groups with a known bound.
     """
     keys = list(keys)
     kept = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
-    bucketed = with_value_bucket(kept, "value", "b", buckets)
-    counts = bucketed.groupBy(*keys, "b", "value").agg(F.count("*").alias("c"))
+    counts = kept.groupBy(*keys, "value").agg(F.count("*").alias("c"))
+    counts = with_value_bucket(counts if buckets <= 1 else checkpoint(counts), "value", "b", buckets)
     inside = W.partitionBy(*keys, "b").orderBy("value")
     placed = counts.withColumn("before", F.sum("c").over(inside) - F.col("c"))
     if buckets <= 1:

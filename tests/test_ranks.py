@@ -80,3 +80,15 @@ def test_ordered_offsets(spark):
     df = spark.createDataFrame([(f"r{i:03d}", i) for i in range(200)], "name string, n int").repartition(6)
     got = rk.ordered_offsets(df, "name", F.col("n"), "o").orderBy("name").toPandas()
     assert (got.o == got.n.cumsum() - got.n).all()
+
+
+def test_one_value_of_most_rows_leaves_the_ranges_to_the_others(spark):
+    rows = spark.range(400_000).select(F.when(F.col("id") % 1000 == 0, F.col("id") / 7.0).otherwise(0.0).alias("v"))
+    distinct = rows.groupBy("v").count()
+    used = rk.with_value_bucket(distinct, "v", "b").where("v > 0").select("b").distinct().count()
+    assert used >= 100
+    got = rk.exact_quantiles(rows, [], "v", {"q": 0.9995}).first().q
+    values = sorted(r.v for r in rows.collect())
+    at = 0.9995 * (len(values) - 1)
+    low = int(at)
+    assert got == pytest.approx(values[low] + (values[low + 1] - values[low]) * (at - low))
