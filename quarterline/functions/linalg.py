@@ -18,38 +18,63 @@ def _square(flat) -> np.ndarray:
     return a.reshape(k, k)
 
 
+#: A column whose part not explained by the columns before it is below this share is redundant.
+REDUNDANT = 1e-11
+
+
+def ordered_inverse(m: np.ndarray) -> np.ndarray | None:
+    """Inverse over the columns that are not redundant given those before them.
+
+    Redundant and constant columns have zero rows and columns. NULL where a cell isn't finite.
+    """
+    if not np.isfinite(m).all():
+        return None
+    scale = np.sqrt(np.abs(np.diag(m)))
+    kept = []
+    for j in range(len(m)):
+        if scale[j] == 0:
+            continue
+        own = m[np.ix_([*kept, j], [*kept, j])] / np.outer(scale[[*kept, j]], scale[[*kept, j]])
+        rest = own[-1, -1] - own[-1, :-1] @ np.linalg.solve(own[:-1, :-1], own[:-1, -1]) if kept else own[-1, -1]
+        if rest > REDUNDANT:
+            kept.append(j)
+    out = np.zeros_like(m)
+    if kept:
+        size = np.outer(scale[kept], scale[kept])
+        out[np.ix_(kept, kept)] = np.linalg.inv(m[np.ix_(kept, kept)] / size) / size
+    return out
+
+
 @F.pandas_udf(ARRAY)
 def inverse(flat: pd.Series) -> pd.Series:
-    """Row-major inverse of a row-major square matrix; NULL when it is singular."""
+    """``ordered_inverse`` of a row-major square matrix, row-major."""
 
     def one(a):
-        if a is None:
-            return None
-        m = _square(a)
-        if not np.isfinite(m).all():
-            return None
-        scale = np.sqrt(np.abs(np.diag(m)))
-        if (scale == 0).any():
-            return None
-        scaled = m / np.outer(scale, scale)
-        if np.linalg.cond(scaled) > 1e14:
-            return None
-        return (np.linalg.inv(scaled) / np.outer(scale, scale)).ravel()
+        m = None if a is None else ordered_inverse(_square(a))
+        return None if m is None else m.ravel()
 
     return flat.map(one)
 
 
 @F.pandas_udf(ARRAY)
-def sandwich_se(inv: pd.Series, meat: pd.Series) -> pd.Series:
-    """Square roots of the diagonal of inv * meat * inv."""
+def sandwich_se(inv: pd.Series, meat: pd.Series, means: pd.Series) -> pd.Series:
+    """Standard errors from inv * meat * inv of a design with centred regressors.
+
+    ``means`` are the regressors' means; the first error is that of the constant of the design
+    as it was. NULL for redundant columns.
+    """
 
-    def one(a, s):
+    def one(a, s, m):
         if a is None or s is None:
             return None
         bread = _square(a)
-        return np.sqrt(np.clip(np.diag(bread @ _square(s) @ bread), 0.0, None))
+        v = bread @ _square(s) @ bread
+        back = np.eye(len(bread))
+        back[0, 1:] = -np.asarray(m, float)
+        v = np.diag(back @ v @ back.T)
+        return [float(np.sqrt(max(x, 0.0))) if d > 0 else None for x, d in zip(v, np.diag(bread))]
 
-    return pd.Series([one(a, s) for a, s in zip(inv, meat)])
+    return pd.Series([one(a, s, m) for a, s, m in zip(inv, meat, means)], dtype=object)
 
 
 @F.pandas_udf(ARRAY)

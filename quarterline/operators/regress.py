@@ -28,12 +28,17 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _symmetric(k: int, cell) -> Column:
-    """Row-major array of the sums of a symmetric matrix of SQL terms.
+    """Row-major array of a symmetric matrix of SQL aggregates; each pair is computed once.
 
     Written as one SQL text: a dozen regressors make thousands of column calls otherwise.
     """
-    sums = [f"sum({cell(min(i, j), max(i, j))})" for i in range(k) for j in range(k)]
-    return F.expr(f"array({', '.join(sums)})")
+    cells = ", ".join(f"'c{i}_{j}', {cell(i, j)}" for i in range(k) for j in range(i, k))
+    return F.expr(f"named_struct({cells})")
+
+
+def _mirrored(k: int, column: str) -> Column:
+    """The whole row-major array from the struct that ``_symmetric`` makes."""
+    return F.array(*[F.col(f"{column}.c{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
 
 
 def _sql_names(xs: Sequence[str]) -> list[str]:
@@ -44,24 +49,43 @@ def _sql_names(xs: Sequence[str]) -> list[str]:
 def fit(
     df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), min_n: int | None = None
 ) -> DataFrame:
-    """One row per model: ``n``, ``tss``, ``inv`` (inverse Gram) and ``beta``, constant first.
+    """One row per model: ``n``, ``tss``, ``means``, ``gram``, ``xty``, ``inv`` and ``beta``.
 
-    Models with fewer than ``min_n`` rows, or a singular Gram matrix, have NULL arrays.
+    The matrices are those of a constant and the centred regressors: centred moments keep their
+    digits at any mean, and merge in one pass. ``beta`` has the constant of the design as it was
+    first, and NULL for a regressor that is constant or redundant given those before it. Models
+    with fewer than ``min_n`` rows have NULL arrays.
     """
     cols, target = _sql_names(xs), f"cast(`{y}` as double)"
     k = len(cols)
+
+    def moment(i: int, j: int) -> str:
+        if i == 0:
+            return "cast(count(*) as double)" if j == 0 else "0D"
+        return f"covar_pop({cols[i]}, {cols[j]}) * count(*)"
+
     rows = complete_cases(df, [y, *xs])
+    xty = [f"avg({target}) * count(*)", *[f"covar_pop({c}, {target}) * count(*)" for c in cols[1:]]]
+    means = ", ".join(f"avg({c})" for c in cols[1:]) or "0D"
     moments = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.expr(f"var_pop({target}) * count(*)").alias("tss"),
-        _symmetric(k, lambda i, j: f"{cols[i]} * {cols[j]}").alias("gram"),
-        F.expr(f"array({', '.join(f'sum({c} * {target})' for c in cols)})").alias("xty"),
+        F.expr(f"covar_pop({target}, {target}) * count(*)").alias("tss"),
+        F.expr(f"array({means})").alias("means"),
+        _symmetric(k, moment).alias("gram"),
+        F.expr(f"array({', '.join(xty)})").alias("xty"),
     )
+    moments = moments.withColumn("gram", _mirrored(k, "gram"))
     usable = F.col("n") >= (min_n if min_n is not None else k)
     solved = moments.withColumn("inv", linalg.inverse(F.when(usable, F.col("gram"))))
-    beta = [" + ".join(f"inv[{i * k + j}] * xty[{j}]" for j in range(k)) for i in range(k)]
-    beta_sql = f"CASE WHEN inv IS NOT NULL THEN array({', '.join(beta)}) END"
-    return solved.withColumn("beta", F.expr(beta_sql)).drop("gram", "xty")
+    slopes = [
+        f"CASE WHEN inv[{i * k + i}] > 0 THEN " + " + ".join(f"inv[{i * k + j}] * xty[{j}]" for j in range(k)) + " END"
+        for i in range(1, k)
+    ]
+    solved = solved.withColumn("b", F.expr(f"array({', '.join(slopes)})") if slopes else F.expr("cast(array() as array<double>)"))
+    constant = " - ".join(["xty[0] / n", *[f"coalesce(b[{i}], 0D) * means[{i}]" for i in range(k - 1)]])
+    return solved.withColumn(
+        "beta", F.expr(f"CASE WHEN inv IS NOT NULL THEN concat(array({constant}), b) END")
+    ).drop("b")
 
 
 def with_model(
@@ -78,8 +102,15 @@ def with_model(
         rows = rows.join(model.select(*keys, packed), list(keys))
     else:
         rows = rows.withColumn("model", model.select(packed).scalar())
-    fitted = " + ".join(f"model.beta[{i}] * {c}" for i, c in enumerate(_sql_names(xs)))
-    return rows.withColumn(out, F.expr(f"cast(`{y}` as double) - ({fitted})"))
+    fitted = " + ".join(f"coalesce(model.beta[{i}], 0D) * {c}" for i, c in enumerate(_sql_names(xs)))
+    resid = F.expr(f"cast(`{y}` as double) - ({fitted})")
+    return rows.withColumn(out, F.when(F.col("model.beta").isNotNull(), resid))
+
+
+def _centred(xs: Sequence[str]) -> list[str]:
+    """The constant and the centred regressors of rows made by ``with_model``, as SQL terms."""
+    names = _sql_names(xs)
+    return [names[0], *[f"({c} - model.means[{i}])" for i, c in enumerate(names[1:])]]
 
 
 def with_residuals(
@@ -90,18 +121,12 @@ def with_residuals(
     return with_model(df, model, y, xs, keys, out).drop("model")
 
 
-def _summary(
-    resid: DataFrame, xs: Sequence[str], keys: Sequence[str], meat: Column, correct: bool
-) -> DataFrame:
-    """Long table per model and term, from rows made by ``with_model``."""
+def _summary(both: DataFrame, xs: Sequence[str], keys: Sequence[str], correct: bool) -> DataFrame:
+    """Long table per model and term, from ``n, tss, rss, means, inv, beta`` and ``meat``."""
     k = len(xs) + 1
-    both = resid.groupBy(*keys).agg(
-        F.sum(F.col("resid") * F.col("resid")).alias("rss"),
-        meat.alias("meat"),
-        F.first("model").alias("model"),
-    ).select(*keys, "rss", "meat", "model.*")
-    free = F.col("n") - k
-    se = linalg.sandwich_se("inv", "meat")
+    free = F.col("n") - F.coalesce(F.size(F.filter("beta", lambda x: x.isNotNull())), F.lit(k))
+    free = F.when(F.col("beta").isNotNull(), free).otherwise(F.col("n") - k)
+    se = linalg.sandwich_se("inv", "meat", "means")
     factor = F.sqrt(F.col("n") / free) if correct else F.lit(1.0)
     names = F.array(*[F.lit(t) for t in ("const", *xs)])
     absent = F.array_repeat(F.lit(None).cast("double"), k)
@@ -122,16 +147,26 @@ def _summary(
     )
 
 
+def _from_rows(resid: DataFrame, xs: Sequence[str], keys: Sequence[str], cell) -> DataFrame:
+    """The models of rows made by ``with_model``, with the sums that need residuals."""
+    k = len(xs) + 1
+    sums = resid.groupBy(*keys).agg(
+        F.sum(F.col("resid") * F.col("resid")).alias("rss"),
+        _symmetric(k, lambda i, j: f"sum({cell(i, j)})").alias("meat"),
+        F.first("model").alias("model"),
+    )
+    return sums.select(*keys, "rss", _mirrored(k, "meat").alias("meat"), "model.*")
+
+
 def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Coefficients with classical standard errors, t, p and centred R2."""
+    """Coefficients with classical standard errors, t, p and centred R2, in one aggregation."""
     model = fit(df, y, xs, keys)
-    resid = with_model(df, model, y, xs, keys)
-    cols = _sql_names(xs)
-    k = len(cols)
-    gram = _symmetric(k, lambda i, j: f"{cols[i]} * {cols[j]}")
-    variance = F.expr(f"sum(resid * resid) / (count(*) - {k})")
-    meat = F.transform(gram, lambda g: g * variance)
-    return _summary(resid, xs, keys, meat, correct=False)
+    explained = " + ".join(["0D", *[f"coalesce(beta[{i}], 0D) * xty[{i}]" for i in range(1, len(xs) + 1)]])
+    rank = F.size(F.filter("beta", lambda x: x.isNotNull()))
+    both = model.withColumn("rss", F.expr(f"greatest(tss - ({explained}), 0D)"))
+    variance = F.col("rss") / F.nullif(F.col("n") - rank, F.lit(0))
+    both = both.withColumn("meat", F.transform("gram", lambda g: g * variance))
+    return _summary(both, xs, keys, correct=False)
 
 
 def ols_hc1(
@@ -140,9 +175,9 @@ def ols_hc1(
     """Coefficients with heteroskedasticity-robust errors times n/(n-k)."""
     model = fit(df, y, xs, keys, min_n)
     resid = with_model(df, model, y, xs, keys)
-    cols = _sql_names(xs)
-    meat = _symmetric(len(cols), lambda i, j: f"resid * resid * {cols[i]} * {cols[j]}")
-    return _summary(resid, xs, keys, meat, correct=True)
+    cols = _centred(xs)
+    both = _from_rows(resid, xs, keys, lambda i, j: f"resid * resid * {cols[i]} * {cols[j]}")
+    return _summary(both, xs, keys, correct=True)
 
 
 def newey_west(
@@ -158,7 +193,7 @@ def newey_west(
     resid = with_model(df, model, y, xs, keys)
     k = len(xs) + 1
     along = W.partitionBy(*keys).orderBy(*order)
-    scores = [f"resid * {c}" for c in _sql_names(xs)]
+    scores = [f"resid * {c}" for c in _centred(xs)]
     resid = resid.withColumn("__v", F.expr(f"array({', '.join(scores)})"))
     # missing leads at the start of a series count as zero
     zeros = F.expr(f"array({', '.join(['0D'] * k)})")
@@ -173,7 +208,7 @@ def newey_west(
             parts.append(f"{weight} * (__v[{i}] * __v{ell}[{j}] + __v[{j}] * __v{ell}[{i}])")
         return " + ".join(parts)
 
-    return _summary(resid, xs, keys, _symmetric(k, cell), correct=False)
+    return _summary(_from_rows(resid, xs, keys, cell), xs, keys, correct=False)
 
 
 def tone_response(
@@ -384,8 +419,9 @@ def ar_order_by_bic(
     rows = complete_cases(rows, [y, *xs, *lag_names])
     cols = [*_sql_names([*xs, *lag_names]), f"cast(`{y}` as double)"]
     sizes = [1 + len(xs) + p for p in range(max_order + 1)]
-    gram = _symmetric(len(cols), lambda i, j: f"{cols[i]} * {cols[j]}")
+    gram = _symmetric(len(cols), lambda i, j: f"sum({cols[i]} * {cols[j]})")
     moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), gram.alias("gram"))
+    moments = moments.withColumn("gram", _mirrored(len(cols), "gram"))
     rss = linalg.nested_rss("gram", F.array(*[F.lit(s) for s in sizes]))
     long = moments.withColumn("rss", rss).select(
         *keys, "n", F.posexplode("rss").alias("p", "rss")

@@ -74,7 +74,7 @@ def test_single_model_and_residuals(spark, rows):
 def test_singular_and_small(spark, rows):
     df = spark.createDataFrame(rows).withColumn("same", F.col("x") * 2)
     got = rg.ols_hc1(df, "y", ["x", "same"], ["key"]).toPandas()
-    assert got.beta.isna().all() and (got.n > 0).all()
+    assert (got.beta.isna() == (got.term == "same")).all() and (got.n > 0).all()
     got = rg.ols_hc1(df, "y", ["x"], ["key"], min_n=50).toPandas()
     assert got[got.key == "b"].beta.isna().all() and got[got.key == "a"].beta.notna().all()
 
@@ -125,3 +125,31 @@ def test_clean_regressors(spark):
     assert out.columns == ["y", "a"] and sorted(r.a for r in out.collect()) == [0.0, 2.0]
     rows = rg.event_regression_rows(df.withColumn("date", F.current_date()), "y", ["a"], ["rate"])
     assert rows.count() == 1 and rows.first().y == 100.0
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e6, 1e9])
+def test_large_means_keep_their_digits(spark, mean):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, 2000)
+    rows = [(float(mean + a), float(1 + 2 * a + e)) for a, e in zip(x, rng.normal(0, 0.01, 2000))]
+    df = spark.createDataFrame(rows, "x double, y double")
+    for table in (rg.ols(df, "y", ["x"]), rg.ols_hc1(df, "y", ["x"])):
+        got = {r.term: r for r in table.collect()}
+        assert got["x"].beta == pytest.approx(2, abs=2e-3) and 1e-4 < got["x"].se < 4e-4 and got["x"].r2 > 0.999
+
+
+def test_constant_and_redundant_regressors_are_left_out(spark):
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(5, 1, 500), rng.normal(0, 1, 500)
+    y = 1 + 2 * x - z + rng.normal(0, 0.1, 500)
+    rows = [(float(a), 3.0, float(2 * a + 1), float(b), float(c)) for a, b, c in zip(x, z, y)]
+    df = spark.createDataFrame(rows, "x double, k double, twice double, z double, y double")
+    plain = {r.term: r for r in rg.ols_hc1(df, "y", ["x", "z"]).collect()}
+    for fit in (rg.ols_hc1, rg.ols):
+        got = {r.term: r for r in fit(df, "y", ["x", "k", "twice", "z"]).collect()}
+        assert got["k"].beta is None and got["twice"].beta is None and got["x"].df == 497
+        for t in ("const", "x", "z"):
+            assert got[t].beta == pytest.approx(plain[t].beta)
+    assert {t: r.se for t, r in ((t, got[t]) for t in ("x",))}["x"] > 0
+    hc = {r.term: r for r in rg.ols_hc1(df, "y", ["x", "k", "twice", "z"]).collect()}
+    assert all(hc[t].se == pytest.approx(plain[t].se) for t in plain)
