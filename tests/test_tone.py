@@ -143,3 +143,12 @@ def test_rollup_counts_joiner(spark):
     got = cp.readability(cp.document_rollup(df)).orderBy("quarter").collect()
     assert (got[0].total_chars, got[0].n_rows, got[0].n_marks) == (9, 2, 3)
     assert (got[1].total_chars, got[1].n_marks) == (0, 1)
+
+
+def test_rows_without_a_period_count_nowhere(spark):
+    rows = [(i, 2001 if i < 100 else None, 1 if i < 100 else None, i / 200) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, year int, quarter int, neg_prob double")
+    assert tn.global_median(df).first()["median"] == pytest.approx(0.2475)
+    got = tn.topk_informative(df).collect()
+    assert {r.year for r in got} == {2001} and max(r.info for r in got) == pytest.approx(0.2475)
+    assert [(r.year, r.n_selected) for r in tn.tone_all(df).collect()] == [(2001, 50)]
