@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,10 +172,9 @@ _SIGNED = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("pack", T.LongType()),
     T.StructField("prefix", T.ArrayType(T.LongType())),
 ])
-_DETAIL = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("more", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("all", T.ArrayType(T.LongType())),
-])
+#: Prefixes in the further orders, 16 bits of each token (shared tokens still meet), or whole sets.
+_MORE = T.StructType([T.StructField("key", T.LongType()), T.StructField("tokens", T.ArrayType(T.ArrayType(T.ShortType())))])
+_ALL = T.StructType([T.StructField("key", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 PLACE_BITS = 28
 
 
@@ -206,17 +206,19 @@ def signer(classes, width: int, threshold: int):
     return F.pandas_udf(sign, _SIGNED).asNondeterministic()
 
 
-def detailer(classes, width: int, threshold: int):
-    """Column function: key, prefixes in the further orders, and the whole set."""
+def detailer(classes, width: int, threshold: int, whole: bool):
+    """Column function: a text's key with its whole set, or with its prefixes in the further orders."""
 
     def detail(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for s in shingle_sets(texts, width):
-            more = [prefix(s, classes.value, o, threshold).view(np.int64) for o in ORDERS[1:]] if len(s) else None
-            rows.append((key_of(s) if len(s) else None, more, s.view(np.int64)))
-        return _framed(rows, _DETAIL.names)
+            if whole or not len(s):
+                rows.append((key_of(s) if len(s) else None, s.view(np.int64) if whole else []))
+            else:
+                rows.append((key_of(s), [prefix(s, classes.value, o, threshold).astype(np.uint16).view(np.int16) for o in ORDERS[1:]]))
+        return _framed(rows, _ALL.names)
 
-    return F.pandas_udf(detail, _DETAIL).asNondeterministic()
+    return F.pandas_udf(detail, _ALL if whole else _MORE).asNondeterministic()
 
 
 def may_link(a: str, b: str, threshold: int):
@@ -230,7 +232,7 @@ def may_link(a: str, b: str, threshold: int):
 
 
 def details(pairs: DataFrame, classes: DataFrame, slim: DataFrame, detail_of) -> DataFrame:
-    """``key, more, all`` of all sets in the pairs, made anew from one text of each class.
+    """``key, tokens`` of all sets in the pairs, made anew from one text of each class.
 
     Up to MAX_BROADCAST sets the texts are looked up without a shuffle.
     """
@@ -241,15 +243,25 @@ def details(pairs: DataFrame, classes: DataFrame, slim: DataFrame, detail_of) ->
     return fixed(fetched.where("d.key = wanted").select("d.*"))
 
 
-def verified(pairs: DataFrame, detail: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``u, v`` that pass every further order's filter and then the exact test."""
-    side = lambda x, c: detail.select(F.col("key").alias(x), F.col(c).alias(f"{c}_{x}"))
-    both = pairs.join(side("u", "more"), "u").join(side("v", "more"), "v")
+def verified(pairs: DataFrame, classes: DataFrame, slim: DataFrame, detailers, threshold: int) -> DataFrame:
+    """The pairs ``u, v`` that pass every further order's filter and then the exact test.
+
+    Whole sets are made and moved only for the pairs that pass all filters.
+    """
+    more_of, all_of = detailers
+
+    def with_tokens(p: DataFrame, detail_of) -> DataFrame:
+        detail = details(p, classes, slim, detail_of)
+        side = lambda x: detail.select(F.col("key").alias(x), F.col("tokens").alias(f"t_{x}"))
+        return p.join(side("u"), "u").join(side("v"), "v")
+
+    passed = with_tokens(pairs, more_of)
     for i in range(len(ORDERS) - 1):
-        both = both.where(F.arrays_overlap(F.col("more_u")[i], F.col("more_v")[i]))
-    both = both.select("u", "v").join(side("u", "all"), "u").join(side("v", "all"), "v")
-    shared = F.size(F.array_intersect("all_u", "all_v"))
-    return both.where((100 + threshold) * shared >= threshold * (F.size("all_u") + F.size("all_v"))).select("u", "v")
+        passed = passed.where(F.arrays_overlap(F.col("t_u")[i], F.col("t_v")[i]))
+    both = with_tokens(fixed(passed.select("u", "v")), all_of)
+    shared = F.size(F.array_intersect("t_u", "t_v"))
+    exact = (100 + threshold) * shared >= threshold * (F.size("t_u") + F.size("t_v"))
+    return fixed(both.where(exact).select("u", "v").distinct())
 
 
 def similarity_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD):
@@ -261,21 +273,21 @@ def similarity_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text
     small_batches(spark)
     slim = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
     sketch = spark.sparkContext.broadcast(frequency_classes(slim, "t", width))
-    sign, detail_of = signer(sketch, width, threshold), detailer(sketch, width, threshold)
+    sign = signer(sketch, width, threshold)
+    detailers = [detailer(sketch, width, threshold, whole) for whole in (False, True)]
     signed = fixed(slim.select("id", sign("t").alias("s")).select("id", "s.*"))
     classes = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
     once = signed.where("n > 0").dropDuplicates(["key"])
     rows = once.select("key", "pack", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", "key", (F.col("pack") + F.col("pos")).alias("pack")).repartition("token")
-    leaders = rows.groupBy("token").agg(F.count("*").alias("c"), F.max(F.struct("pack", "key")).alias("leader"))
-    leaders = leaders.where("c > 1").select(F.col("token").alias("of"), F.col("leader").alias("l"))
-    grouped = rows.join(leaders, F.col("token") == F.col("of"))
-    grouped = fixed(grouped.select("token", "key", "pack", F.col("l.key").alias("l_key"), F.col("l.pack").alias("l_pack")))
+    rows = rows.select("token", "key", (F.col("pack") + F.col("pos")).alias("pack"))
+    same_token = W.partitionBy("token")
+    rows = rows.withColumns({"c": F.count("*").over(same_token), "l": F.max(F.struct("pack", "key")).over(same_token)})
+    grouped = fixed(rows.where("c > 1").select("token", "key", "pack", F.col("l.key").alias("l_key"), F.col("l.pack").alias("l_pack")))
 
     rank = F.shiftright("l_pack", PLACE_BITS)  # how common the leader's tokens are, then its size
     stars = grouped.where(F.col("key") != F.col("l_key")).where(may_link("pack", "l_pack", threshold))
     stars = fixed(stars.groupBy(F.col("l_key").alias("u"), F.col("key").alias("v")).agg(F.max(rank).alias("rank")))
-    first = fixed(verified(stars.select("u", "v"), details(stars, classes, slim, detail_of), threshold))
+    first = verified(stars.select("u", "v"), classes, slim, detailers, threshold)
     hangs = first.join(stars, ["u", "v"]).groupBy("v").agg(F.max(F.struct("rank", "u")).alias("h"))
     hangs = hangs.select(F.col("v").alias("member"), F.col("h.u").alias("leader"))
     led = grouped.join(hangs, F.col("key") == F.col("member"), "left").select("token", "key", "pack", F.coalesce("leader", "key").alias("leader"))
@@ -284,9 +296,8 @@ def similarity_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text
     rest = rest.select(F.col("a_key").alias("u"), F.col("b_key").alias("v")).distinct()
     done = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = fixed(rest.join(done, ["u", "v"], "left_anti"))
-    links = first.unionByName(verified(rest, details(rest, classes, slim, detail_of), threshold))
-
-    roots = components(links)
+    second = verified(rest, classes, slim, detailers, threshold)
+    roots = components(first.unionByName(second))
     named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return signed.select("id", "n", "key"), named.join(least, "root").select("key", "component_id", "root")
