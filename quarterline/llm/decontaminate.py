@@ -7,9 +7,10 @@ symbols are lower-case words.
 
 1. Items are sorted into window sizes (about two thirds of an item). An item's walks start at every
    offset that leaves a whole window; a document's walks start every half window. An occurrence of
-   the item thus contains document windows whose start is one of the item's offsets.
-2. Bit sampling: a repetition reads SAMPLED random places of the embedding, together a key.
-   ``repetitions`` gives how many repetitions reach the target recall at the distance bound.
+   the item thus contains at least one document window whose start is one of the item's offsets.
+2. Bit sampling: a repetition reads SAMPLED random places of the embedding, together a key; a walk
+   is read by READS repetitions. ``repetitions`` gives how many reach the target recall in that one
+   window with the share of its words edited that the distance bound allows of the characters.
 3. Keys of items go into a Bloom filter of fixed size, which is sent to the tasks; document windows
    that pass it are joined with the items on the key, so any number of items works.
 4. Each candidate (document, item, place) is verified by the exact edit distance between the item
@@ -27,6 +28,8 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,13 +43,17 @@ from quarterline.llm.ngram_join import mixed
 
 #: Edit distance in characters that still counts as the item, as a share of its length.
 MAX_DISTANCE = 0.2
-#: The recall that the repetitions are chosen for, with this share of a window's words edited.
-RECALL, EDITED = 0.95, 0.1
+#: The recall that the repetitions are chosen for.
+RECALL = 0.95
 SAMPLED = 5
+#: Repetitions that read the same walk.
+READS = 4
 SEED = 29
 FILTER_BITS = 1 << 24
 FILTER_HASHES = 4
 FILTER_BLOCKS = 64
+#: Words that are walked together.
+PIECE = 1 << 18
 
 
 def window_sizes(up_to: int) -> list[int]:
@@ -71,40 +78,68 @@ def steps(size: int) -> int:
     return max(1, size * 3 // 2)
 
 
-def repetitions(size: int, recall: float = RECALL, edited: float = EDITED) -> int:
+def repetitions(size: int, recall: float = RECALL, edited: float = MAX_DISTANCE) -> int:
     """Repetitions needed for the recall.
 
     An edit separates two walks for about three steps. With e edits in the walked stretch, d = 3 e
-    of the places differ, a repetition misses all of them with (1 - d / steps) ** sampled, and an
-    occurrence holds two windows on average.
+    of the places differ, and a repetition misses all of them with (1 - d / steps) ** sampled. An
+    occurrence is sure of one window only. Half as many again make up for walks that are shared and
+    for edits that crowd in the window.
     """
     t = steps(size)
     differing = min(0.9 * t, 3 * edited * 0.75 * size)
-    hit = (1 - differing / t) ** min(SAMPLED, t)
-    return max(2, math.ceil(math.log(1 - recall) / (2 * math.log(1 - hit))))
+    hit = min(0.99, (1 - differing / t) ** min(SAMPLED, t))
+    return max(2, math.ceil(1.5 * math.log(1 - recall) / math.log(1 - hit)))
 
 
+@lru_cache(None)
 def sampled_places(size: int, repetition: int) -> list[int]:
     rng = random.Random(f"{SEED}:{size}:{repetition}")
     return sorted(rng.sample(range(steps(size)), min(SAMPLED, steps(size))))
 
 
+@lru_cache(None)
+def _odd(place: int) -> np.uint64:
+    """The multiplier of the symbol at a place."""
+    return mixed(np.array([place], np.uint64), SEED)[0] | np.uint64(1)
+
+
+def walk_bits(symbols: np.ndarray, walk: int, step: int) -> np.ndarray:
+    """Per symbol whether the walk moves on from it, for 64 steps from ``step``."""
+    return mixed(symbols, 7919 * (walk + 1) + step)
+
+
+def walk_keys(symbols: np.ndarray, starts: np.ndarray, size: int, walk: int, reads: Iterable[int], bits: np.ndarray) -> list[np.ndarray]:
+    """The sampled keys of one walk from each start, for each repetition of ``reads``.
+
+    ``symbols`` reach as far as the walks can go, and ``bits`` are those of the first 64 steps.
+    """
+    at = starts.astype(np.int64)
+    places = [sampled_places(size, r) for r in reads]
+    keys = [np.full(len(at), mixed(np.array([size * 1009 + r], np.uint64))[0], np.uint64) for r in reads]
+    last = max(p[-1] for p in places)
+    for j in range(last + 1):
+        if j and j % 64 == 0:
+            bits = walk_bits(symbols, walk, j)
+        here = [k for k, p in zip(keys, places) if j in p]
+        if here:
+            part = symbols.take(at) * _odd(j)
+            for k in here:
+                k += part
+        if j < last:
+            at += ((bits.take(at) >> np.uint64(j % 64)) & np.uint64(1)).view(np.int64)
+    return keys
+
+
+def reads_of(walk: int, size: int, edited: float = MAX_DISTANCE) -> range:
+    """The repetitions that read a walk; empty after the last walk."""
+    return range(walk * READS, min((walk + 1) * READS, repetitions(size, edited=edited)))
+
+
 def window_keys(symbols: np.ndarray, starts: np.ndarray, size: int, repetition: int) -> np.ndarray:
     """The sampled key of the walk from each start; ``symbols`` are word hashes with a spare end."""
-    places = sampled_places(size, repetition)
-    last = len(symbols) - 1
-    at = starts.astype(np.int64)
-    key = np.full(len(at), np.uint64(size * 1009 + repetition), np.uint64)
-    bits = None
-    for j in range(places[-1] + 1):
-        if j % 64 == 0:
-            bits = mixed(symbols, 7919 * (repetition + 1) + j)
-        if j in places:
-            key = mixed(key ^ symbols[at], j)
-        if j < places[-1]:
-            at += ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-            np.minimum(at, last, out=at)
-    return key
+    walk, s = repetition // READS, np.append(symbols, np.zeros(steps(size), np.uint64))
+    return walk_keys(s, starts, size, walk, [repetition], walk_bits(s, walk, 0))[0]
 
 
 class Symbols:
@@ -161,7 +196,7 @@ _ITEM = T.StructType([
 ])
 
 
-def item_rows(texts: pd.Series) -> pd.DataFrame:
+def item_rows(texts: pd.Series, edited: float = MAX_DISTANCE) -> pd.DataFrame:
     symbols, rows = Symbols(), []
     for x in texts:
         found = lowered(x).split()
@@ -170,13 +205,18 @@ def item_rows(texts: pd.Series) -> pd.DataFrame:
             size = window_size(len(found))
             s = np.append(symbols(found), np.uint64(0))
             starts = np.arange(len(found) - size + 1)
-            keys = np.unique(np.concatenate([window_keys(s, starts, size, r) for r in range(repetitions(size))])).view(np.int64)
+            keys = np.unique(np.concatenate([window_keys(s, starts, size, r) for r in range(repetitions(size, edited=edited))])).view(np.int64)
         rows.append((b" ".join(found).decode("utf-8", "surrogatepass"), window_size(len(found)) if found else 0, len(found), keys))
     return pd.DataFrame(rows, columns=_ITEM.names)
 
 
+def filter_place(keys: np.ndarray, i: int) -> np.ndarray:
+    """A key's i-th bit in the filter; the first is cheap, as nearly every window asks for it alone."""
+    return ((keys >> np.uint64(40) if i == 0 else mixed(keys, 101 + i)) & np.uint64(FILTER_BITS - 1)).view(np.int64)
+
+
 def filter_places(keys: np.ndarray) -> list[np.ndarray]:
-    return [(mixed(keys, 101 + i) % np.uint64(FILTER_BITS)).astype(np.int64) for i in range(FILTER_HASHES)]
+    return [filter_place(keys, i) for i in range(FILTER_HASHES)]
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -202,41 +242,45 @@ _HIT = T.ArrayType(T.StructType([
 ]))
 
 
-def hits_of(texts: list[str | None], sizes: dict[int, int], bloom: np.ndarray, symbols: Symbols) -> list[list]:
+def hits_of(texts: list[str | None], sizes: dict[int, int], bloom: np.ndarray, symbols: Symbols, edited: float = MAX_DISTANCE) -> list[list]:
     """Per text the windows whose key passes the filter, each with the words around it.
 
-    ``sizes`` has the longest item of each window size. All texts of a batch are walked together;
-    between them stands a symbol that no word has.
+    ``sizes`` has the longest item of each window size. All texts of a batch are walked together, a
+    PIECE of words at a time; between them stands a symbol that no word has.
     """
     found = [lowered(x).split() for x in texts]
     lengths = np.array([len(f) for f in found])
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])
     out: list[list] = [[] for _ in texts]
-    if not lengths.sum():
+    if not lengths.sum() or not sizes:
         return out
-    s = np.zeros(begin[-1] + 1, np.uint64)
+    far = 2 * max(sizes) + 2  # as far as any walk can go
+    s = np.zeros(begin[-1] + 1 + far, np.uint64)
     for f, b in zip(found, begin):
         s[b : b + len(f)] = symbols(f)
-    for size, longest in sizes.items():
-        starts = np.concatenate([np.arange(b, b + n, stride(size)) for b, n in zip(begin, lengths)])
-        for low in range(0, len(starts), 1 << 16):
-            part = starts[low : low + (1 << 16)]
-            head = part[0]
-            view = s[head : part[-1] + 2 * size + 2]  # as far as these walks can go
-            if len(view) < part[-1] - head + 2 * size + 2:
-                view = np.append(view, np.uint64(0))
-            for r in range(repetitions(size)):
-                keys = window_keys(view, part - head, size, r)
-                ok = np.arange(len(keys))
-                for i in range(FILTER_HASHES):
-                    p = (mixed(keys[ok], 101 + i) % np.uint64(FILTER_BITS)).astype(np.int64)
-                    ok = ok[(bloom[p >> 3] >> (7 - (p & 7))) & 1 == 1]
-                for k in ok:
-                    d = int(np.searchsorted(begin, part[k], side="right")) - 1
-                    at = int(part[k] - begin[d])
-                    slack = longest + longest // 4 + 2
-                    around = b" ".join(found[d][max(0, at - slack) : at + slack]).decode("utf-8", "surrogatepass")
-                    out[d].append((int(keys[k].view(np.int64)), at, around))
+    starts = {size: np.concatenate([np.arange(b, b + n, stride(size)) for b, n in zip(begin, lengths)]) for size in sizes}
+    walks = max(-(-repetitions(size, edited=edited) // READS) for size in sizes)
+    for head in range(0, int(begin[-1]), PIECE):
+        view = s[head : head + PIECE + far]
+        parts = {size: x[slice(*np.searchsorted(x, [head, head + PIECE]))] - head for size, x in starts.items()}
+        for walk in range(walks):
+            bits = walk_bits(view, walk, 0)
+            for size, part in parts.items():
+                reads = reads_of(walk, size, edited)
+                if not len(part) or not len(reads):
+                    continue
+                for keys in walk_keys(view, part, size, walk, reads, bits):
+                    ok = None
+                    for i in range(FILTER_HASHES):
+                        p = filter_place(keys if ok is None else keys[ok], i)
+                        passed = np.flatnonzero((bloom.take(p >> 3) >> (7 - (p & 7)).astype(np.uint8)) & 1)
+                        ok = passed if ok is None else ok[passed]
+                    for k in ok:
+                        d = int(np.searchsorted(begin, part[k] + head, side="right")) - 1
+                        at = int(part[k] + head - begin[d])
+                        slack = sizes[size] + sizes[size] // 4 + 2
+                        around = b" ".join(found[d][max(0, at - slack) : at + slack]).decode("utf-8", "surrogatepass")
+                        out[d].append((int(keys[k].view(np.int64)), at, around))
     return out
 
 
@@ -247,14 +291,18 @@ def find_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     small_batches(spark)
-    made = items.select(F.col(f"`{item_id}`").alias("item"), F.pandas_udf(item_rows, _ITEM).asNondeterministic()(F.col(f"`{item_text}`")).alias("i"))
+
+    def planned(texts: pd.Series) -> pd.DataFrame:
+        return item_rows(texts, max_distance)
+
+    made = items.select(F.col(f"`{item_id}`").alias("item"), F.pandas_udf(planned, _ITEM).asNondeterministic()(F.col(f"`{item_text}`")).alias("i"))
     made = fixed(made.select("item", "i.*").where("words > 0"))
     keys = made.select("item", F.col("text").alias("wanted"), F.explode("keys").alias("key"))
     sizes = {r["size"]: r["w"] for r in made.groupBy("size").agg(F.max("words").alias("w")).collect()}
     bloom = spark.sparkContext.broadcast(key_filter(keys.select("key")))
 
     def scan(texts: pd.Series) -> pd.Series:
-        return pd.Series(hits_of(list(texts), sizes, bloom.value, kept("symbols", Symbols)), dtype=object)
+        return pd.Series(hits_of(list(texts), sizes, bloom.value, kept("symbols", Symbols), max_distance), dtype=object)
 
     slim = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
     hits = slim.select("id", F.sha1("t").alias("digest"), F.explode(F.pandas_udf(scan, _HIT).asNondeterministic()("t")).alias("h"))

@@ -95,3 +95,40 @@ def test_walks_fall_in_step_again():
     t[0] = 5
     same = [d.window_keys(s, np.array([1]), 33, r)[0] == d.window_keys(t, np.array([1]), 33, r)[0] for r in range(8)]
     assert all(same)
+
+
+def filter_of(keys):
+    bloom = np.zeros(d.FILTER_BITS // 8, np.uint8)
+    for p in d.filter_places(np.asarray(keys).view(np.uint64)):
+        np.bitwise_or.at(bloom, p >> 3, (128 >> (p & 7)).astype(np.uint8))
+    return bloom
+
+
+@pytest.mark.parametrize("n", [8, 12, 18, 30, 59])
+def test_recall_at_the_bound(n):
+    """A fifth of the words replaced, at any place in a document: one sure window has to be enough."""
+    rng, hit, trials = random.Random(n), 0, 150
+    for t in range(trials):
+        item = made(n * 1000 + t, n)
+        gone = set(rng.sample(range(n), n // 5))
+        out = [f"x{t}x{i}" if i in gone else w for i, w in enumerate(item)]
+        text = " ".join([f"before{i}" for i in range(rng.randrange(40, 80))] + out + [f"after{i}" for i in range(60)])
+        row = d.item_rows([" ".join(item)]).iloc[0]
+        found = d.hits_of([text], {row["size"]: row["words"]}, filter_of(row["keys"]), d.Symbols())[0]
+        hit += bool({k for k, _, _ in found} & set(row["keys"].tolist()))
+    assert hit >= 0.93 * trials
+
+
+def test_repetitions_follow_the_bound():
+    for size in (9, 13, 19, 28):
+        assert d.repetitions(size) >= 16 and d.repetitions(size, edited=0.1) < d.repetitions(size) < d.repetitions(size, edited=0.25)
+
+
+def test_pieces_do_not_change_hits(monkeypatch):
+    item = made(3, 20)
+    row = d.item_rows([" ".join(item)]).iloc[0]
+    bloom, texts = filter_of(row["keys"]), [" ".join(made(50 + i, 37) + item + made(90 + i, 11)) for i in range(20)] + [None, ""]
+    whole = d.hits_of(texts, {row["size"]: 20}, bloom, d.Symbols())
+    monkeypatch.setattr(d, "PIECE", 64)
+    cut = d.hits_of(texts, {row["size"]: 20}, bloom, d.Symbols())
+    assert [sorted(x) for x in cut] == [sorted(x) for x in whole] and all(whole[:20])
