@@ -1,4 +1,16 @@
 """Import every operator module so that its query registers."""
 
-from quarterline.llm import decontaminate, html_extract, lm, mixture, ngram_join, pii, quality, secret_scan, toxicity, warc  # noqa: F401
+from quarterline.llm import (  # noqa: F401
+    centroids,
+    decontaminate,
+    html_extract,
+    lm,
+    mixture,
+    ngram_join,
+    pii,
+    quality,
+    secret_scan,
+    toxicity,
+    warc,
+)
 from quarterline.llm.common import ORACLES, QUERIES  # noqa: F401
