@@ -4,6 +4,7 @@ from quarterline.llm import (  # noqa: F401
     centroids,
     decontaminate,
     html_extract,
+    licenses,
     lm,
     mixture,
     ngram_join,
