@@ -9,6 +9,7 @@ from quarterline.llm import (  # noqa: F401
     mixture,
     ngram_join,
     pii,
+    prefix_trie,
     quality,
     secret_scan,
     toxicity,
