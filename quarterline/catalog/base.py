@@ -39,8 +39,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a text table, read as it is stored."""
-    return table(spark, sf, name).select(*columns)
+    """Columns of a text table, dealt by the first one over the session's shuffle partitions.
+
+    A file with one row group is one task of the scan, whatever its size; the text rules after it
+    cost far more than moving the narrow rows once.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf, name).select(*columns).repartition(parts, columns[0])
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:

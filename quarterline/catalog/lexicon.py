@@ -150,9 +150,9 @@ def sentiment_anchors(spark, sf):
     f"WITH {ANCHORS} SELECT id // 2 AS id, pos, word, weight, prev FROM hits",
 )
 def sentiment_anchors_joined(spark, sf):
-    """With words listed twice (the larger weight holds) and ids that two sentences share."""
+    """The way of large lexicons, with words listed twice (the larger weight holds) and ids that two sentences share."""
     twice = word_table(spark).unionByName(word_table(spark).withColumn("weight", F.col("weight") - 3))
-    rows = lx.with_hits(tokenised(spark, sf).withColumn("id", F.floor(F.col("id") / 2)), twice)
+    rows = lx.with_joined_hits(tokenised(spark, sf).withColumn("id", F.floor(F.col("id") / 2)), twice)
     return rows.select("id", F.inline(lx.anchors())).select("id", "pos", "word", "weight", "prev")
 
 

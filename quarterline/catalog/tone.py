@@ -153,19 +153,9 @@ def tail_tone_update(spark, sf):
     return r6(tn.update_tail(old, bucket, ["policy", "macro"], 0.975, columns))
 
 
-def gaps(rows):
-    """Every 31st row without a year."""
-    return rows.withColumn("year", F.when(F.col("id") % 31 != 0, F.col("year")))
-
-
-def no_gaps(sql):
-    """The SQL over rows that have a year."""
-    return sql.replace("  FROM events),", "  FROM events WHERE event_id % 31 <> 0),", 1)
-
-
-@query("global_median", no_gaps(f"WITH {SCORED}, x AS (SELECT 1) SELECT round(median(neg_prob), 6) AS median FROM scored"))
+@query("global_median", f"WITH {SCORED}, x AS (SELECT 1) SELECT round(median(neg_prob), 6) AS median FROM scored")
 def global_median(spark, sf):
-    return r6(tn.global_median(gaps(scored(spark, sf))))
+    return r6(tn.global_median(scored(spark, sf)))
 
 
 INFORMATIVE = f"""{SCORED},
@@ -188,10 +178,10 @@ alltone AS (
 
 @query(
     "topk_informative",
-    no_gaps(f"WITH {INFORMATIVE} SELECT id, year, quarter, neg_prob, round(info, 6) AS info, CAST(rank AS INTEGER) AS rank, k FROM top"),
+    f"WITH {INFORMATIVE} SELECT id, year, quarter, neg_prob, round(info, 6) AS info, CAST(rank AS INTEGER) AS rank, k FROM top",
 )
 def topk_informative(spark, sf):
-    rows = tn.topk_informative(gaps(scored(spark, sf)))
+    rows = tn.topk_informative(scored(spark, sf))
     return r6(rows.select("id", "year", "quarter", "neg_prob", "info", "rank", "k"), "info")
 
 
@@ -207,10 +197,10 @@ def trimmed_mean(spark, sf):
 
 @query(
     "tone_all",
-    no_gaps(f"WITH {INFORMATIVE} SELECT year, quarter, round(tone_all, 6) AS tone_all, round(tone_tail_all, 6) AS tone_tail_all, n_selected FROM alltone"),
+    f"WITH {INFORMATIVE} SELECT year, quarter, round(tone_all, 6) AS tone_all, round(tone_tail_all, 6) AS tone_tail_all, n_selected FROM alltone",
 )
 def tone_all(spark, sf):
-    return r6(tn.tone_all(gaps(scored(spark, sf))))
+    return r6(tn.tone_all(scored(spark, sf)))
 
 
 _PLAIN_INFORMATIVE = INFORMATIVE[len(SCORED) + 1:]
@@ -218,7 +208,7 @@ _PLAIN_INFORMATIVE = INFORMATIVE[len(SCORED) + 1:]
 
 @query(
     "coverage_report",
-    no_gaps(f"""WITH {SELECTION}, {_PLAIN_INFORMATIVE}
+    f"""WITH {SELECTION}, {_PLAIN_INFORMATIVE}
 SELECT v.year, v.quarter, v.topic, n_sentences AS total_sentences, n_top1, n_confident, tau_used, n_eligible, n_target,
        CAST(coalesce(n_selected, 0) AS INTEGER) AS n_selected, round(coalesce(n_selected, 0) / n_sentences, 6) AS coverage,
        round(coalesce(avg_weight, 0), 6) AS avg_weight, round(coalesce(avg_top_score, 0), 6) AS avg_top_score, round(coalesce(avg_gap, 0), 6) AS avg_gap
@@ -227,10 +217,10 @@ UNION ALL
 SELECT s.year, s.quarter, 'all', s.n, NULL, NULL, NULL, NULL,
        CAST(least(CASE WHEN s.n <= 0 THEN 0 ELSE least(80, greatest(30, round(0.12e0 * s.n))) END, coalesce(n_selected, 0)) AS INTEGER),
        coalesce(n_selected, 0), round(coalesce(n_selected, 0) / s.n, 6), NULL, NULL, NULL
-FROM sizes s LEFT JOIN alltone a ON a.year = s.year AND a.quarter = s.quarter"""),
+FROM sizes s LEFT JOIN alltone a ON a.year = s.year AND a.quarter = s.quarter""",
 )
 def coverage_report(spark, sf):
-    rows = gaps(weighted(spark, sf))
+    rows = weighted(spark, sf)
     levels = tn.thresholds(rows)
     toned = tn.weighted_tone(tn.select_weighted(rows, levels=levels))
     return r6(tn.coverage_report(levels, toned, tn.tone_all(rows)))
@@ -299,14 +289,16 @@ _TONES = ("tone_all", "tone_tail_all", "tone_policy", "tone_tail_policy", "tone_
 
 @query(
     "quarterly_tone",
-    no_gaps(f"""WITH {SELECTION}, {_PLAIN_INFORMATIVE},
+    f"""WITH {SELECTION}, {_PLAIN_INFORMATIVE},
 j AS (
   SELECT s.year, s.quarter, s.n AS n_sentences, {QUOTA.replace('n ', 's.n ').replace('* n)', '* s.n)')} AS topn_target, tone_all, tone_tail_all,
          p.tone AS tone_policy, p.tail AS tone_tail_policy, m.tone AS tone_macro, m.tail AS tone_tail_macro
   FROM sizes s LEFT JOIN alltone a ON a.year = s.year AND a.quarter = s.quarter
   LEFT JOIN (SELECT * FROM toned WHERE topic = 'policy') p ON p.year = s.year AND p.quarter = s.quarter
   LEFT JOIN (SELECT * FROM toned WHERE topic = 'macro') m ON m.year = s.year AND m.quarter = s.quarter)
-SELECT year, quarter, n_sentences, topn_target, {', '.join(f'round({c}, 6) AS {c}' for c in _TONES)}, {', '.join(map(_z, _TONES))} FROM j"""),
+SELECT year, quarter, n_sentences, topn_target, {', '.join(f'round(round({c}, 9), 6) AS {c}' for c in _TONES)}, {', '.join(map(_z, _TONES))} FROM j""",
 )
 def quarterly_tone(spark, sf):
-    return r6(tn.quarterly_tone(gaps(weighted(spark, sf))))
+    """Tones are rounded to nine digits first: tails often lie halfway between two sixth digits."""
+    out = tn.quarterly_tone(weighted(spark, sf))
+    return r6(out.withColumns({c: F.round(c, 9) for c in _TONES}))

@@ -1,8 +1,8 @@
 """Lexicon scoring of tokenised sentences.
 
 A sentence's tokens stay in one array, so negation, context and attenuation are looked up
-by position inside the row. The listed tokens are found by a join with the lexicon, whatever its
-size; Spark broadcasts it when it is small.
+by position inside the row. The listed tokens are found in hash sets within the row, or by a join
+when the lexicon, whose size is counted, is too large to send to the tasks.
 """
 
 from __future__ import annotations
@@ -60,23 +60,60 @@ def valid_unit(text: Column, tokens: Column, max_share: float = ZH_TONE.max_digi
     return F.when(text.isNull() | heavy | (F.size(tokens) == 0), 0).otherwise(1)
 
 
+#: Lexicons of up to so many words and distinct weights go into the plan as sets.
+MAX_WORDS, MAX_WEIGHTS = 100_000, 64
+
+
 def one_weight(lexicon: DataFrame) -> DataFrame:
-    """One weight per word; of a word listed with several, the largest holds."""
-    return lexicon.groupBy("word").agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    """One weight per word; of a word listed with several, the largest holds. Words without one are left out."""
+    weight = F.max(F.col("weight").cast("double")).alias("weight")
+    return lexicon.groupBy("word").agg(weight).where(F.col("weight").isNotNull())
+
+
+def weight_sets(lexicon: DataFrame) -> list[tuple[float, list[str]]] | None:
+    """The words of each weight, or None if there are too many of either to send to the tasks."""
+    words = one_weight(lexicon).where(F.col("word").isNotNull()).limit(MAX_WORDS + 1).collect()
+    groups: dict[float, list[str]] = {}
+    for r in words:
+        groups.setdefault(r["weight"], []).append(r["word"])
+    if len(words) > MAX_WORDS or len(groups) > MAX_WEIGHTS:
+        return None
+    return sorted(groups.items())
 
 
 def with_hits(df: DataFrame, lexicon: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Add ``hits``: an array of ``(pos, word, weight)`` for the listed tokens.
 
-    Hits depend on the tokens alone, so rows find theirs by a digest of the token array: equal
-    sentences share them, and ids needn't be unique. A row without tokens (NULL) has no hits (NULL).
+    Words of each weight are looked up in a hash set inside the row, without a shuffle. A lexicon
+    too large for that (its size is counted) is joined: hits depend on the tokens alone, so each
+    distinct token array is looked up once. Both ways give the same rows. A row without tokens
+    (NULL) has no hits (NULL).
     """
-    key = F.sha1(F.concat_ws("\u0001", tokens))
+    sets = weight_sets(lexicon)
+    if sets is None:
+        return with_joined_hits(df, lexicon, tokens)
+    none = F.array().cast("array<struct<pos:int,word:string,weight:double>>")
+    if not sets:
+        return df.withColumn("hits", F.when(F.col(tokens).isNotNull(), none))
+
+    def hit(word: Column, pos: Column) -> Column:
+        weight = F.coalesce(*[F.when(word.isin(words), F.lit(w)) for w, words in sets])
+        return F.struct(pos.cast("int").alias("pos"), word.alias("word"), weight.alias("weight"))
+
+    found = F.filter(F.transform(F.col(tokens), hit), lambda x: x["weight"].isNotNull())
+    return add_once(df, {"hits": found})
+
+
+def with_joined_hits(df: DataFrame, lexicon: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``with_hits`` by a join, for lexicons of any size; rows find their hits by a digest of their tokens."""
+    key = F.sha1(F.to_json(F.struct(tokens)))
     listed = (
-        df.select(key.alias("__k"), F.posexplode(tokens).alias("pos", "word"))
+        df.select(key.alias("__k"), tokens)
+        .dropDuplicates(["__k"])
+        .select("__k", F.posexplode(tokens).alias("pos", "word"))
         .join(one_weight(lexicon), "word")
         .groupBy("__k")
-        .agg(F.sort_array(F.collect_set(F.struct("pos", "word", "weight"))).alias("__h"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "word", "weight"))).alias("__h"))
     )
     none = F.array().cast("array<struct<pos:int,word:string,weight:double>>")
     found = F.when(F.col(tokens).isNotNull(), F.coalesce("__h", none))

@@ -109,3 +109,16 @@ def test_filter_tokens(spark):
     df = spark.createDataFrame([(w,) for w in words], "token string")
     stop = spark.createDataFrame([("的",)], "word string")
     assert {r.token for r in filter_tokens(df, stop).collect()} == {"增长", "a1", "①"}
+
+
+def test_both_ways_of_finding_hits_agree(spark, monkeypatch):
+    rows = [(1, ["up", None, "down", "up"]), (1, ["up", "down", "up"]), (2, None), (3, []), (4, ["", "x"]), (5, ["up"] * 3)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    words = spark.createDataFrame([("up", 1.0), ("up", 0.5), ("down", -1.0), ("x", None), (None, 2.0)], "word string, weight double")
+    inline = sorted(map(str, lx.with_hits(df, words).collect()))
+    assert inline == sorted(map(str, lx.with_joined_hits(df, words).collect()))
+    assert "[Row(pos=0, word='up', weight=1.0), Row(pos=1, word='down', weight=-1.0), Row(pos=2" in inline[0]
+    monkeypatch.setattr(lx, "MAX_WORDS", 1)
+    assert lx.weight_sets(words) is None and sorted(map(str, lx.with_hits(df, words).collect())) == inline
+    none = lx.with_hits(df, words.limit(0))
+    assert [r.hits for r in none.orderBy("id", "tokens").collect()] == [[], [], None, [], [], []]
