@@ -251,31 +251,107 @@ def midas_term(spark, sf):
 
 
 GRID = [(a / 4, -b / 10) for a in range(-2, 3) for b in range(0, 4)]
+ROUNDS, STEP = 4, (0.125, 0.05)
+
+
+def _midas_search_sql():
+    """Every round as a comparison of all points on the days themselves."""
+    parts = [f"""l AS (SELECT date, 'F' AS series, "F" AS ret FROM returns UNION ALL SELECT date, 'O', "O" FROM returns UNION ALL SELECT date, 'P', "P" FROM returns),
+points0 AS (SELECT series, theta1, theta2 FROM (SELECT DISTINCT series FROM l), (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in GRID)}) g(theta1, theta2))"""]
+    for r in range(ROUNDS):
+        if r:
+            h1, h2 = STEP[0] / 2 ** (r - 1), STEP[1] / 2 ** (r - 1)
+            parts.append(f"""points{r} AS (SELECT series, theta1 + i * {h1}::DOUBLE AS theta1, theta2 + j * {h2}::DOUBLE AS theta2
+  FROM best{r - 1}, range(-2, 3) a(i), range(-2, 3) b(j))""")
+        w = "exp(a.theta1 * (a.o - b.o) + a.theta2 * (a.o - b.o) * (a.o - b.o))"
+        parts.append(f"""og{r} AS (SELECT year, quarter, tone_policy, o, series, theta1, theta2 FROM ordered, points{r}),
+t{r} AS (SELECT a.year, a.quarter, a.series, a.theta1, a.theta2, sum({w} * b.tone_policy) / sum({w}) AS x
+  FROM og{r} a JOIN og{r} b ON a.series = b.series AND a.theta1 = b.theta1 AND a.theta2 = b.theta2 AND a.o - b.o BETWEEN 0 AND 7 GROUP BY ALL),
+s{r} AS (SELECT l.series, theta1, theta2, count(*) AS n, regr_syy(ret * ret, x) - pow(regr_sxy(ret * ret, x), 2) / regr_sxx(ret * ret, x) AS ssr
+  FROM l JOIN t{r} t ON t.series = l.series AND t.year = year(l.date) AND t.quarter = quarter(l.date) WHERE ret IS NOT NULL GROUP BY ALL),
+best{r} AS (SELECT * FROM s{r} QUALIFY row_number() OVER (PARTITION BY series ORDER BY ssr, theta1, theta2) = 1)""")
+    return f"{ORDERED}, {RETURNS}, {', '.join(parts)}"
+
+
+MIDAS = _midas_search_sql()
+
+
+def midas_inputs(spark, sf):
+    days = long_returns(spark, sf).withColumns({"year": F.year("date"), "quarter": F.quarter("date")})
+    return days, quarterly(spark, sf).select(*PERIOD, "tone_policy")
+
+
+def midas_best(spark, sf):
+    days, quarters = midas_inputs(spark, sf)
+    return rg.midas_weight_search(days, quarters, "ret", "tone_policy", GRID, by=["series"], rounds=ROUNDS, step=STEP)
+
+
+def six_digits(c):
+    """Six significant digits."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 5)
+    return F.round(c / scale, 0) * scale
+
+
+def six_digits_sql(c):
+    return f"round({c} / pow(1e1, floor(log10(abs({c}))) - 5), 0) * pow(1e1, floor(log10(abs({c}))) - 5)"
 
 
 @query(
     "midas_weight_search",
-    f"""WITH {ORDERED}, {RETURNS},
-grid AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in GRID)}) g(theta1, theta2)),
-og AS (SELECT year, quarter, tone_policy, o, theta1, theta2 FROM ordered, grid),
-t AS (
-  SELECT a.year, a.quarter, a.theta1, a.theta2,
-         sum(exp(a.theta1 * (a.o - b.o) + a.theta2 * (a.o - b.o) * (a.o - b.o)) * b.tone_policy)
-         / sum(exp(a.theta1 * (a.o - b.o) + a.theta2 * (a.o - b.o) * (a.o - b.o))) AS x
-  FROM og a JOIN og b ON a.theta1 = b.theta1 AND a.theta2 = b.theta2 AND a.o - b.o BETWEEN 0 AND 7 GROUP BY ALL),
-l AS (SELECT date, 'F' AS series, "F" AS ret FROM returns UNION ALL SELECT date, 'O', "O" FROM returns UNION ALL SELECT date, 'P', "P" FROM returns),
-j AS (SELECT series, theta1, theta2, x, ret * ret AS y FROM l JOIN t ON t.year = year(l.date) AND t.quarter = quarter(l.date) WHERE ret IS NOT NULL),
-s AS (SELECT series, theta1, theta2, count(*) AS n, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS ssr FROM j GROUP BY ALL)
-SELECT series, theta1, theta2, n, round(ssr, 4) AS ssr FROM s
-QUALIFY row_number() OVER (PARTITION BY series ORDER BY ssr, theta1, theta2) = 1""",
+    f"WITH {MIDAS} SELECT series, theta1, theta2, n, {six_digits_sql('ssr')} AS ssr FROM best{ROUNDS - 1}",
 )
 def midas_weight_search(spark, sf):
-    """The best weights for each of the three series."""
-    days = returns(spark, sf).select(F.year("date").alias("year"), F.quarter("date").alias("quarter"), "F", "O", "P")
-    quarters = quarterly(spark, sf).select(*PERIOD, "tone_policy")
-    best = [rg.midas_weight_search(days, quarters, c, "tone_policy", GRID).withColumn("series", F.lit(c)) for c in ("F", "O", "P")]
-    out = best[0].unionByName(best[1]).unionByName(best[2])
-    return out.withColumns({"n": F.col("n").cast("bigint"), "ssr": F.round("ssr", 4)})
+    """The best weights for each of three series, searched in ever finer grids."""
+    out = midas_best(spark, sf)
+    return out.withColumns({"n": F.col("n").cast("bigint"), "ssr": six_digits(F.col("ssr"))})
+
+
+@query(
+    "midas_daily",
+    f"""WITH {MIDAS}
+SELECT l.date, l.series, round(l.ret, 6) AS ret, round(t.x, 6) AS midas FROM l LEFT JOIN best{ROUNDS - 1} b ON b.series = l.series
+LEFT JOIN t{ROUNDS - 1} t ON t.series = l.series AND t.theta1 = b.theta1 AND t.theta2 = b.theta2 AND t.year = year(l.date) AND t.quarter = quarter(l.date)""",
+)
+def midas_daily(spark, sf):
+    """Every day of three series with the term of its quarter."""
+    days, quarters = midas_inputs(spark, sf)
+    out = rg.midas_daily(days, quarters, midas_best(spark, sf), "tone_policy", by=["series"])
+    return r6(out.select("date", "series", "ret", "midas"))
+
+
+ARMA_LONG = 8
+
+
+def _arma_sql():
+    """The long autoregression's residuals as regressors; every order fitted on its own."""
+    own = [f"l{i}" for i in range(1, ARMA_LONG + 1)]
+    lags = ", ".join(f"lag(ret, {i}) OVER (PARTITION BY series ORDER BY l.date) AS l{i}" for i in range(1, ARMA_LONG + 1))
+    parts = [f"""tone_days AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_discount) * 10 AS x FROM lineitem GROUP BY CAST(l_shipdate AS DATE)),
+longr AS (SELECT date, 'F' AS series, "F" AS ret FROM returns UNION ALL SELECT date, 'O', "O" FROM returns UNION ALL SELECT date, 'P', "P" FROM returns),
+lagged AS (SELECT l.date, series, ret, x, {lags} FROM longr l LEFT JOIN tone_days t ON t.date = l.date)""",
+             sql.fit_sql("z_", "lagged", "ret", ["x", *own], ["series"], ["date"]),
+             "second AS (SELECT series, date, y AS ret, x1 AS x, x2 AS l1, x3 AS l2, lag(u) OVER (PARTITION BY series ORDER BY date) AS u1 FROM z_res)",
+             "used AS (SELECT * FROM second WHERE u1 IS NOT NULL)"]
+    union = []
+    for p, q in rg.ARMA_ORDERS:
+        xs = ["x", *["l1", "l2"][:p], *["u1"][:q]]
+        parts.append(sql.fit_sql(f"m{p}{q}_", "used", "ret", xs, ["series"]))
+        union.append(f"SELECT series, {p} AS p, {q} AS q, {len(xs) + 1} AS k, count(*) AS n, sum(u * u) AS rss FROM m{p}{q}_res GROUP BY series")
+    return f"""WITH {RETURNS}, {', '.join(parts)},
+every AS ({' UNION ALL '.join(union)}),
+b AS (SELECT *, n * (ln(rss / n) + ln(2 * pi()) + 1) + ln(n) * k AS bic FROM every)
+SELECT series, CAST(p AS INTEGER) AS p, CAST(q AS INTEGER) AS q, n, round(rss, 6) AS rss, round(bic, 6) AS bic,
+       CASE WHEN bic = min(bic) OVER (PARTITION BY series) THEN 1 ELSE 0 END AS best FROM b"""
+
+
+def toned_returns(spark, sf):
+    x = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg((F.avg("l_discount") * 10).alias("x"))
+    return long_returns(spark, sf).join(x, "date", "left")
+
+
+@query("arma_order_by_bic", _arma_sql())
+def arma_order_by_bic(spark, sf):
+    return r6(rg.arma_order_by_bic(toned_returns(spark, sf), "ret", ["x"], ["date"], ["series"], long_order=ARMA_LONG))
 
 
 def _ar_sql():
@@ -310,10 +386,7 @@ SELECT series, CAST(p AS INTEGER) AS p, n, round(rss, 6) AS rss, round(bic, 6) A
 
 @query("ar_order_by_bic", _ar_sql())
 def ar_order_by_bic(spark, sf):
-    d = F.to_date("l_shipdate")
-    x = table(spark, sf, "lineitem").groupBy(d.alias("date")).agg((F.avg("l_discount") * 10).alias("x"))
-    rows = long_returns(spark, sf).join(x, "date", "left")
-    return r6(rg.ar_order_by_bic(rows, "ret", ["x"], "date", ["series"]))
+    return r6(rg.ar_order_by_bic(toned_returns(spark, sf), "ret", ["x"], "date", ["series"]))
 
 
 @query(

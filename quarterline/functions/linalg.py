@@ -78,21 +78,30 @@ def sandwich_se(inv: pd.Series, meat: pd.Series, means: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(ARRAY)
-def nested_rss(gram: pd.Series, sizes: pd.Series) -> pd.Series:
-    """Residual sums of squares of nested models from one Gram matrix whose last row and
-    column belong to the response; ``sizes`` lists how many leading regressors each uses."""
+def subset_rss(gram: pd.Series, chosen: pd.Series) -> pd.Series:
+    """Residual sums of squares of models from one centred Gram matrix whose last row and column
+    belong to the response; ``chosen`` lists the regressors' places of each model.
 
-    def one(a, ks):
+    Eliminating the regressors (a Cholesky factor) leaves the sum in the response's diagonal cell;
+    redundant regressors are left to least squares.
+    """
+
+    def one(a, sets):
         if a is None:
             return None
         m = _square(a)
         out = []
-        for k in ks:
-            xtx, xty = m[:k, :k], m[:k, -1]
-            out.append(m[-1, -1] - xty @ np.linalg.solve(xtx, xty))
+        for s in sets:
+            at = [*[int(i) for i in s], len(m) - 1]
+            part = m[np.ix_(at, at)]
+            try:
+                out.append(float(np.linalg.cholesky(part)[-1, -1] ** 2))
+            except np.linalg.LinAlgError:
+                b = np.linalg.lstsq(part[:-1, :-1], part[:-1, -1], rcond=None)[0]
+                out.append(float(max(0.0, part[-1, -1] - part[:-1, -1] @ b)))
         return np.asarray(out)
 
-    return pd.Series([one(a, k) for a, k in zip(gram, sizes)])
+    return pd.Series([one(a, s) for a, s in zip(gram, chosen)])
 
 
 def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:

@@ -13,9 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from quarterline.functions import linalg
-from quarterline.operators.series import add_lags, forward_cumulative
+from quarterline.functions.halo import over_chunks
+from quarterline.operators.series import add_lags, forward_cumulative, lag_long
 from quarterline.session import checkpoint
 
 # ---- Fixed values: normal quantiles of two-sided 90 and 95 percent bands ---------------
@@ -182,24 +184,28 @@ def ols_hc1(
 
 def newey_west(
     df: DataFrame, y: str, xs: Sequence[str], order: Sequence[str], keys: Sequence[str] = (),
-    lags: int = 4,
+    lags: int = 4, long: bool = False,
 ) -> DataFrame:
     """Coefficients with Newey-West errors (Bartlett weights, no small-sample factor).
 
     Each series is in ``order`` with one row per period, so its window is bounded by the
-    calendar.
+    calendar; ``long`` series of any length are cut into chunks of rows instead.
     """
     model = fit(df, y, xs, keys)
     resid = with_model(df, model, y, xs, keys)
     k = len(xs) + 1
-    along = W.partitionBy(*keys).orderBy(*order)
     scores = [f"resid * {c}" for c in _centred(xs)]
     resid = resid.withColumn("__v", F.expr(f"array({', '.join(scores)})"))
     # missing leads at the start of a series count as zero
     zeros = F.expr(f"array({', '.join(['0D'] * k)})")
-    resid = resid.withColumns(
-        {f"__v{ell}": F.coalesce(F.lag("__v", ell).over(along), zeros) for ell in range(1, lags + 1)}
-    )
+
+    def lagged(along: WindowSpec) -> dict[str, Column]:
+        return {f"__v{ell}": F.coalesce(F.lag("__v", ell).over(along), zeros) for ell in range(1, lags + 1)}
+
+    if long:
+        resid = over_chunks(resid.select(*keys, *order, "resid", "model", "__v"), order, lagged, before=lags, by=keys)
+    else:
+        resid = resid.withColumns(lagged(W.partitionBy(*keys).orderBy(*order)))
 
     def cell(i: int, j: int) -> str:
         parts = [f"__v[{i}] * __v[{j}]"]
@@ -361,48 +367,116 @@ def _midas(column: str, weights: Sequence[float | Column], along) -> Column:
     return top / total
 
 
+def _centred_gram(names: Sequence[str]) -> Column:
+    """Sums of products of the centred columns; they merge in one pass and keep their digits."""
+    cols = [f"cast(`{c}` as double)" for c in names]
+    return _symmetric(len(cols), lambda i, j: f"covar_pop({cols[i]}, {cols[j]}) * count(*)")
+
+
+def _midas_terms(
+    points: DataFrame, quarters: DataFrame, column: str, lags: int, by: Sequence[str], out: str
+) -> DataFrame:
+    """The term of every quarter for every point ``theta1, theta2``.
+
+    The quarter table, bounded by the calendar, enters every point's row as one array.
+    """
+    table = quarters.agg(F.array_sort(F.collect_list(F.struct("year", "quarter", column)))).scalar()
+    wide = points.select("*", F.inline(table))
+    along = W.partitionBy(*by).orderBy("year", "quarter")
+    raw = [F.exp(F.col("theta1") * j + F.col("theta2") * (j * j)) for j in range(lags)]
+    return wide.withColumn("__o", F.row_number().over(along)).withColumn(out, _midas(column, raw, along))
+
+
 def midas_weight_search(
     days: DataFrame, quarters: DataFrame, response: str, column: str,
     grid: Sequence[tuple[float, float]], lags: int = 8, min_days: int = 20,
+    by: Sequence[str] = (), rounds: int = 1, step: tuple[float, float] = (0.125, 0.05),
 ) -> DataFrame:
-    """The grid point with the smallest residual sum of squares of the squared response on
-    the MIDAS term.
+    """``theta1, theta2, n, ssr`` per series: the weights with the smallest residual sum of
+    squares of the squared response on the MIDAS term.
 
-    The term is constant within a quarter, so days are summed per quarter first; the grid
-    only multiplies quarter rows.
+    The first round tries the grid for all series at once; each later round tries five by five
+    points around every series' best one, at half the distance of the round before. A round is one
+    aggregation. The term is constant within a quarter, so days are summed per quarter first, as
+    centred moments; points only multiply quarter rows.
     """
+    by = list(by)
     square = F.col(response) * F.col(response)
-    per_quarter = days.where(F.col(response).isNotNull()).groupBy("year", "quarter").agg(
-        F.count("*").alias("m"), F.sum(square).alias("sy"), F.sum(square * square).alias("syy")
-    )
-    points = F.array(
-        *[
-            F.struct(F.lit(float(a)).alias("theta1"), F.lit(float(b)).alias("theta2"))
-            for a, b in grid
-        ]
-    )
-    wide = quarters.select("year", "quarter", column, F.inline(points))
-    along = W.partitionBy("theta1", "theta2").orderBy("year", "quarter")
-    raw = [F.exp(F.col("theta1") * j + F.col("theta2") * (j * j)) for j in range(lags)]
-    terms = wide.withColumn("__o", F.row_number().over(along)).withColumn(
-        "x", _midas(column, raw, along)
+    per_quarter = days.where(F.col(response).isNotNull()).groupBy(*by, "year", "quarter").agg(
+        F.count("*").alias("m"), F.avg(square).alias("ym"), (F.var_pop(square) * F.count("*")).alias("inside")
     )
-    joined = terms.where("x IS NOT NULL").join(per_quarter, ["year", "quarter"])
-    s = joined.groupBy("theta1", "theta2").agg(
-        F.sum("m").alias("n"),
-        F.sum("sy").alias("sy"),
-        F.sum("syy").alias("syy"),
-        F.sum(F.col("m") * F.col("x")).alias("sx"),
-        F.sum(F.col("m") * F.col("x") * F.col("x")).alias("sxx"),
-        F.sum(F.col("x") * F.col("sy")).alias("sxy"),
+    per_quarter = checkpoint(per_quarter)  # bounded by the calendar, read in every round
+    series = per_quarter.select(*by).distinct() if by else None
+
+    def best(points: DataFrame) -> DataFrame:
+        terms = _midas_terms(points, quarters, column, lags, [*by, "theta1", "theta2"], "x")
+        joined = terms.where("x IS NOT NULL").join(per_quarter, [*by, "year", "quarter"])
+        whole = W.partitionBy(*by, "theta1", "theta2")
+        mean = lambda c: F.sum(F.col("m") * F.col(c)).over(whole) / F.sum("m").over(whole)
+        joined = joined.withColumns({"dx": F.col("x") - mean("x"), "dy": F.col("ym") - mean("ym")})
+        s = joined.groupBy(*by, "theta1", "theta2").agg(
+            F.sum("m").alias("n"),
+            F.sum(F.col("inside") + F.col("m") * F.col("dy") * F.col("dy")).alias("cyy"),
+            F.sum(F.col("m") * F.col("dx") * F.col("dx")).alias("cxx"),
+            F.sum(F.col("m") * F.col("dx") * F.col("dy")).alias("cxy"),
+        )
+        explained = F.coalesce(F.col("cxy") * F.col("cxy") / F.nullif("cxx", F.lit(0.0)), F.lit(0.0))
+        ranked = s.where(F.col("n") >= min_days).withColumn("ssr", F.col("cyy") - explained)
+        point = F.struct("theta1", "theta2", "n", "ssr")
+        chosen = ranked.groupBy(*by).agg(F.min_by(point, F.struct("ssr", "theta1", "theta2")).alias("b"))
+        return chosen.select(*by, "b.*")
+
+    cells = F.array(*[F.struct(F.lit(float(a)).alias("theta1"), F.lit(float(b)).alias("theta2")) for a, b in grid])
+    one = days.sparkSession.range(1) if series is None else series
+    found = checkpoint(best(one.select(*by, F.inline(cells))))
+    h1, h2 = step
+    for _ in range(rounds - 1):
+        near = F.array(*[
+            F.struct((F.col("theta1") + i * h1).alias("theta1"), (F.col("theta2") + j * h2).alias("theta2"))
+            for i in range(-2, 3) for j in range(-2, 3)
+        ])
+        found = checkpoint(best(found.select(*by, F.inline(near))))
+        h1, h2 = h1 / 2, h2 / 2
+    return found if by else found.where("ssr IS NOT NULL")
+
+
+def midas_daily(
+    days: DataFrame, quarters: DataFrame, weights: DataFrame, column: str, lags: int = 8,
+    by: Sequence[str] = (), out: str = "midas",
+) -> DataFrame:
+    """Days with the MIDAS term of their quarter, by each series' own weights.
+
+    ``weights`` has ``theta1, theta2`` per series. A day whose quarter is not in the quarter table, or
+    whose series has no weights, gets NULL.
+    """
+    by = list(by)
+    terms = _midas_terms(weights.select(*by, "theta1", "theta2"), quarters, column, lags, by, out)
+    return days.join(terms.select(*by, "year", "quarter", out), [*by, "year", "quarter"], "left")
+
+
+def _ranked_orders(
+    rows: DataFrame, y: str, columns: Sequence[str], models: Sequence[tuple[tuple[int, ...], Sequence[str]]],
+    names: Sequence[str], keys: Sequence[str],
+) -> DataFrame:
+    """BIC of nested or overlapping models on the same rows, from one Gram matrix of centred columns.
+
+    ``models`` pairs an order with its regressors (a constant is always there).
+    """
+    cols = [*columns, y]
+    k = len(cols)
+    at = {c: i for i, c in enumerate(columns)}
+    moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), _centred_gram(cols).alias("gram"))
+    moments = moments.withColumn("gram", _mirrored(k, "gram"))
+    chosen = F.array(*[F.array(*[F.lit(at[c]) for c in xs]).cast("array<int>") for _, xs in models])
+    cells = F.arrays_zip(
+        linalg.subset_rss("gram", chosen).alias("rss"),
+        F.array(*[F.struct(*[F.lit(o).alias(n) for n, o in zip(names, order)], F.lit(len(xs) + 1).alias("k")) for order, xs in models]).alias("o"),
     )
-    cxx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    cyy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    ssr = F.when(F.col("n") >= min_days, cyy - F.coalesce(cxy * cxy / F.nullif(cxx, F.lit(0.0)), F.lit(0.0)))
-    ranked = s.select("theta1", "theta2", "n", ssr.alias("ssr"))
-    best = F.min_by(F.struct("theta1", "theta2", "n", "ssr"), F.struct("ssr", "theta1", "theta2"))
-    return ranked.where("ssr IS NOT NULL").agg(best.alias("b")).select("b.*")
+    long = moments.select(*keys, "n", F.inline(cells)).select(*keys, "o.*", "n", "rss")
+    bic = F.col("n") * (F.ln(F.col("rss") / F.col("n")) + math.log(2 * math.pi) + 1) + F.ln("n") * F.col("k")
+    out = long.withColumn("bic", bic).drop("k")
+    best = F.min("bic").over(W.partitionBy(*keys)) == F.col("bic")
+    return out.withColumn("best", best.cast("int"))
 
 
 def ar_order_by_bic(
@@ -414,23 +488,42 @@ def ar_order_by_bic(
     The Gram matrix of the largest model contains those of the smaller ones, so one
     aggregation serves all orders.
     """
-    rows = add_lags(df, [y], list(range(1, max_order + 1)), order, keys)
     lag_names = [f"{y}_l{i}" for i in range(1, max_order + 1)]
+    rows = add_lags(df, [y], list(range(1, max_order + 1)), order, keys)
     rows = complete_cases(rows, [y, *xs, *lag_names])
-    cols = [*_sql_names([*xs, *lag_names]), f"cast(`{y}` as double)"]
-    sizes = [1 + len(xs) + p for p in range(max_order + 1)]
-    gram = _symmetric(len(cols), lambda i, j: f"sum({cols[i]} * {cols[j]})")
-    moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), gram.alias("gram"))
-    moments = moments.withColumn("gram", _mirrored(len(cols), "gram"))
-    rss = linalg.nested_rss("gram", F.array(*[F.lit(s) for s in sizes]))
-    long = moments.withColumn("rss", rss).select(
-        *keys, "n", F.posexplode("rss").alias("p", "rss")
-    )
-    loglik = -F.col("n") / 2 * (F.log(F.col("rss") / F.col("n")) + math.log(2 * math.pi) + 1)
-    bic = -2 * loglik + F.log("n") * (F.col("p") + 1 + len(xs))
-    out = long.select(*keys, "p", "n", "rss", bic.alias("bic"))
-    best = F.min("bic").over(W.partitionBy(*keys)) == F.col("bic")
-    return out.withColumn("best", best.cast("int"))
+    models = [((p,), [*xs, *lag_names[:p]]) for p in range(max_order + 1)]
+    return _ranked_orders(rows, y, [*xs, *lag_names], models, ["p"], keys)
+
+
+# ---- Fixed values: the orders that are compared -------------------------------------------
+ARMA_ORDERS = ((0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (0, 1))
+
+
+def arma_order_by_bic(
+    df: DataFrame, y: str, xs: Sequence[str], order: Sequence[str], keys: Sequence[str] = (),
+    orders: Sequence[tuple[int, int]] = ARMA_ORDERS, long_order: int = 8, long: bool = False,
+) -> DataFrame:
+    """BIC of ARMA(p, q) models with regressors, and the best order, by two linear regressions.
+
+    The residuals of a long autoregression stand in for the innovations (Hannan-Rissanen), so a
+    moving-average term is a regressor like any other: one aggregation fits the long model, a second
+    one holds all orders. All orders are compared on the rows that have every lag. ``long`` series
+    take their lags in chunks of rows.
+    """
+    lagged = lag_long if long else add_lags
+    ps, qs = max((p for p, _ in orders), default=0), max((q for _, q in orders), default=0)
+    order = [order] if isinstance(order, str) else list(order)
+    own = [f"{y}_l{i}" for i in range(1, max(long_order, ps) + 1)]
+    rows = lagged(df, [y], list(range(1, len(own) + 1)), order, keys)
+    start = [*xs, *own[:long_order]]
+    resid = with_residuals(rows, fit(rows, y, start, keys), y, start, keys, "shock")
+    resid = resid.select(*keys, *order, y, *xs, *own[:ps], "shock")
+    shocks = [f"shock_l{i}" for i in range(1, qs + 1)]
+    if shocks:
+        resid = lagged(checkpoint(resid), ["shock"], list(range(1, qs + 1)), order, keys)
+    columns = [*xs, *own[:ps], *shocks]
+    models = [((p, q), [*xs, *own[:p], *shocks[:q]]) for p, q in orders]
+    return _ranked_orders(complete_cases(resid, [y, *columns]), y, columns, models, ["p", "q"], keys)
 
 
 def regressor_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

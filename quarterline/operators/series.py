@@ -1,17 +1,20 @@
 """Preparing daily and quarterly series.
 
 Inputs hold at most one row per series and date (or quarter), so a window over one series is
-bounded by the calendar. Aggregate finer data to days first.
+bounded by the calendar. Aggregate finer data to days first, or use the ``_long`` operators, which
+take series of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
+from quarterline.functions.halo import CHUNK, over_chunks
 from quarterline.functions.coerce import coalesce_present, to_day, to_number, with_period
 from quarterline.profiles import CONTROL_KEYWORDS
 from quarterline.sources.columns import resolve_columns
@@ -143,16 +146,46 @@ def add_lags(
     return out.dropna(subset=list(names)) if drop_missing else out
 
 
-def forward_cumulative(
-    df: DataFrame, column: str, horizons: Sequence[int], order: str = "date",
-    by: Sequence[str] = (), prefix: str = "cum_",
+def lag_long(
+    df: DataFrame, columns: Sequence[str], lags: Sequence[int], order: Sequence[str],
+    by: Sequence[str] = (), chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add the sum of ``column`` from the row to h rows ahead; NULL past the end or where a
-    value inside is NULL."""
-    along = _along(by, order)
+    """``add_lags`` for series of any length, in chunks of rows."""
+    names = lambda along: {f"{c}_l{k}": F.lag(c, k).over(along) for c in columns for k in lags}
+    return over_chunks(df, order, names, before=max(lags, default=0), by=by, chunk=chunk)
+
+
+def change_long(
+    df: DataFrame, columns: Sequence[str], order: Sequence[str], by: Sequence[str] = (),
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Add ``d_<column>``, the change from the row before, for series of any length."""
+    names = lambda along: {f"d_{c}": F.col(c) - F.lag(c).over(along) for c in columns}
+    return over_chunks(df, order, names, before=1, by=by, chunk=chunk)
+
+
+def cumulative_long(
+    df: DataFrame, column: str, horizons: Sequence[int], order: Sequence[str],
+    by: Sequence[str] = (), prefix: str = "cum_", chunk: int = CHUNK,
+) -> DataFrame:
+    """``forward_cumulative`` for series of any length, in chunks of rows."""
+    names = lambda along: _ahead(column, horizons, along, prefix)
+    return over_chunks(df, order, names, after=max(horizons, default=0), by=by, chunk=chunk)
+
+
+def _ahead(column: str, horizons: Sequence[int], along: WindowSpec, prefix: str) -> dict[str, Column]:
     new = {}
     for h in horizons:
         ahead = along.rowsBetween(W.currentRow, h)
         full = F.count(column).over(ahead) == h + 1
         new[f"{prefix}{h}"] = F.when(full, F.sum(column).over(ahead))
-    return df.withColumns(new)
+    return new
+
+
+def forward_cumulative(
+    df: DataFrame, column: str, horizons: Sequence[int], order: str = "date",
+    by: Sequence[str] = (), prefix: str = "cum_",
+) -> DataFrame:
+    """Add the sum of ``column`` from the row to h rows ahead; NULL past the end or where a
+    value inside is NULL."""
+    return df.withColumns(_ahead(column, horizons, _along(by, order), prefix))
