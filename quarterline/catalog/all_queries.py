@@ -6,3 +6,4 @@ from quarterline.catalog import lexicon, tone  # noqa: F401
 from quarterline.catalog import corpus, events, series  # noqa: F401
 from quarterline.catalog import regress, weak  # noqa: F401
 from quarterline.catalog import cjk  # noqa: F401
+from quarterline.catalog import long  # noqa: F401

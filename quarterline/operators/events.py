@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarterline.functions.ranks import with_value_bucket
 from quarterline.functions.scale import zscore
 from quarterline.profiles import ANNOUNCEMENT_MARKS
 
@@ -151,6 +152,38 @@ def map_strict_next(
     return _map_to_calendar(events, calendar, date, out, strict=True)
 
 
+def asof_next(
+    events: DataFrame, calendar: DataFrame, by: Sequence[str], date: str = "event_date",
+    day: str = "date", out: str = "date_used", strict: bool = False,
+) -> DataFrame:
+    """Per series the first calendar stamp at or after (``strict``: after) the event's, at any resolution.
+
+    Past the end of its calendar an event gets the last stamp (``strict``: NULL); without a calendar
+    NULL. The distinct stamps of events and calendars are cut into ranges holding about equal row
+    counts; the next calendar stamp is found inside a range, or carried over from the ranges after
+    it. Neither side is broadcast, and gaps cost nothing.
+    """
+    by = list(by)
+    stamp = lambda df, c, kind: df.where(F.col(c).isNotNull()).select(*by, F.col(c).cast("timestamp").alias("__t")).distinct().withColumn("__k", F.lit(kind))
+    rows = stamp(calendar, day, 0).unionByName(stamp(events, date, 1))
+    rows = with_value_bucket(rows.withColumn("__m", F.unix_micros("__t")), "__m", "__b")
+    rows = rows.withColumn("__c", F.when(F.col("__k") == 0, F.col("__t")))
+    kind = F.desc("__k") if strict else F.asc("__k")  # a calendar row serves its own stamp unless strict
+    inside = W.partitionBy(*by, "__b").orderBy(F.desc("__m"), kind).rowsBetween(W.unboundedPreceding, W.currentRow)
+    later = W.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)
+    firsts = rows.groupBy(*by, "__b").agg(F.min("__c").alias("__f"))
+    carried = firsts.select(*by, "__b", F.last("__f", ignorenulls=True).over(later).alias("__n"))
+    found = rows.withColumn("__i", F.last("__c", ignorenulls=True).over(inside)).where("__k = 1").join(carried, [*by, "__b"])
+    mapped = F.coalesce("__i", "__n")
+    if not strict:
+        ends = calendar.groupBy(*by).agg(F.max(F.col(day).cast("timestamp")).alias("__e"))
+        found, mapped = found.join(ends, by, "left"), F.coalesce(mapped, "__e")
+    kept_type = calendar.schema[day].dataType
+    found = found.select(*by, F.col("__t"), mapped.cast(kept_type).alias(out))
+    joined = events.withColumn("__t", F.col(date).cast("timestamp")).join(found, [*by, "__t"], "left")
+    return joined.select(*events.columns, out)
+
+
 def centered_change(
     events: DataFrame, series: DataFrame, date: str = "event_date", value: str = "value",
     out: str = "S_policy", available: str = "S_policy_available", used: str = "date_used",

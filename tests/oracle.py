@@ -49,8 +49,9 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
     if len(left) != len(right):
         return False, f"rows {len(left)} != {len(right)}"
     if left != right:
-        only_left = [r for r in left if r not in set(right)][:2]
-        only_right = [r for r in right if r not in set(left)][:2]
+        ours, theirs = set(left), set(right)
+        only_left = [r for r in left if r not in theirs][:2]
+        only_right = [r for r in right if r not in ours][:2]
         bad = sum(a != b for a, b in zip(left, right))
         return False, f"{bad} rows differ {names}\n   spark {only_left}\n   sql   {only_right}"
     note = [f"{n}:{a}/{b}" for n, a, b in zip(names, types, otypes) if a != b and "string" not in a]
