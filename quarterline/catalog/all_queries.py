@@ -8,3 +8,4 @@ from quarterline.catalog import regress, weak  # noqa: F401
 from quarterline.catalog import cjk  # noqa: F401
 from quarterline.catalog import long  # noqa: F401
 from quarterline.catalog import learned  # noqa: F401
+from quarterline.catalog import storage  # noqa: F401

@@ -389,20 +389,36 @@ def ar_order_by_bic(spark, sf):
     return r6(rg.ar_order_by_bic(toned_returns(spark, sf), "ret", ["x"], "date", ["series"]))
 
 
+def odd_lines(spark, sf):
+    """A response with gaps, one plain regressor, one with NaN, infinity and NULL, and one constant."""
+    odd = (
+        F.when(F.col("l_orderkey") % 10 == 0, float("nan")).when(F.col("l_orderkey") % 15 == 5, float("inf"))
+        .when(F.col("l_orderkey") % 5 != 0, F.col("l_tax"))
+    )
+    return table(spark, sf, "lineitem").select(
+        F.when(F.col("l_partkey") % 9 != 0, F.col("l_quantity")).alias("y"),
+        F.col("l_discount").alias("a"), odd.alias("b"), F.lit(3.0).alias("c"),
+    )
+
+
 @query(
     "clean_regressors",
+    "SELECT l_quantity AS y, l_discount AS a, CASE WHEN l_orderkey % 5 <> 0 THEN l_tax ELSE 0 END AS b FROM lineitem WHERE l_partkey % 9 <> 0",
+)
+def clean_regressors(spark, sf):
+    """Rows with a response, regressors made finite, the constant one dropped."""
+    return rg.clean_regressors(odd_lines(spark, sf), "y", ["a", "b", "c"])
+
+
+@query(
+    "regressor_report",
     """WITH t AS (SELECT l_discount AS a, CASE WHEN l_orderkey % 5 <> 0 THEN l_tax ELSE 0 END AS b, 3e0 AS c FROM lineitem WHERE l_partkey % 9 <> 0)
 SELECT 'a' AS "column", count(*) FILTER (WHERE a <> 0) AS nonzero, count(DISTINCT a) AS "distinct", round(stddev_samp(a), 6) AS sd, 1 AS kept FROM t
 UNION ALL SELECT 'b', count(*) FILTER (WHERE b <> 0), count(DISTINCT b), round(stddev_samp(b), 6), 1 FROM t
 UNION ALL SELECT 'c', count(*) FILTER (WHERE c <> 0), count(DISTINCT c), round(stddev_samp(c), 6), 0 FROM t""",
 )
-def clean_regressors(spark, sf):
-    """Report on regressors where the response exists; NaN and NULL count as 0."""
-    odd = F.when(F.col("l_orderkey") % 10 == 0, float("nan")).when(F.col("l_orderkey") % 5 != 0, F.col("l_tax"))
-    rows = table(spark, sf, "lineitem").select(
-        F.when(F.col("l_partkey") % 9 != 0, F.col("l_quantity")).alias("y"),
-        F.col("l_discount").alias("a"), odd.alias("b"), F.lit(3.0).alias("c"),
-    )
-    return r6(rg.regressor_report(rows.where("y IS NOT NULL"), ["a", "b", "c"]), "sd")
+def regressor_report(spark, sf):
+    """Report on regressors where the response exists; NaN, infinity and NULL count as 0."""
+    return r6(rg.regressor_report(odd_lines(spark, sf).where("y IS NOT NULL"), ["a", "b", "c"]), "sd")
 
 

@@ -45,6 +45,74 @@ def test_replace_table(spark, tmp_path):
     assert not (tmp_path / "t.__new").exists() and not (tmp_path / "t.__old").exists()
 
 
+def test_csv_starts_with_a_mark(spark, tmp_path):
+    path = str(tmp_path / "c")
+    fl.write_table(spark.createDataFrame([("一", 1)], "`年份` string, v int"), path, "csv")
+    files = list((tmp_path / "c").glob("*.csv"))
+    assert files and all(f.read_bytes().startswith("\ufeff年份,v".encode()) for f in files)
+    assert fl.scan_csv(spark, path).columns == ["年份", "v"]
+
+
+def periods(spark, path):
+    return {(r.year, r.quarter, r.v) for r in spark.read.parquet(path).collect()}
+
+
+@pytest.mark.parametrize("step", range(12))
+def test_replacement_killed_at_any_step_recovers(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    old = {(2001, 1, "a"), (2001, 2, "b"), (2002, 1, "c")}
+    schema = "year int, quarter int, v string"
+    fl.write_table(spark.createDataFrame(sorted(old), schema), path, keys=["year", "quarter"])
+    new = {(2001, 2, "B"), (2002, 1, "C"), (2003, 1, "D")}
+    left = step
+    whole = fl._file_system
+
+    class Dying:
+        """A file system whose n-th change ends the run."""
+
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            call = getattr(self.fs, name)
+            if name not in ("rename", "delete", "mkdirs", "create"):
+                return call
+
+            def change(*args):
+                nonlocal left
+                left -= 1
+                if left < 0:
+                    raise KeyboardInterrupt
+                return call(*args)
+
+            return change
+
+    monkeypatch.setattr(fl, "_file_system", lambda s, p: (Dying(whole(s, p)[0]), whole(s, p)[1]))
+    died = False
+    try:
+        fl.replace_periods(spark, spark.createDataFrame(sorted(new), schema), path)
+    except KeyboardInterrupt:
+        died = True
+    monkeypatch.undo()
+    fl.recover(spark, path)
+    after = {(2001, 1, "a"), *new}
+    assert periods(spark, path) in (old, after)
+    if not died or step > 4:
+        assert periods(spark, path) == after
+    fl.replace_periods(spark, spark.read.parquet(path).where("year = 2001").withColumn("v", F.lit("x")), path)
+    assert {p for p in periods(spark, path) if p[0] == 2001} == {(2001, 1, "x"), (2001, 2, "x")}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["t"]
+
+
+def test_report_pages_in_any_encoding(spark, tmp_path):
+    pages = ["第一页\n货币政策", "", "abc\r\n第三页"]
+    body = "\f".join(pages)
+    for name, raw in {"u.txt": body.encode(), "mark.txt": b"\xef\xbb\xbf" + body.encode(), "g b.txt": body.encode("gbk"), "empty.txt": b""}.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = fl.scan_report_pages(spark, str(tmp_path)).orderBy("report_id", "page_no").collect()
+    assert [(r.report_id, r.page_no, r.text) for r in rows] == [(n, i, t) for n in ("g b.txt", "mark.txt", "u.txt") for i, t in enumerate(pages)]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], ["﻿ Date ", "Year", "SHIBOR_1"])
     assert co.normalize_headers(df).columns == ["date", "year", "shibor_1"]
