@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quarterline.session import checkpoint, ensure_checkpoint_dir
 
@@ -75,24 +74,27 @@ def fixed(df: DataFrame) -> DataFrame:
     return checkpoint(df)
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
-def words(text: str | None) -> list[bytes]:
-    """UTF-8 words between ASCII white space; bytes.split() cuts at exactly these six."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def lowered(text: str | None) -> bytes:
     """UTF-8 with only A-Z in lower case (what bytes.lower() does)."""
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
-def partitions_for(size_bytes: int, each: int = 32 << 20, least: int = 1) -> int:
-    """How many pieces of ``each`` bytes hold ``size_bytes``."""
-    return max(least, -(-int(size_bytes) // each))
+class Scratch:
+    """Intermediate tables in the shared folder that go when the work is done."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.what = spark, what
+        self.paths: list[str] = []
 
+    def fixed(self, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, self.what)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def columns_of(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    def clear(self) -> None:
+        """Remove all tables; results that outlive the work must be fixed elsewhere first."""
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []

@@ -3,7 +3,7 @@
 A document's set is its distinct 4-word shingles (64-bit hashes). Two documents link when their
 sets' Jaccard similarity is at least THRESHOLD percent.
 
-1. Equal sets (by a 64-bit digest) become one class; all below works on one representative of each.
+1. Equal sets (by a 128-bit digest) become one class; all below works on one representative of each.
 2. A count-min sketch of all shingles gives each a frequency class; its size is fixed, so it can
    be sent to every task. A token order sorts by frequency class, rare first, then by a hash; other
    hashes give other orders. Whatever the sketch says, an order is the same for all documents, so
@@ -11,11 +11,14 @@ sets' Jaccard similarity is at least THRESHOLD percent.
 3. If two sets link, their prefixes (the first n - ceil(t n) + 1 tokens) share a token under every
    order. The prefixes of the first order are joined on the token, with the length filter and the
    positional filter at the first shared token; the pairs must then share tokens in the prefixes
-   of all further orders; only pairs that pass all of them are verified on the whole sets.
+   of all further orders, then enough tokens by 16 bits of each; only pairs that pass all of them are
+   verified on the whole sets.
 4. A large group of near copies would make a pair of any two. So within a token's group all are
    first compared with one leader, the set with the most frequent tokens (near the centre of such
-   a group). After that only pairs whose members hang on different leaders are formed, all of them.
-   No link between two classes is lost for the components, and nothing is capped.
+   a group), and the links make components. Sets in another component than their leader get a new
+   leader among themselves, for ROUNDS rounds. Only what is then left in different components is
+   paired, all of it. A pair is left out only if both sets are in one component by other links, so
+   no component is lost and nothing is capped; links inside a component are not counted.
 
 Cases: a null or empty text has the empty set, links with nothing and is its own component; equal
 texts, repeated rows and rows without an id share a class (its smallest id stands for it); a text
@@ -34,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.llm.common import WORD, fixed, fresh, query, small_batches, table
+from quarterline.llm.common import WORD, Scratch, fixed, fresh, query, small_batches, table
 from quarterline.llm.graph import components
 
 WIDTH = 4
@@ -43,7 +46,9 @@ SLOTS = 1 << 20
 BLOCKS = 64
 #: Hash seeds of the token orders; the first finds pairs, the others filter them.
 ORDERS = (1, 2, 3)
-#: Names of sets (two numbers each) that may be broadcast.
+#: Rounds of leaders before the sets left over are paired.
+ROUNDS = 3
+#: Names of sets (a few numbers each) that may be broadcast.
 MAX_BROADCAST = 1_000_000
 
 _A = 0x9E3779B97F4A7C15
@@ -169,56 +174,67 @@ def prefix(s: np.ndarray, classes: np.ndarray, seed: int, threshold: int) -> np.
 
 #: ``pack`` holds how common a set's tokens are (7 bits), its size and a token's place (28 bits each).
 _SIGNED = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("pack", T.LongType()),
-    T.StructField("prefix", T.ArrayType(T.LongType())),
+    T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("more", T.LongType()),
+    T.StructField("pack", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())),
 ])
-#: Prefixes in the further orders, 16 bits of each token (shared tokens still meet), or whole sets.
-_MORE = T.StructType([T.StructField("key", T.LongType()), T.StructField("tokens", T.ArrayType(T.ArrayType(T.ShortType())))])
-_ALL = T.StructType([T.StructField("key", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+#: 16 bits of each token: the prefixes in the further orders, and the whole set. Shared tokens still meet.
+_SHORT = T.StructType([
+    T.StructField("key", T.LongType()), T.StructField("more", T.LongType()),
+    T.StructField("prefixes", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("tokens", T.ArrayType(T.ShortType())),
+])
+_ALL = T.StructType([T.StructField("key", T.LongType()), T.StructField("more", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 PLACE_BITS = 28
 
 
-def key_of(s: np.ndarray) -> int:
-    """A set's name: a signed 64-bit digest of its sorted hashes."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
+def keys_of(s: np.ndarray) -> tuple[int, int]:
+    """A set's name: both halves of a 128-bit digest of its sorted hashes, signed."""
+    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+    halves = np.array([digest & 0xFFFFFFFFFFFFFFFF, digest >> 64], np.uint64).view(np.int64)
+    return int(halves[0]), int(halves[1])
 
 
 def _framed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     """A frame whose whole numbers stay whole beside nulls."""
     columns = list(zip(*rows)) or [()] * len(names)
-    whole = {"n", "key", "pack"}
+    whole = {"n", "key", "more", "pack"}
     return pd.DataFrame({n: pd.array(c, "Int64") if n in whole else pd.Series(c, dtype=object) for n, c in zip(names, columns)})
 
 
 def signer(classes, width: int, threshold: int):
-    """Column function: size, key, commonness with size, and first prefix of a text's set."""
+    """Column function: size, name, commonness with size, and first prefix of a text's set."""
 
     def sign(texts: pd.Series) -> pd.DataFrame:
         rows, table_ = [], classes.value
         for s in shingle_sets(texts, width):
             if len(s):
                 common = min(127, int(table_[slot_of(s)].mean() * 4))
-                rows.append((len(s), key_of(s), common << 2 * PLACE_BITS | len(s) << PLACE_BITS, prefix(s, table_, ORDERS[0], threshold).view(np.int64)))
+                pack = common << 2 * PLACE_BITS | len(s) << PLACE_BITS
+                rows.append((len(s), *keys_of(s), pack, prefix(s, table_, ORDERS[0], threshold).view(np.int64)))
             else:
-                rows.append((0, None, None, None))
+                rows.append((0, None, None, None, None))
         return _framed(rows, _SIGNED.names)
 
     return F.pandas_udf(sign, _SIGNED).asNondeterministic()
 
 
 def detailer(classes, width: int, threshold: int, whole: bool):
-    """Column function: a text's key with its whole set, or with its prefixes in the further orders."""
+    """Column function: a text's name with its whole set, or with 16 bits of its tokens and further prefixes."""
+
+    def short(x: np.ndarray) -> np.ndarray:
+        return x.astype(np.uint16).view(np.int16)
 
     def detail(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for s in shingle_sets(texts, width):
-            if whole or not len(s):
-                rows.append((key_of(s) if len(s) else None, s.view(np.int64) if whole else []))
+            if not len(s):
+                rows.append((None, None, []) if whole else (None, None, [], []))
+            elif whole:
+                rows.append((*keys_of(s), s.view(np.int64)))
             else:
-                rows.append((key_of(s), [prefix(s, classes.value, o, threshold).astype(np.uint16).view(np.int16) for o in ORDERS[1:]]))
-        return _framed(rows, _ALL.names)
+                rows.append((*keys_of(s), [short(prefix(s, classes.value, o, threshold)) for o in ORDERS[1:]], short(s)))
+        return _framed(rows, (_ALL if whole else _SHORT).names)
 
-    return F.pandas_udf(detail, _ALL if whole else _MORE).asNondeterministic()
+    return F.pandas_udf(detail, _ALL if whole else _SHORT).asNondeterministic()
 
 
 def may_link(a: str, b: str, threshold: int):
@@ -231,82 +247,160 @@ def may_link(a: str, b: str, threshold: int):
     return lengths & ((100 + threshold) * rest >= threshold * (na + nb))
 
 
-def details(pairs: DataFrame, classes: DataFrame, slim: DataFrame, detail_of) -> DataFrame:
-    """``key, tokens`` of all sets in the pairs, made anew from one text of each class.
+class Verifier:
+    """Exact tests of candidate pairs ``u, v`` of class names."""
+
+    def __init__(self, classes: DataFrame, slim: DataFrame, scratch: Scratch, sketch, width: int, threshold: int):
+        self.classes, self.slim, self.scratch, self.threshold = classes, slim, scratch, threshold
+        self.short, self.whole = (detailer(sketch, width, threshold, whole) for whole in (False, True))
+
+    def details(self, pairs: DataFrame, detail_of) -> DataFrame:
+        """One row per class in the pairs, made anew from one of its texts.
+
+        Up to MAX_BROADCAST classes the texts are looked up without a shuffle. Rows that repeat an id
+        and text, or have none, are found by the text's digest and give one row.
+        """
+        ends = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).distinct()
+        needed = self.scratch.fixed(self.classes.join(ends, "name").select("name", "raw", F.col("more").alias("rest"), "rep"))
+        needed = F.broadcast(needed) if needed.count() <= MAX_BROADCAST else needed
+        same_text = (F.col("digest") == F.col("rep.digest")) & F.col("id").eqNullSafe(F.col("rep.id"))
+        found = self.slim.join(needed, same_text).select("name", "raw", "rest", detail_of("t").alias("d"))
+        exact = found.where((F.col("d.key") == F.col("raw")) & (F.col("d.more") == F.col("rest")))
+        return self.scratch.fixed(exact.select("name", "d.*").drop("key", "more").dropDuplicates(["name"]))
+
+    def joined(self, pairs: DataFrame, detail_of) -> DataFrame:
+        """The pairs with the details of both sides as ``a`` and ``b``."""
+        detail = self.details(pairs, detail_of)
+        packed = F.struct(*[c for c in detail.columns if c != "name"])
+        side = lambda x, out: detail.select(F.col("name").alias(x), packed.alias(out))
+        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+
+    def enough(self, shared, n):
+        """Is the similarity reached by ``shared`` common tokens of sets of ``n`` tokens together?"""
+        return (100 + self.threshold) * shared >= self.threshold * n
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the filter of every further order, a bound from 16 bits of all tokens, and the exact test.
+
+        Distinct tokens may share their 16 bits; as many as do are added to the common ones, so that the
+        bound is never too low. Whole sets are made and moved only for the pairs that pass.
+        """
+        near = self.joined(pairs, self.short)
+        for i in range(len(ORDERS) - 1):
+            near = near.where(F.arrays_overlap(F.col("a.prefixes")[i], F.col("b.prefixes")[i]))
+        n = F.size("a.tokens") + F.size("b.tokens")
+        doubled = lambda x: F.size(f"{x}.tokens") - F.size(F.array_distinct(f"{x}.tokens"))
+        most = F.size(F.array_intersect("a.tokens", "b.tokens")) + F.least(doubled("a"), doubled("b"))
+        near = self.scratch.fixed(near.where(self.enough(most, n)).select("u", "v"))
+        both = self.joined(near, self.whole)
+        shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
+        exact = self.enough(shared, F.size("a.tokens") + F.size("b.tokens"))
+        return self.scratch.fixed(both.where(exact).select("u", "v"))
+
+
+def named_classes(signed: DataFrame) -> DataFrame:
+    """``name, raw, more, rep, least``: one row per distinct set.
+
+    Sets are told apart by 128 bits. The name is the first half; where two sets share it (rare at any
+    size), all but one are renamed by both halves. ``rep`` is a row of the class by id and text
+    digest, ``least`` its smallest id.
+    """
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    classes = signed.where("n > 0").groupBy(F.col("key").alias("raw"), "more").agg(F.min(rep).alias("rep"), F.min("id").alias("least"))
+    first = F.min("more").over(W.partitionBy("raw"))
+    return classes.select(F.when(F.col("more") == first, F.col("raw")).otherwise(F.xxhash64("raw", "more")).alias("name"), "raw", "more", "rep", "least")
+
 
-    Up to MAX_BROADCAST sets the texts are looked up without a shuffle.
+def star_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """``u, v``: in every token's group, each set that may link with the group's leader beside it.
+
+    The leader is the set with the most frequent tokens, near the centre of a group of near copies.
+    Sets known to be in the leader's component are left out.
     """
-    ends = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    needed = fixed(classes.join(ends, "key").select(F.col("key").alias("wanted"), "rep"))
-    needed = F.broadcast(needed) if needed.count() <= MAX_BROADCAST else needed
-    fetched = slim.join(needed, F.col("id").eqNullSafe(F.col("rep"))).select("wanted", detail_of("t").alias("d"))
-    return fixed(fetched.where("d.key = wanted").select("d.*"))
+    apart = (F.col("name") != F.col("l.name")) & (F.col("root") != F.col("l.root"))
+    found = rows.where(apart).where(may_link("pack", "l.pack", threshold))
+    return found.select(F.least("l.name", "name").alias("u"), F.greatest("l.name", "name").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, slim: DataFrame, detailers, threshold: int) -> DataFrame:
-    """The pairs ``u, v`` that pass every further order's filter and then the exact test.
+def with_leaders(rows: DataFrame) -> DataFrame:
+    """Give each token's group a leader ``l``; groups of one component are done and go.
 
-    Whole sets are made and moved only for the pairs that pass all filters.
+    Sets that were in an earlier leader's component are ``led``, and lead only when all others are too.
     """
-    more_of, all_of = detailers
+    same_token = W.partitionBy("token")
+    before = F.max(F.when(F.col("name") == F.col("l.name"), F.col("root"))).over(same_token)
+    led = F.col("led") | F.coalesce(F.col("root") == F.col("before"), F.lit(False))
+    rows = rows.withColumn("before", before).withColumn("led", led).drop("before", "l")
+    rows = rows.withColumns({
+        "l": F.max(F.struct((~F.col("led")).alias("free"), "pack", "name", "root")).over(same_token),
+        "lo": F.min("root").over(same_token),
+        "hi": F.max("root").over(same_token),
+    })
+    return rows.where("lo <> hi").drop("lo", "hi")
 
-    def with_tokens(p: DataFrame, detail_of) -> DataFrame:
-        detail = details(p, classes, slim, detail_of)
-        side = lambda x: detail.select(F.col("key").alias(x), F.col("tokens").alias(f"t_{x}"))
-        return p.join(side("u"), "u").join(side("v"), "v")
 
-    passed = with_tokens(pairs, more_of)
-    for i in range(len(ORDERS) - 1):
-        passed = passed.where(F.arrays_overlap(F.col("t_u")[i], F.col("t_v")[i]))
-    both = with_tokens(fixed(passed.select("u", "v")), all_of)
-    shared = F.size(F.array_intersect("t_u", "t_v"))
-    exact = (100 + threshold) * shared >= threshold * (F.size("t_u") + F.size("t_v"))
-    return fixed(both.where(exact).select("u", "v").distinct())
+def rerooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the roots of the components that all links so far make."""
+    joined = rows.withColumnRenamed("root", "old").join(components(links), F.col("name") == F.col("node"), "left")
+    return joined.select("token", "name", "pack", F.coalesce("root", "name").alias("root"), "led", "l")
 
 
 def similarity_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD):
-    """``signed`` (ident, n, key per row of ``docs``) and ``classes`` (key, component_id, root).
+    """``signed`` (id, n, key, more per row of ``docs``) and ``classes`` (raw, more, component_id, root).
 
-    ``root`` names a component by a key, ``component_id`` is its smallest id.
+    ``root`` names a component by a class, ``component_id`` is its smallest id.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    scratch = Scratch(spark, "ngram-join")
     slim = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
     sketch = spark.sparkContext.broadcast(frequency_classes(slim, "t", width))
+    slim = slim.withColumn("digest", F.xxhash64("t"))
     sign = signer(sketch, width, threshold)
-    detailers = [detailer(sketch, width, threshold, whole) for whole in (False, True)]
-    signed = fixed(slim.select("id", sign("t").alias("s")).select("id", "s.*"))
-    classes = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
-    once = signed.where("n > 0").dropDuplicates(["key"])
-    rows = once.select("key", "pack", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", "key", (F.col("pack") + F.col("pos")).alias("pack")).repartition("token")
-    same_token = W.partitionBy("token")
-    rows = rows.withColumns({"c": F.count("*").over(same_token), "l": F.max(F.struct("pack", "key")).over(same_token)})
-    grouped = fixed(rows.where("c > 1").select("token", "key", "pack", F.col("l.key").alias("l_key"), F.col("l.pack").alias("l_pack")))
-
-    rank = F.shiftright("l_pack", PLACE_BITS)  # how common the leader's tokens are, then its size
-    stars = grouped.where(F.col("key") != F.col("l_key")).where(may_link("pack", "l_pack", threshold))
-    stars = fixed(stars.groupBy(F.col("l_key").alias("u"), F.col("key").alias("v")).agg(F.max(rank).alias("rank")))
-    first = verified(stars.select("u", "v"), classes, slim, detailers, threshold)
-    hangs = first.join(stars, ["u", "v"]).groupBy("v").agg(F.max(F.struct("rank", "u")).alias("h"))
-    hangs = hangs.select(F.col("v").alias("member"), F.col("h.u").alias("leader"))
-    led = grouped.join(hangs, F.col("key") == F.col("member"), "left").select("token", "key", "pack", F.coalesce("leader", "key").alias("leader"))
-    left, right = (led.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "pack", "leader")]) for x in "ab")
-    rest = left.join(right, "token").where((F.col("a_key") < F.col("b_key")) & (F.col("a_leader") != F.col("b_leader")) & may_link("a_pack", "b_pack", threshold))
-    rest = rest.select(F.col("a_key").alias("u"), F.col("b_key").alias("v")).distinct()
-    done = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = fixed(rest.join(done, ["u", "v"], "left_anti"))
-    second = verified(rest, classes, slim, detailers, threshold)
-    roots = components(first.unionByName(second))
-    named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return signed.select("id", "n", "key"), named.join(least, "root").select("key", "component_id", "root")
+    whole = scratch.fixed(slim.select("id", "digest", sign("t").alias("s")).select("id", "digest", "s.*"))
+    signed = fixed(whole.select("id", "n", "key", "more"))
+    classes = scratch.fixed(named_classes(whole))
+    verifier = Verifier(classes, slim, scratch, sketch, width, threshold)
+
+    once = whole.where("n > 0").dropDuplicates(["key", "more"]).select("key", "more", "pack", "prefix")
+    renamed = classes.where("name <> raw").select("name", F.col("raw").alias("key"), "more")
+    if renamed.isEmpty():
+        once = once.withColumn("name", F.col("key"))
+    else:
+        once = once.join(renamed, ["key", "more"], "left").withColumn("name", F.coalesce("name", "key"))
+    rows = once.select("name", "pack", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("token", "name", (F.col("pack") + F.col("pos")).alias("pack"), F.col("name").alias("root"))
+    rows = rows.withColumns({"led": F.lit(False), "l": F.struct(F.lit(None).cast("bigint").alias("name"))})
+    groups = scratch.fixed(with_leaders(rows))
+
+    links = tried = spark.createDataFrame([], "u bigint, v bigint")
+    for _ in range(ROUNDS):
+        pairs = scratch.fixed(star_pairs(groups, threshold).join(tried, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(verifier.links(pairs))
+        groups = scratch.fixed(with_leaders(rerooted(groups, links)))
+    left, right = (groups.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "pack", "root")]) for x in "ab")
+    apart = (F.col("a_name") < F.col("b_name")) & (F.col("a_root") != F.col("b_root"))
+    rest = left.join(right, "token").where(apart & may_link("a_pack", "b_pack", threshold))
+    rest = rest.select(F.col("a_name").alias("u"), F.col("b_name").alias("v")).distinct()
+    rest = scratch.fixed(rest.join(tried, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(verifier.links(rest))
+
+    roots = components(links)
+    named = classes.join(roots, F.col("name") == F.col("node"), "left").select("raw", "more", "least", F.coalesce("root", "name").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = fixed(named.join(least, "root").select("raw", "more", "component_id", "root"))
+    scratch.clear()
+    return signed, named
 
 
 def link_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """``<ident>, n_shingles, component_id`` of every document."""
     signed, classes = similarity_classes(docs, ident, text, width, threshold)
-    joined = signed.join(classes, "key", "left")
+    joined = signed.join(classes.withColumnRenamed("raw", "key"), ["key", "more"], "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return joined.select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -314,21 +408,23 @@ def link_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, one of each component: the one with the smallest id.
 
-    Rows without words stay. If rows repeat the smallest id within a component, one of them stays.
+    Rows without words stay. If rows repeat the smallest id within a component, or all are without id,
+    one of them stays.
     """
     _, classes = similarity_classes(docs, "doc_id", "text", width, threshold)
-    key, of, cid, root = fresh(docs, "key", "of", "cid", "root")
-    name = F.pandas_udf(_keys(width), T.LongType()).asNondeterministic()
+    key, raw, more, cid, root = fresh(docs, "key", "raw", "more", "cid", "root")
+    name = F.pandas_udf(_keys(width), "key long, more long").asNondeterministic()
     keyed = docs.withColumn(key, name(F.col("text")))
-    joined = keyed.join(classes.select(F.col("key").alias(of), F.col("component_id").alias(cid), F.col("root").alias(root)), F.col(key) == F.col(of), "left")
+    side = classes.select(F.col("raw").alias(raw), F.col("more").alias(more), F.col("component_id").alias(cid), F.col("root").alias(root))
+    joined = keyed.join(side, (F.col(f"{key}.key") == F.col(raw)) & (F.col(f"{key}.more") == F.col(more)), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = joined.where(F.col(key).isNotNull() & F.col("doc_id").eqNullSafe(F.col(cid))).dropDuplicates([root])
-    return joined.where(F.col(key).isNull()).select(*columns).unionByName(kept.select(*columns))
+    kept = joined.where(F.col(f"{key}.key").isNotNull() & F.col("doc_id").eqNullSafe(F.col(cid))).dropDuplicates([root])
+    return joined.where(F.col(f"{key}.key").isNull()).select(*columns).unionByName(kept.select(*columns))
 
 
 def _keys(width: int):
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([key_of(s) if len(s) else None for s in shingle_sets(texts, width)], dtype="Int64")
+    def keys(texts: pd.Series) -> pd.DataFrame:
+        return _framed([keys_of(s) if len(s) else (None, None) for s in shingle_sets(texts, width)], ["key", "more"])
 
     return keys
 

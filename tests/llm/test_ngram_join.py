@@ -69,6 +69,27 @@ def test_one_of_each_stays(spark):
     assert j.keep_one(df.limit(0)).count() == 0 and kept[0].asDict().keys() == {"doc_id", "text", "ROOT", "n"}
 
 
+def test_many_equal_rows_and_rows_without_ids(spark):
+    rng = random.Random(2)
+    a = " ".join(f"w{rng.randrange(999)}" for _ in range(90))
+    b = a + " and more"
+    rows = [(1, a)] * 2500 + [(2, b)] * 2500 + [(None, a)] * 200 + [(None, f"{b} x")] * 200 + [(None, None)] * 3 + [(9, "else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = j.link_documents(df).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(1, 87, 1, 2500), (2, 89, 1, 2500), (None, 87, 1, 200), (None, 90, 1, 200), (None, 0, None, 3), (9, 1, 9, 1)], key=str
+    )
+    nobody = j.link_documents(df.where("doc_id is null")).groupBy("n_shingles", "component_id").count().collect()
+    assert sorted(map(tuple, nobody)) == [(0, None, 3), (87, None, 200), (90, None, 200)]
+
+
+def test_sets_with_one_half_of_a_name_in_common_stay_apart(spark):
+    rows = [(1, 7, 3, 5, 10), (2, 7, 4, 5, 11), (3, 7, 3, 5, 10), (None, 8, 1, 2, 12)]
+    signed = spark.createDataFrame(rows, "id long, key long, more long, n long, digest long")
+    got = {(r.raw, r.more): (r.name, r.least) for r in j.named_classes(signed).collect()}
+    assert got[7, 3] == (7, 1) and got[7, 4][0] != 7 and got[7, 4][1] == 2 and got[8, 1] == (8, None)
+
+
 def test_prefixes_of_similar_sets_meet_in_every_order():
     rng = np.random.default_rng(3)
     classes = rng.integers(0, 9, j.SLOTS).astype(np.uint8)
