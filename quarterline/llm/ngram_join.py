@@ -266,7 +266,8 @@ class Verifier:
         same_text = (F.col("digest") == F.col("rep.digest")) & F.col("id").eqNullSafe(F.col("rep.id"))
         found = self.slim.join(needed, same_text).select("name", "raw", "rest", detail_of("t").alias("d"))
         exact = found.where((F.col("d.key") == F.col("raw")) & (F.col("d.more") == F.col("rest")))
-        return self.scratch.fixed(exact.select("name", "d.*").drop("key", "more").dropDuplicates(["name"]))
+        detail = self.scratch.fixed(exact.select("name", "d.*").drop("key", "more"))
+        return detail if detail.count() == needed.count() else self.scratch.fixed(detail.dropDuplicates(["name"]))
 
     def joined(self, pairs: DataFrame, detail_of) -> DataFrame:
         """The pairs with the details of both sides as ``a`` and ``b``."""
@@ -311,6 +312,18 @@ def named_classes(signed: DataFrame) -> DataFrame:
     return classes.select(F.when(F.col("more") == first, F.col("raw")).otherwise(F.xxhash64("raw", "more")).alias("name"), "raw", "more", "rep", "least")
 
 
+def representatives(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``name, pack, prefix`` of one row per class (several, where id and text repeat).
+
+    Up to MAX_BROADCAST classes the rows are picked without moving any prefix.
+    """
+    side = classes.select("name", "raw", F.col("more").alias("rest"), "rep")
+    side = F.broadcast(side) if side.count() <= MAX_BROADCAST else side
+    same_set = (F.col("key") == F.col("raw")) & (F.col("more") == F.col("rest"))
+    same_row = (F.col("digest") == F.col("rep.digest")) & F.col("id").eqNullSafe(F.col("rep.id"))
+    return signed.where("n > 0").join(side, same_set & same_row).select("name", "pack", "prefix")
+
+
 def star_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     """``u, v``: in every token's group, each set that may link with the group's leader beside it.
 
@@ -362,16 +375,11 @@ def similarity_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text
     classes = scratch.fixed(named_classes(whole))
     verifier = Verifier(classes, slim, scratch, sketch, width, threshold)
 
-    once = whole.where("n > 0").dropDuplicates(["key", "more"]).select("key", "more", "pack", "prefix")
-    renamed = classes.where("name <> raw").select("name", F.col("raw").alias("key"), "more")
-    if renamed.isEmpty():
-        once = once.withColumn("name", F.col("key"))
-    else:
-        once = once.join(renamed, ["key", "more"], "left").withColumn("name", F.coalesce("name", "key"))
+    once = representatives(whole, classes)
     rows = once.select("name", "pack", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.select("token", "name", (F.col("pack") + F.col("pos")).alias("pack"), F.col("name").alias("root"))
     rows = rows.withColumns({"led": F.lit(False), "l": F.struct(F.lit(None).cast("bigint").alias("name"))})
-    groups = scratch.fixed(with_leaders(rows))
+    groups = scratch.fixed(with_leaders(rows).dropDuplicates(["token", "name"]))  # rows that repeat an id and text
 
     links = tried = spark.createDataFrame([], "u bigint, v bigint")
     for _ in range(ROUNDS):
