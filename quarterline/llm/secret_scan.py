@@ -92,46 +92,67 @@ def strings_query(strings: set[str]):
 
 def trigram_query(pattern: str, flags: int = 0):
     """The Boolean query over trigrams that every text with a match satisfies."""
-    exact, condition = _walk(re._parser.parse(pattern, flags))
+    parsed = re._parser.parse(pattern, flags)
+    exact, condition = _walk(parsed, _folds(parsed.state.flags))
     return both(condition, strings_query(exact)) if exact is not None else condition
 
 
-def _class(items) -> set[str] | None:
+def _folds(flags: int) -> bool:
+    """Does the expression ignore case beyond A-Z, so that one letter may match several?"""
+    return bool(flags & re.IGNORECASE) and not flags & re.ASCII
+
+
+def _letter(code: int, fold: bool) -> set[str] | None:
+    """A character as it stands in a text with A-Z in lower case; None if others match it too.
+
+    Where case beyond A-Z is ignored, letters outside ASCII have other forms, and i, k and s have
+    some outside ASCII.
+    """
+    if fold and (code > 127 or chr(code) in "iIkKsS"):
+        return None
+    return {chr(code).lower() if code < 128 else chr(code)}
+
+
+def _class(items, fold: bool) -> set[str] | None:
     """The characters of a small positive class, else None."""
     out: set[str] = set()
     for op, value in items:
         if str(op) == "LITERAL":
-            out.add(chr(value).lower())
+            codes = [value]
         elif str(op) == "RANGE" and value[1] - value[0] < 8:
-            out.update(chr(c).lower() for c in range(value[0], value[1] + 1))
+            codes = range(value[0], value[1] + 1)
         else:
             return None
+        found = [_letter(c, fold) for c in codes]
+        if any(f is None for f in found):
+            return None
+        out.update(*found)
     return out if len(out) <= 8 else None
 
 
-def _walk(items) -> tuple[set[str] | None, object]:
+def _walk(items, fold: bool) -> tuple[set[str] | None, object]:
     """(all strings it matches, if few; condition that holds besides them)."""
     strings, condition, whole = {""}, None, True
     for op, value in items:
         name = str(op)
         exact, more = None, None
         if name == "LITERAL":
-            exact = {chr(value).lower()}
+            exact = _letter(value, fold)
         elif name == "IN":
-            exact = _class(value)
+            exact = _class(value, fold)
         elif name == "AT":
             exact = {""}
         elif name == "SUBPATTERN":
-            exact, more = _walk(value[-1])
+            exact, more = _walk(value[-1], fold or _folds(value[1]))
         elif name == "BRANCH":
-            parts = [_walk(x) for x in value[1]]
+            parts = [_walk(x, fold) for x in value[1]]
             if all(e is not None and c is None for e, c in parts):
                 exact = set().union(*(e for e, _ in parts))
             else:
                 more = either([c if e is None else both(c, strings_query(e)) for e, c in parts])
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             low, high, inner = value
-            e, c = _walk(inner)
+            e, c = _walk(inner, fold)
             if e is not None and c is None and high == 1:
                 exact = e | ({""} if low == 0 else set())
             elif low >= 1:

@@ -114,3 +114,18 @@ def test_em_recovers_reliabilities():
     votes = np.stack([np.where(rng.random(4000) < a, truth, ~truth) * 2 - 1 for a in right], 1)
     p, reliability = pii.estimate(votes, np.ones(4000), np.zeros(4000, int))
     assert np.abs(reliability - right).max() < 0.06 and ((p > 0.5) == truth).mean() > 0.9
+
+
+@pytest.mark.parametrize("pattern, flags, text", [
+    ("CAFÉ-[0-9]+", re.ASCII, "see CAFÉ-123 here"),
+    ("CAFÉ-[0-9]+", 0, "see CAFÉ-123 here"),
+    ("café-[0-9]+", re.IGNORECASE, "see CAFÉ-123 here"),
+    ("task-[0-9]+", re.IGNORECASE, "see taſ\u212a-123 here"),
+    ("x(?i:straße)y", 0, "xSTRAẞEy"),
+    ("[ÀÉ]bc-[0-9]", 0, "Ébc-1"),
+    ("AKIA[ÄÖ]x", re.IGNORECASE | re.ASCII, "akiaÄX"),
+])
+def test_rules_with_letters_beyond_ascii(pattern, flags, text):
+    rule = Rule("r", pattern, 0, 0, flags)
+    want = [(m.start(), m.end(), "r") for m in re.finditer(pattern, text, flags)]
+    assert want and scan_shard(["nothing", text], [rule]) == [[], want]
