@@ -405,7 +405,8 @@ def midas_weight_search(
     per_quarter = days.where(F.col(response).isNotNull()).groupBy(*by, "year", "quarter").agg(
         F.count("*").alias("m"), F.avg(square).alias("ym"), (F.var_pop(square) * F.count("*")).alias("inside")
     )
-    per_quarter = checkpoint(per_quarter)  # bounded by the calendar, read in every round
+    per_quarter = checkpoint(per_quarter)  # both are bounded by the calendar and read in every round
+    quarters = checkpoint(quarters.select("year", "quarter", column))
     series = per_quarter.select(*by).distinct() if by else None
 
     def best(points: DataFrame) -> DataFrame:
