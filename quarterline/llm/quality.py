@@ -4,10 +4,15 @@ Per document a few ratios are measured (symbols, repeated words, repeated lines,
 length). Their distribution within a (language, source) is held as a mergeable quantile sketch:
 counts in log-linear buckets, whose relative width is at most 1/32. Sketches add up, so they are
 plain grouped counts that combine on the map side, and a small source falls back on the merged
-sketch of its language. The cut-off of a ratio is an outer fence of its sketch, and the
-documents are joined with the cut-offs and filtered.
+sketch of its language. The cut-off of a ratio is an outer fence of its sketch, whatever its size, and
+the documents are joined with the cut-offs and filtered.
 
-Cases: a null or empty text has no words and fails; null language or source is a group of its own
+Most ratios are zero in most documents, where quartiles alone would reject a single symbol. Two
+rules cover that, neither of them a cut-off: the first few events of a document (ALLOWED) are not
+counted, as a share of three lines or sixty words says little; and the spread of a sketch is at least
+its resolution (LEAST_SPREAD, BUCKETS).
+
+Cases: a document at its cut-off is kept; a null or empty text has no words and fails; null language or source is a group of its own
 like any other; repeated rows count as often as they occur; empty tables give empty results;
 extra columns pass through ``filter_quality`` untouched, whatever their names.
 """
@@ -29,16 +34,14 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 100
 #: Multiples of the interquartile range above the upper quartile.
 FENCE = 3
-#: A ratio (in 1/10000) at or under the first number never rejects, and one over the second
-#: always does; in between the sketch decides.
-BOUNDS = {
-    "symbols": (300, 2500),
-    "repeats": (3000, 5000),
-    "lines": (2500, 6000),
-    "capitals": (1500, 5000),
-    "length": (140_000, 400_000),
-}
-RATIOS = list(BOUNDS)
+#: Events of a document that its ratio leaves out: three symbols, three windows repeated once, three
+#: lines. Capitals and word length are no events.
+ALLOWED = {"symbols": 3, "repeats": 18, "lines": 3, "capitals": 0, "length": 0}
+#: The interquartile range (in 1/10000) counts as at least this much, up to where buckets are exact, and
+#: as at least the width of the upper quartile's bucket, a share of 1/BUCKETS of it.
+LEAST_SPREAD = 64
+BUCKETS = 32
+RATIOS = list(ALLOWED)
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _MEASURED = T.StructType(
@@ -93,16 +96,17 @@ measured = _measured.asNondeterministic()  # so that filters don't run it a seco
 
 def ratios(of) -> dict:
     """The ratios in whole 1/10000 from the counts; ``of`` gives a count's column."""
-    part = lambda a, b: F.expr("0").cast("long") if b is None else F.when(
-        b > 0, F.floor(a * 10_000 / b)
-    ).otherwise(0).cast("long")
-    return {
-        "symbols": part(of("n_symbols"), of("word_chars")),
-        "repeats": part(of("n_repeat_words"), of("n_words")),
-        "lines": part(of("n_dup_lines"), of("n_lines")),
-        "capitals": part(of("n_capitals"), of("word_chars")),
-        "length": part(of("word_chars"), of("n_words")),
-    }
+    counts = {
+        "symbols": ("n_symbols", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "lines": ("n_dup_lines", "n_lines"),
+        "capitals": ("n_capitals", "word_chars"), "length": ("word_chars", "n_words"),
+    }
+
+    def part(ratio: str):
+        events, total = (of(n) for n in counts[ratio])
+        counted = F.greatest(events - ALLOWED[ratio], F.lit(0).cast("long"))
+        return F.when(total > 0, F.floor(counted * 10_000 / total)).otherwise(0).cast("long")
+
+    return {r: part(r) for r in RATIOS}
 
 
 def bucket_sql(v: str) -> str:
@@ -143,10 +147,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     big = F.col("n") >= MIN_GROUP
     q1, q3 = F.when(big, F.col("q1")).otherwise(F.col("w1")), F.when(big, F.col("q3")).otherwise(F.col("w3"))
     cuts = []
-    for r, (low, high) in BOUNDS.items():
-        fence = q3 + FENCE * (q3 - q1)
-        cut = F.least(F.greatest(fence, F.lit(low)), F.lit(high))
-        cuts.append(F.max(F.when(F.col("ratio") == r, cut)).cast("long").alias(f"cut_{r}"))
+    fence = q3 + FENCE * F.greatest(q3 - q1, F.lit(LEAST_SPREAD), F.floor(q3 / BUCKETS))
+    for r in RATIOS:
+        cuts.append(F.max(F.when(F.col("ratio") == r, fence)).cast("long").alias(f"cut_{r}"))
     return both.groupBy("lang", "source").agg(*cuts)
 
 
@@ -204,9 +207,9 @@ def quality_ctes(docs: str) -> str:
     """WITH items (without the keyword) up to ``judged``: DuckDB SQL for the rules on a relation."""
     over = " OR ".join(f"coalesce(r_{r} > cut_{r}, false)" for r in RATIOS)
     cuts = ", ".join(
-        f"max(CASE WHEN o.ratio = '{r}' THEN least(greatest(CASE WHEN n >= {MIN_GROUP} THEN q3 + {FENCE} * (q3 - q1) "
-        f"ELSE w3 + {FENCE} * (w3 - w1) END, {low}), {high}) END) AS cut_{r}"
-        for r, (low, high) in BOUNDS.items()
+        f"max(CASE WHEN o.ratio = '{r}' AND n >= {MIN_GROUP} THEN q3 + {FENCE} * greatest(q3 - q1, {LEAST_SPREAD}, q3 // {BUCKETS}) "
+        f"WHEN o.ratio = '{r}' THEN w3 + {FENCE} * greatest(w3 - w1, {LEAST_SPREAD}, w3 // {BUCKETS}) END) AS cut_{r}"
+        for r in RATIOS
     )
     stack = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, r_{r} AS v FROM ratioed WHERE n_words > 0" for r in RATIOS)
     return f"""
@@ -225,9 +228,9 @@ counted AS (SELECT q_in.*, CAST(len(q.w) AS BIGINT) AS n_words,
   length(regexp_replace(coalesce(text, ''), '[^A-Z]+', '', 'g')) AS n_capitals
   FROM q_in JOIN q_words q USING (rid) LEFT JOIN q_rep r USING (rid)),
 ratioed AS (SELECT *,
-  CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars ELSE 0 END AS r_symbols,
-  CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END AS r_repeats,
-  CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines ELSE 0 END AS r_lines,
+  CASE WHEN word_chars > 0 THEN greatest(n_symbols - {ALLOWED['symbols']}, 0) * 10000 // word_chars ELSE 0 END AS r_symbols,
+  CASE WHEN n_words > 0 THEN greatest(n_repeat_words - {ALLOWED['repeats']}, 0) * 10000 // n_words ELSE 0 END AS r_repeats,
+  CASE WHEN n_lines > 0 THEN greatest(n_dup_lines - {ALLOWED['lines']}, 0) * 10000 // n_lines ELSE 0 END AS r_lines,
   CASE WHEN word_chars > 0 THEN n_capitals * 10000 // word_chars ELSE 0 END AS r_capitals,
   CASE WHEN n_words > 0 THEN word_chars * 10000 // n_words ELSE 0 END AS r_length FROM counted),
 q_sketch AS (SELECT lang, source, ratio, {_DUCK_BUCKET} AS bucket, count(*) AS c FROM ({stack}) GROUP BY ALL),
