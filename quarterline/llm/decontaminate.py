@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +54,9 @@ FILTER_HASHES = 4
 FILTER_BLOCKS = 64
 #: Words that are walked together.
 PIECE = 1 << 18
+#: Candidates are verified together up to so many characters, and with masks of so many cells.
+VERIFIED = 1 << 22
+MASK_CELLS = 1 << 21
 
 
 def window_sizes(up_to: int) -> list[int]:
@@ -189,6 +192,90 @@ def fits(item: str, text: str) -> int:
     return best
 
 
+def _code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of numbers whose 64-bit blocks are the rows, the lowest first."""
+    out = a + b
+    if len(a) > 1:
+        over = out < a
+        for k in range(1, len(a)):
+            carry = over[k - 1].astype(np.uint64)
+            out[k] += carry
+            over[k] |= out[k] < carry
+    return out
+
+
+def _doubled(a: np.ndarray) -> np.ndarray:
+    out = a << np.uint64(1)
+    if len(a) > 1:
+        out[1:] |= a[:-1] >> np.uint64(63)
+    return out
+
+
+def _fits_blocks(items: list[str], of: np.ndarray, texts: list[str], blocks: int) -> np.ndarray:
+    """``fits`` of items of so many 64-bit blocks; text i belongs to item ``of[i]``."""
+    letters = np.unique(_code_points(items))
+    if len(items) > 1 and len(items) * (len(letters) + 1) * blocks > MASK_CELLS:  # the masks would be large
+        half, out = len(items) // 2, np.empty(len(texts), np.int64)
+        for part, lo in ((of < half, 0), (of >= half, half)):
+            at = np.flatnonzero(part)
+            if len(at):
+                mine = items[:half] if lo == 0 else items[half:]
+                out[at] = _fits_blocks(mine, of[at] - lo, [texts[i] for i in at], blocks)
+        return out
+    width = len(letters) + 1  # the last column is for letters that no item has
+    masks = np.zeros((blocks, len(items) * width), np.uint64)
+    for i, x in enumerate(items):
+        place = np.arange(len(x))
+        cells = (place >> 6, i * width + np.searchsorted(letters, _code_points([x])))
+        np.bitwise_or.at(masks, cells, np.uint64(1) << (place & 63).astype(np.uint64))
+
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-lengths, kind="stable")
+    points = _code_points(texts)
+    codes = np.minimum(np.searchsorted(letters, points), len(letters) - 1)
+    codes = np.where(letters[codes] == points, codes, len(letters))
+    begin = (np.cumsum(lengths) - lengths)[order]
+    still = np.searchsorted(lengths[order][::-1], np.arange(lengths.max(initial=0)), side="right")
+    m = np.fromiter(map(len, items), np.int64, len(items))[of[order]]
+    row, top = of[order] * width, ((m - 1) & 63).astype(np.uint64)
+    one = np.uint64(1)
+    up, down = np.full((blocks, len(texts)), ~np.uint64(0)), np.zeros((blocks, len(texts)), np.uint64)
+    score, best = m.copy(), m.copy()
+    for j, ended in enumerate(still):
+        n = len(texts) - int(ended)  # texts stand by length, so those that go on are the first
+        if n < up.shape[1]:
+            up, down = up[:, :n].copy(), down[:, :n].copy()
+        eq = masks.take(row[:n] + codes.take(begin[:n] + j), axis=1)
+        xv = eq | down
+        xh = (_added(eq & up, up) ^ up) | eq
+        ph, mh = down | ~(xh | up), up & xh
+        score[:n] += ((ph[-1] >> top[:n]) & one).view(np.int64) - ((mh[-1] >> top[:n]) & one).view(np.int64)
+        np.minimum(best[:n], score[:n], out=best[:n])
+        ph, mh = _doubled(ph), _doubled(mh)
+        up, down = mh | ~(xv | ph), ph & xv
+    out = np.empty(len(texts), np.int64)
+    out[order] = best
+    return out
+
+
+def fits_all(items: list[str], texts: list[str]) -> np.ndarray:
+    """``fits`` of every pair, all pairs a character further at a time."""
+    out = np.zeros(len(items), np.int64)
+    by_blocks: dict[int, list[int]] = {}
+    for i, (item, text) in enumerate(zip(items, texts)):
+        if item not in text:
+            by_blocks.setdefault((len(item) + 63) // 64, []).append(i)
+    for blocks, at in by_blocks.items():
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(items[i], len(number)) for i in at])
+        out[at] = _fits_blocks(list(number), of, [texts[i] for i in at], blocks)
+    return out
+
+
 # ---- items -------------------------------------------------------------------------------
 _ITEM = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.IntegerType()),
@@ -309,11 +396,25 @@ def find_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     pairs = hits.select("id", "digest", "h.*").join(keys, "key").select("id", "digest", "item", "at", "around", "wanted")
     pairs = pairs.dropDuplicates(["id", "digest", "item", "at"])
 
-    def distance(wanted: pd.Series, around: pd.Series) -> pd.Series:
-        return pd.Series([fits(a, b) for a, b in zip(wanted, around)], dtype="int64")
-
-    near = pairs.withColumn("distance", F.pandas_udf(distance, T.LongType()).asNondeterministic()("wanted", "around"))
-    near = near.where(F.col("distance") <= F.floor(F.length("wanted") * F.lit(max_distance)))
+    def verified(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        all_ = pd.concat(rows, ignore_index=True)
+        all_["distance"] = fits_all(all_["wanted"].tolist(), all_["around"].tolist())
+        bound = np.floor(all_["wanted"].str.len() * max_distance)
+        return all_.loc[all_["distance"] <= bound, ["id", "digest", "item", "at", "distance"]]
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, chars = [], 0
+        for b in batches:
+            waiting.append(b)
+            chars += int(b["around"].str.len().sum())
+            if chars >= VERIFIED:
+                yield verified(waiting)
+                waiting, chars = [], 0
+        if waiting:
+            yield verified(waiting)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    near = pairs.mapInPandas(distances, f"id {kinds['id']}, digest string, item {kinds['item']}, at long, distance long")
     best = near.groupBy("id", "digest", "item").agg(F.min(F.struct("distance", "at")).alias("b"))
     return best.select(F.col("id").alias(ident), F.col("item").alias(item_id), "b.distance", "b.at", "digest")
 

@@ -132,3 +132,14 @@ def test_pieces_do_not_change_hits(monkeypatch):
     monkeypatch.setattr(d, "PIECE", 64)
     cut = d.hits_of(texts, {row["size"]: 20}, bloom, d.Symbols())
     assert [sorted(x) for x in cut] == [sorted(x) for x in whole] and all(whole[:20])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab é漢", max_size=140), st.text(alphabet="ab é漢", max_size=200)), max_size=6), st.sampled_from([8, 1 << 21]))
+def test_distances_of_a_batch_are_those_of_single_pairs(pairs, cells):
+    items, texts = [a for a, _ in pairs] + ["ab" * 70] * len(pairs), [b for _, b in pairs] * 2
+    before, d.MASK_CELLS = d.MASK_CELLS, cells
+    try:
+        assert d.fits_all(items, texts).tolist() == [d.fits(a, b) for a, b in zip(items, texts)]
+    finally:
+        d.MASK_CELLS = before
