@@ -1,5 +1,6 @@
 """Personal data and secrets against plain expressions on made texts."""
 
+import os
 import re
 
 import pytest
@@ -105,6 +106,82 @@ def test_pii_operator(spark):
     assert pii.find_pii(docs.limit(0))[0].count() == 0
 
 
+def iban(body):
+    check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+    return f"DE{check:02d}{body}"
+
+
+def planted(seed, n):
+    """Texts with the spans that are personal, of every added kind, among lookalikes."""
+    import random
+
+    rng = random.Random(seed)
+    given, family = sorted(pii.GIVEN), ["Novak", "Lindqvist", "Okafor", "Moreau", "Becker"]
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    yes = [
+        ("number", lambda: ("please call ", f"({digits(3)}) {digits(3)}-{digits(4)}")),
+        ("number", lambda: ("reach us under ", f"{digits(3)}-{digits(3)}-{digits(4)}")),
+        ("person", lambda: ("the report was read by ", f"{rng.choice(['Mr', 'Dr.', 'Frau'])} {rng.choice(family)}")),
+        ("person", lambda: ("regards, ", f"{rng.choice(given)} {rng.choice(family)}")),
+        ("person", lambda: ("it was told to ", f"{rng.choice(given)} {rng.choice(family)}")),
+        ("account", lambda: ("transfer to ", iban(digits(18)))),
+        ("address", lambda: ("write to ", f"{rng.choice('abcdef')}{digits(2)} (at) mail (dot) org")),
+    ]
+    no = [
+        lambda: f"on {digits(4)}-0{digits(1)}-1{digits(1)}", lambda: f"order {digits(9)}", lambda: f"{digits(8)} km",
+        lambda: f"from 20{digits(2)}-20{digits(2)}", lambda: f"code DE00{digits(18)}", lambda: f"{rng.choice(given)} Lane Street",
+        lambda: f"host 9{digits(2)}.999.1.1", lambda: f"number 7{digits(15)}1x", lambda: "Yesterday Morning", lambda: f"id {digits(7)}",
+    ]
+    for _ in range(n):
+        text, truth = "a few words first", set()
+        for _ in range(4):
+            if rng.random() < 0.5:
+                kind, make = rng.choice(yes)
+                before, span = make()
+                text += ", " + before
+                truth.add((len(text), len(text) + len(span), kind))
+                text += span + " and more words"
+            else:
+                text += ", " + rng.choice(no)() + " and more words"
+        text += f", mail x{digits(3)}@host.org or 10.0.{int(digits(2))}.7"
+        yield text, truth
+
+
+def test_added_spans_of_planted_texts():
+    from collections import Counter
+
+    counts = Counter(x for text, _ in planted(1, 600) for x in pii.described(text))
+    model = pii.fit(list(counts.items()))
+    assert min(model["reliability"].values()) > 0.5
+    found, truth, both = Counter(), Counter(), Counter()
+    for text, spans in planted(2, 400):
+        base, all_ = pii.classified(text, model)
+        added = set(all_) - set(base)
+        assert set(base) <= set(all_) and base == plain_pii(text)
+        found.update(k for *_, k in added)
+        truth.update(k for *_, k in spans)
+        both.update(k for *_, k in added & spans)
+    assert sum(both.values()) >= 0.95 * sum(found.values()), (found, truth, both)
+    assert all(both[k] >= 0.9 * truth[k] for k in pii.MORE_KINDS), (found, truth, both)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_no_labeler_turns_round_on_the_tables(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert list(model["reliability"]) == pii.LABELERS and min(model["reliability"].values()) > 0.5
+
+
+def test_known_classes_anchor_the_model():
+    import numpy as np
+
+    # one labeler votes on each row; the known rows say which side is which
+    votes = np.array([[1, 0], [1, 0], [0, -1], [0, -1], [0, 0]])
+    p, right = pii.estimate(votes, np.array([50.0, 50, 50, 50, 9]), np.array([0, 1, 0, 1, 1]), np.array([1, -1, 0, -1, -1]))
+    assert p[1] > 0.8 > 0.2 > p[3] and right.min() > 0.8
+    wrong = np.array([[1, 0], [-1, 1]])  # a labeler that contradicts what is known stays at the bound
+    assert pii.estimate(wrong, np.array([90.0, 90]), np.zeros(2, int), np.array([0, 1]))[1][0] == pii.WORST
+
+
 def test_em_recovers_reliabilities():
     import numpy as np
 
