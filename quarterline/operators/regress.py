@@ -22,6 +22,8 @@ from quarterline.session import checkpoint
 
 # ---- Fixed values: normal quantiles of two-sided 90 and 95 percent bands ---------------
 BAND_QUANTILES = {90: 1.6448536269514722, 95: 1.959963984540054}
+#: Model tables of up to so many rows (they are counted) are sent to the tasks.
+BROADCAST_MODELS = 10_000
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,7 +103,7 @@ def with_model(
     rows = complete_cases(df, [y, *xs])
     packed = F.struct(*[c for c in model.columns if c not in keys]).alias("model")
     if keys:
-        rows = rows.join(model.select(*keys, packed), list(keys))
+        rows = rows.join(_small(model, model.select(*keys, packed)), list(keys))
     else:
         rows = rows.withColumn("model", model.select(packed).scalar())
     fitted = " + ".join(f"coalesce(model.beta[{i}], 0D) * {c}" for i, c in enumerate(_sql_names(xs)))
@@ -109,6 +111,18 @@ def with_model(
     return rows.withColumn(out, F.when(F.col("model.beta").isNotNull(), resid))
 
 
+def _fixed(model: DataFrame) -> DataFrame:
+    """The model table, fixed: it is joined before and after the sums over rows."""
+    fixed = checkpoint(model)
+    fixed._models = fixed.count()
+    return fixed
+
+
+def _small(model: DataFrame, side: DataFrame) -> DataFrame:
+    """``side`` with a broadcast hint if its model table was counted and has at most BROADCAST_MODELS rows."""
+    return F.broadcast(side) if getattr(model, "_models", BROADCAST_MODELS + 1) <= BROADCAST_MODELS else side
+
+
 def _centred(xs: Sequence[str]) -> list[str]:
     """The constant and the centred regressors of rows made by ``with_model``, as SQL terms."""
     names = _sql_names(xs)
@@ -149,15 +163,24 @@ def _summary(both: DataFrame, xs: Sequence[str], keys: Sequence[str], correct: b
     )
 
 
-def _from_rows(resid: DataFrame, xs: Sequence[str], keys: Sequence[str], cell) -> DataFrame:
-    """The models of rows made by ``with_model``, with the sums that need residuals."""
+def _from_rows(
+    resid: DataFrame, model: DataFrame, xs: Sequence[str], keys: Sequence[str], cell
+) -> DataFrame:
+    """The models with the sums over rows made by ``with_model`` that need residuals.
+
+    Only numbers are summed: a model carried through the sums would have every row sorted first.
+    """
     k = len(xs) + 1
     sums = resid.groupBy(*keys).agg(
         F.sum(F.col("resid") * F.col("resid")).alias("rss"),
         _symmetric(k, lambda i, j: f"sum({cell(i, j)})").alias("meat"),
-        F.first("model").alias("model"),
+        F.count("*").alias("__rows"),
     )
-    return sums.select(*keys, "rss", _mirrored(k, "meat").alias("meat"), "model.*")
+    sums = sums.withColumn("meat", _mirrored(k, "meat"))
+    if keys:
+        return sums.drop("__rows").join(_small(model, model), list(keys))
+    whole = model.select(F.struct(*model.columns)).scalar()
+    return sums.withColumn("model", F.when(F.col("__rows") > 0, whole)).select("rss", "meat", "model.*")
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -175,10 +198,10 @@ def ols_hc1(
     df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), min_n: int | None = None
 ) -> DataFrame:
     """Coefficients with heteroskedasticity-robust errors times n/(n-k)."""
-    model = fit(df, y, xs, keys, min_n)
+    model = _fixed(fit(df, y, xs, keys, min_n))
     resid = with_model(df, model, y, xs, keys)
     cols = _centred(xs)
-    both = _from_rows(resid, xs, keys, lambda i, j: f"resid * resid * {cols[i]} * {cols[j]}")
+    both = _from_rows(resid, model, xs, keys, lambda i, j: f"resid * resid * {cols[i]} * {cols[j]}")
     return _summary(both, xs, keys, correct=True)
 
 
@@ -191,7 +214,7 @@ def newey_west(
     Each series is in ``order`` with one row per period, so its window is bounded by the
     calendar; ``long`` series of any length are cut into chunks of rows instead.
     """
-    model = fit(df, y, xs, keys)
+    model = _fixed(fit(df, y, xs, keys))
     resid = with_model(df, model, y, xs, keys)
     k = len(xs) + 1
     scores = [f"resid * {c}" for c in _centred(xs)]
@@ -203,7 +226,7 @@ def newey_west(
         return {f"__v{ell}": F.coalesce(F.lag("__v", ell).over(along), zeros) for ell in range(1, lags + 1)}
 
     if long:
-        resid = over_chunks(resid.select(*keys, *order, "resid", "model", "__v"), order, lagged, before=lags, by=keys)
+        resid = over_chunks(resid.select(*keys, *order, "resid", "__v"), order, lagged, before=lags, by=keys)
     else:
         resid = resid.withColumns(lagged(W.partitionBy(*keys).orderBy(*order)))
 
@@ -214,7 +237,7 @@ def newey_west(
             parts.append(f"{weight} * (__v[{i}] * __v{ell}[{j}] + __v[{j}] * __v{ell}[{i}])")
         return " + ".join(parts)
 
-    return _summary(_from_rows(resid, xs, keys, cell), xs, keys, correct=False)
+    return _summary(_from_rows(resid, model, xs, keys, cell), xs, keys, correct=False)
 
 
 def tone_response(
