@@ -10,6 +10,7 @@ from quarterline.functions.tokens import latin_tokens
 from quarterline.operators import lexicon as lx
 from quarterline.operators.tone import centered_score
 from quarterline.profiles import CountProfile, ToneProfile
+from quarterline.session import stored
 
 # Frequent words of the tables stand in for the sentiment vocabulary.
 POSITIVE = ("the", "and", "in", "to", "is", "la", "que", "for", "was")
@@ -245,7 +246,7 @@ n AS (SELECT count(*) FILTER (WHERE "Neg_net" <> 0) AS nonzero, count(*) AS "row
 SELECT id, round("Neg_net", 6) + 0e0 AS "Neg_net", side, nonzero, "rows" FROM (SELECT * FROM low UNION ALL SELECT * FROM high), n""",
 )
 def extreme_sentences(spark, sf):
-    rows = net_rows(spark, sf).select("id", "Neg_net")
+    rows = stored(net_rows(spark, sf).select("id", "Neg_net"))
     counts = lx.nonzero_count(rows, "Neg_net")
     ends = lx.extreme_rows(rows, "Neg_net", "id")
     return r6(
