@@ -8,7 +8,7 @@ from quarterline.operators import calibrate as cal
 from quarterline.operators import topics as tp
 from quarterline.operators import weak as wk
 from quarterline.plans.text_tone import trained
-from quarterline.session import checkpoint
+from quarterline.session import checkpoint, stored
 
 SEEDS = {"policy": ("the", "of", "la"), "macro": ("and", "de", "der")}
 TOPICS = list(SEEDS)
@@ -36,11 +36,11 @@ scored_topics AS (SELECT f.id, f.doc_id, {', '.join(f'f.{t} AS seed_{t}, 1 / (1
 VECTORS = _vectors_sql()
 
 
-def learned(spark, sf):
-    """Learned from nine tenths of the documents, all sentences scored."""
-    rows = tokenised(spark, sf).select("id", "doc_id", "tokens")
-    vectors, priors = tp.topic_vectors(rows.where("doc_id % 10 <> 0"), SEEDS)
-    return tp.learned_scores(rows, checkpoint(vectors), checkpoint(priors), TOPICS)
+def learned(spark, sf, only="true"):
+    """Learned from nine tenths of the documents, all sentences scored (or those that ``only`` names)."""
+    rows = stored(tokenised(spark, sf).select("id", "doc_id", "tokens"))
+    vectors, priors = tp.topic_vectors(rows.where("doc_id % 10 <> 0"), SEEDS, with_counts=True)
+    return tp.learned_scores(rows.where(only), checkpoint(vectors), checkpoint(priors), TOPICS)
 
 
 @query("topic_scores_learned", f"WITH {VECTORS} SELECT id, round(score_policy, 6) AS score_policy, round(score_macro, 6) AS score_macro FROM scored_topics")
@@ -58,7 +58,7 @@ FROM scored_topics WHERE doc_id % 10 = 0"""
 @query("topic_agreement", f"WITH {VECTORS} {' UNION ALL '.join(map(_agreement_sql, TOPICS))}")
 def topic_agreement(spark, sf):
     """Agreement with the seeds on the held-out tenth of the documents."""
-    return r6(tp.seed_agreement(learned(spark, sf).where("doc_id % 10 = 0"), SEEDS))
+    return r6(tp.seed_agreement(learned(spark, sf, "doc_id % 10 = 0"), SEEDS))
 
 
 CALIBRATED = f"""{SPLIT},
@@ -73,7 +73,7 @@ steps AS (SELECT b.bin, coalesce((SELECT arg_max(v, f.bin) FROM fitted f WHERE f
 
 def calibrated_rows(spark, sf):
     """Scored sentences, the held-out rows, and the blocks fitted to the even half of these."""
-    scored = checkpoint(toned(spark, sf))
+    scored = stored(toned(spark, sf))
     weights, held = trained(scored)
     held = checkpoint(wk.score_sentences(weights, held).select("id", "shuffle", "label", "neg_prob"))
     blocks = checkpoint(cal.pooled(cal.bin_counts(held.where("shuffle % 2 = 0"), "neg_prob", "label")))

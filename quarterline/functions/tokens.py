@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.functions.coerce import strip
+from quarterline.session import checkpoint
+
+#: So many of the most frequent words are sent to the tasks; the others' weights are joined by a shuffle.
+HEAD_WORDS = 1_000_000
 
 # ---- Fixed values: tokens the similarity operators ignore ---------------------------
 NUMBER_TOKEN = r"^\p{Nd}+(\.\p{Nd}+)?$"
@@ -79,3 +83,34 @@ def filter_tokens(tokens: DataFrame, stopwords: DataFrame | None = None) -> Data
     if stopwords is None:
         return out
     return out.join(stopwords.select(F.col("word").alias("token")), "token", "left_anti")
+
+
+def array_key(tokens: str) -> Column:
+    """A digest of 16 bytes; equal token arrays have equal ones."""
+    return F.unhex(F.md5(F.concat_ws("\u0001", F.size(tokens).cast("string"), F.col(tokens)).cast("binary")))
+
+
+def token_sums(
+    rows: DataFrame, weights: DataFrame, columns: Sequence[str], key: str, tokens: str, head: int = HEAD_WORDS
+) -> DataFrame:
+    """Per key the sums of its tokens' decimal weights ``columns``; rows of one key have the same tokens.
+
+    ``weights`` has a row per ``token`` with its frequency ``n``. The ``head`` most frequent words are
+    looked up where the rows are, so that a row's tokens become one sum before the shuffle; only
+    tokens outside the head are moved to their weights. Copies of a key are summed
+    like all rows and divided out, which is exact. Unknown tokens weigh nothing.
+    """
+    weights = weights.where(F.col("token").isNotNull())
+    whole = weights.count() <= head
+    top = weights if whole else checkpoint(weights.orderBy(F.desc("n"), "token").limit(head))
+    each = rows.select(key, F.posexplode(tokens).alias("__pos", "token"))
+    sums = [F.sum(c).cast("decimal(38,9)").alias(c) for c in columns]
+    copies = F.count_if(F.col("__pos") == 0).alias("__copies")
+    known = F.broadcast(top.select("token", *columns))
+    total = each.join(known, "token", "left").groupBy(key).agg(*sums, copies)
+    if not whole:
+        rest = weights.join(F.broadcast(top.select("token")), "token", "left_anti").select("token", *columns)
+        rare = each.join(F.broadcast(top.select("token")), "token", "left_anti").join(rest, "token")
+        rare = rare.groupBy(key).agg(*sums).withColumn("__copies", F.lit(0).cast("bigint"))
+        total = total.unionByName(rare).groupBy(key).agg(*sums, F.sum("__copies").alias("__copies"))
+    return total.select(key, *[(F.col(c) / F.col("__copies")).cast("decimal(38,9)").alias(c) for c in columns])

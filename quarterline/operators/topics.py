@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarterline.functions.tokens import token_sums
+
 Seeds = Mapping[str, Sequence[str]]
 
 
@@ -21,12 +23,14 @@ def seeded(tokens: Column, words: Sequence[str]) -> Column:
     return F.arrays_overlap(F.coalesce(tokens, F.array().cast("array<string>")), F.array(*[F.lit(w) for w in words]))
 
 
-def topic_vectors(df: DataFrame, seeds: Seeds, tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
+def topic_vectors(
+    df: DataFrame, seeds: Seeds, tokens: str = "tokens", with_counts: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """``token, <topic>...`` weights, and one row of prior log-odds per topic.
 
     A weight is the add-one smoothed log-ratio of the shares of examples and of other sentences that hold
     the word; seeds weigh nothing for their own topic. Weights have nine decimals, so that
-    their sums are exact in any order.
+    their sums are exact in any order. ``n`` is how many sentences hold the word.
     """
     flags = {t: seeded(F.col(tokens), ws).cast("int") for t, ws in seeds.items()}
     rows = df.where(F.col(tokens).isNotNull()).select(F.array_distinct(tokens).alias("__t"), *[f.alias(t) for t, f in flags.items()])
@@ -41,7 +45,7 @@ def topic_vectors(df: DataFrame, seeds: Seeds, tokens: str = "tokens") -> tuple[
         odds = F.ln((F.col(t) + 1) / (all_t + 2)) - F.ln((F.col("n") - F.col(t) + 1) / (all_n - all_t + 2))
         weights.append(_nine(F.when(F.col("token").isin(list(words)), 0.0).otherwise(odds)).alias(t))
     priors = totals.select(*[_nine(F.ln((F.col(t) + 1) / (F.col("n") - F.col(t) + 1))).alias(t) for t in seeds])
-    return counts.select("token", *weights), priors
+    return counts.select("token", *weights, *(["n"] if with_counts else [])), priors
 
 
 def _nine(x: Column) -> Column:
@@ -54,11 +58,10 @@ def learned_scores(
     """Add ``score_<topic>`` in [0, 1]. Sentences of the same distinct words are summed once; a
     sentence without known words has the prior's score."""
     bag = F.array_sort(F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>"))))
-    keyed = df.withColumn("__b", bag).withColumn("__k", F.md5(F.to_json(F.struct("__b"))))
-    sums = (
-        keyed.select("__k", "__b").dropDuplicates(["__k"]).select("__k", F.explode("__b").alias("token"))
-        .join(vectors, "token").groupBy("__k").agg(*[F.sum(t).alias(f"__{t}") for t in topics])
-    )
+    keyed = df.withColumn("__b", bag).withColumn("__k", F.unhex(F.md5(F.to_json(F.struct("__b")).cast("binary"))))
+    counted = vectors if "n" in vectors.columns else vectors.withColumn("n", F.lit(1))
+    sums = token_sums(keyed, counted, list(topics), "__k", "__b")
+    sums = sums.select("__k", *[F.col(t).alias(f"__{t}") for t in topics])
     zero = F.lit(0).cast("decimal(20,9)")
     total = lambda t: (F.coalesce(f"__{t}", zero) + priors.select(t).scalar()).cast("double")
     out = keyed.join(sums, "__k", "left")
