@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarterline.functions.coerce import strip
 from quarterline.functions.ranks import exact_quantiles, hash_ranks
+from quarterline.functions.tokens import array_key, token_sums
 from quarterline.operators.lexicon import digit_share
 from quarterline.session import checkpoint
 
@@ -59,7 +60,7 @@ def balanced_sample(
     sample = ranked.where(F.when(m < min_rows, few).otherwise(F.col("class_rank") <= m))
     shuffled = hash_ranks(sample.drop("class_rank"), [], ident, seed, "shuffle")
     rest = [c for c in df.columns if c not in (ident, label)]
-    return df.drop(label).join(shuffled, ident) if rest else shuffled
+    return df.drop(label).join(checkpoint(shuffled), ident) if rest else shuffled
 
 
 def train_eval_split(df: DataFrame, share: float = 0.9, rank: str = "shuffle") -> DataFrame:
@@ -88,8 +89,10 @@ def two_class_softmax(logit0: Column, logit1: Column) -> Column:
     return 1 / (1 + F.exp(logit0 - logit1))
 
 
-def token_weights(train: DataFrame, tokens: str = "tokens", label: str = "label") -> DataFrame:
-    """``token, weight``: the add-one smoothed log-odds of a token between the classes.
+def token_weights(
+    train: DataFrame, tokens: str = "tokens", label: str = "label", with_counts: bool = False
+) -> DataFrame:
+    """``token, weight``: the add-one smoothed log-odds of a token between the classes; ``n`` is how often it occurs.
 
     Each token counts as often as it occurs. Weights have nine decimals, so that their sums
     are exact in any order.
@@ -100,22 +103,20 @@ def token_weights(train: DataFrame, tokens: str = "tokens", label: str = "label"
     total = counts.agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"), F.count("*").alias("v"))
     t = {c: total.select(c).scalar() for c in ("s1", "s0", "v")}
     odds = F.ln((F.col("n1") + 1) / (t["s1"] + t["v"])) - F.ln((F.col("n0") + 1) / (t["s0"] + t["v"]))
-    return counts.select("token", F.round(odds, 9).cast("decimal(20,9)").alias("weight"))
+    weights = counts.withColumn("weight", F.round(odds, 9).cast("decimal(20,9)")).withColumn("n", F.col("n1") + F.col("n0"))
+    return weights.select("token", "weight", *(["n"] if with_counts else []))
 
 
 def score_sentences(weights: DataFrame, sentences: DataFrame, out: str = "neg_prob") -> DataFrame:
     """Add the probability of class 1: the logistic function of the tokens' summed weights.
 
-    A sentence finds its sum by a digest of its tokens; unknown tokens weigh nothing.
+    A sentence finds its sum by a digest of its tokens; unknown tokens weigh nothing. A column ``n`` of
+    the weights, the tokens' frequency, tells which are looked up without a shuffle if they are many.
     """
-    key = F.sha1(F.concat_ws("\u0001", "tokens"))
-    distinct = sentences.select(key.alias("__k"), "tokens").dropDuplicates(["__k"])
-    sums = (
-        distinct.select("__k", F.explode("tokens").alias("token"))
-        .join(weights, "token")
-        .groupBy("__k")
-        .agg(F.sum("weight").cast("double").alias("__s"))
-    )
+    key = array_key("tokens")
+    counted = weights if "n" in weights.columns else weights.withColumn("n", F.lit(1))
+    sums = token_sums(sentences.select(key.alias("__k"), "tokens"), counted, ["weight"], "__k", "tokens")
+    sums = sums.select("__k", F.col("weight").cast("double").alias("__s"))
     scored = sentences.withColumn("__k", key).join(sums, "__k", "left")
     p = 1 / (1 + F.exp(-F.coalesce("__s", F.lit(0.0))))
     return scored.withColumn(out, p).select(*sentences.columns, out)
