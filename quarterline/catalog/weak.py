@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarterline.catalog.base import DIGITS, count_sql, query, r6, table, tokenised
+from quarterline.catalog.base import DIGITS, count_sql, query, r6, sentences, table
 from quarterline.catalog.lexicon import DICT_TONE, POS_NEG, PROFILE, net_rows, word_table
 from quarterline.operators import weak as wk
 from quarterline.plans.text_tone import classified, scored_sentences
@@ -15,7 +15,7 @@ labelled AS (SELECT id, text, tone, CASE WHEN tone > 0 THEN 0 ELSE 1 END AS labe
 
 def toned(spark, sf):
     return scored_sentences(
-        tokenised(spark, sf).drop("tokens"), tokenised_column(), word_table(spark), PROFILE
+        sentences(spark, sf), tokenised_column(), word_table(spark), PROFILE
     )
 
 
