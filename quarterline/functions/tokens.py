@@ -113,4 +113,5 @@ def token_sums(
         rare = each.join(F.broadcast(top.select("token")), "token", "left_anti").join(rest, "token")
         rare = rare.groupBy(key).agg(*sums).withColumn("__copies", F.lit(0).cast("bigint"))
         total = total.unionByName(rare).groupBy(key).agg(*sums, F.sum("__copies").alias("__copies"))
-    return total.select(key, *[(F.col(c) / F.col("__copies")).cast("decimal(38,9)").alias(c) for c in columns])
+    # eight digits less than the most, so that adding a prior keeps all nine decimals
+    return total.select(key, *[(F.col(c) / F.col("__copies")).cast("decimal(30,9)").alias(c) for c in columns])

@@ -30,6 +30,7 @@ def test_token_sums_are_exact_for_any_head(spark, head):
     listed = [(t, Decimal(w), n) for t, (w, n) in WEIGHTS.items()]
     weights = spark.createDataFrame(listed, "token string, w decimal(20,9), n long")
     sums = token_sums(rows, weights, ["w"], "k", "tokens", head)
+    assert dict(sums.dtypes)["w"] == "decimal(30,9)"  # a wider one loses decimals in sums
     assert sums.count() == sums.select("k").distinct().count()
     got = rows.join(sums, "k", "left").select("id", "tokens", "w").collect()
     assert len(got) == len(ROWS)
