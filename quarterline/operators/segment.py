@@ -1,39 +1,60 @@
 """Word segmentation of unspaced scripts by the cheapest path through a word lattice.
 
-The dictionary is a table of words with frequencies and never leaves the cluster. Runs of Han
-characters are segmented once each, wherever they occur:
+The dictionary is a table of words with frequencies; a word costs -ln(frequency / all), in whole
+millionths, so that sums are exact. Up to MAX_WORDS words (they are counted) are sent to the tasks,
+where every run of Han characters is segmented beside its text, so that no text is moved. A larger
+dictionary never leaves the cluster; each distinct run is segmented once:
 
 1. every substring of at most the longest word's length is looked up by a join; the hits are the
-   lattice's edges, with the cost -ln(frequency / all), in whole millionths, so that sums are exact;
+   lattice's edges;
 2. no path is tied across a place that no edge crosses, so a run is cut there into blocks;
 3. in each block the cheapest path is found from right to left in one fold, the longer word of
    equally cheap ones first.
 
-A character outside the dictionary is an edge as rare as a word seen once.
+Both ways give the same tokens. A character outside the dictionary is an edge as rare as a word seen once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarterline.session import checkpoint
+
 # ---- Fixed values: the pieces a text is cut into -----------------------------------------
 HAN_RUN = r"\p{IsHan}+"
 PIECES = rf"(?s){HAN_RUN}|[A-Za-z]+|[0-9]+|."
 
+#: So many words are sent to the tasks; a larger dictionary is joined.
+MAX_WORDS = 500_000
+#: Runs of which a task remembers the words.
+REMEMBERED = 200_000
+
 _EDGE = "array<struct<at:int,len:int,cost:bigint>>"
 
 
-def dictionary_costs(words: DataFrame, word: str = "word", freq: str = "freq") -> DataFrame:
-    """``word, cost``: one row per word, its largest frequency counts (1 at least)."""
-    listed = words.where(F.length(word) > 0).groupBy(F.col(word).alias("word")).agg(
+def dictionary(words: DataFrame, word: str = "word", freq: str = "freq") -> DataFrame:
+    """``word, f``: one row per word, its largest frequency counts (1 at least)."""
+    return words.where(F.length(word) > 0).groupBy(F.col(word).alias("word")).agg(
         F.greatest(F.lit(1.0), F.max(F.coalesce(F.col(freq).cast("double"), F.lit(1.0)))).alias("f")
     )
+
+
+def dictionary_costs(listed: DataFrame) -> DataFrame:
+    """``word, cost`` of a dictionary."""
     total = listed.agg(F.sum("f")).scalar()
     return listed.select("word", micro_cost(total, F.col("f")).alias("cost"))
 
 
+def unknown_cost(total: Column) -> Column:
+    """The cost of a character outside the dictionary."""
+    return F.coalesce(micro_cost(total, F.lit(1.0)), F.lit(0)).cast("bigint")
+
+
 def micro_cost(total: Column, freq: Column) -> Column:
     return F.round((F.ln(total) - F.ln(freq)) * 1_000_000).cast("bigint")
 
@@ -92,11 +113,9 @@ def path(lengths: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(lengths) - 1), state, step, lambda s: s["out"])
 
 
-def segment_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
+def segment_runs(runs: DataFrame, listed: DataFrame) -> DataFrame:
     """``run, words`` for distinct runs; a run without a word of several characters is left out."""
-    costs = dictionary_costs(words)
-    unknown = words_total(words)
-    tied = blocks(lattice(runs, costs)).withColumn("u", F.coalesce(micro_cost(unknown, F.lit(1.0)), F.lit(0)).cast("bigint"))
+    tied = blocks(lattice(runs, dictionary_costs(listed))).withColumn("u", unknown_cost(listed.agg(F.sum("f")).scalar()))
     best = tied.withColumn("len", cheapest_words(F.col("hi") - F.col("lo"), F.col("edges"), F.col("u")))
     found = best.select("run", F.transform(path(F.col("len")), lambda x: F.struct((x["at"] + F.col("lo")).alias("at"), x["len"].alias("len"))).alias("p"))
     long = found.select("run", F.filter("p", lambda x: x["len"] > 1).alias("p")).groupBy("run").agg(F.flatten(F.collect_list("p")).alias("p"))
@@ -107,25 +126,69 @@ def segment_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
     return long.select("run", F.transform(every, lambda x: F.substring(F.col("run"), x["at"] + 1, x["len"])).alias("words"))
 
 
-def words_total(words: DataFrame, word: str = "word", freq: str = "freq") -> Column:
-    """The sum of all words' frequencies as a scalar."""
-    listed = words.where(F.length(word) > 0).groupBy(word).agg(
-        F.greatest(F.lit(1.0), F.max(F.coalesce(F.col(freq).cast("double"), F.lit(1.0)))).alias("f")
-    )
-    return listed.agg(F.sum("f")).scalar()
+def run_words(run: str, costs: dict[str, int], longest: int, unknown: int) -> list[str]:
+    """A run's words on the cheapest way, found from right to left; the longer one of equally cheap ones first."""
+    n = len(run)
+    best, size = [0] * (n + 1), [1] * n
+    for at in range(n - 1, -1, -1):
+        cheapest = costs.get(run[at], unknown) + best[at + 1]
+        for k in range(2, min(longest, n - at) + 1):
+            c = costs.get(run[at : at + k])
+            if c is not None and c + best[at + k] <= cheapest:
+                cheapest, size[at] = c + best[at + k], k
+        best[at] = cheapest
+    out, at = [], 0
+    while at < n:
+        out.append(run[at : at + size[at]])
+        at += size[at]
+    return out
+
+
+def segmented(pieces: Column, listed: DataFrame) -> Column:
+    """The tokens of an array of pieces, by a dictionary that is sent to the tasks."""
+    found = dictionary_costs(listed).toArrow()
+    unknown = listed.agg(unknown_cost(F.sum("f"))).first()[0]
+    longest = max(pc.max(pc.utf8_length(found["word"])).as_py() or 1, 1)
+    sent = listed.sparkSession.sparkContext.broadcast(dict(zip(found["word"].to_pylist(), found["cost"].to_pylist())))
+    known: dict[str, list[str]] = {}
+
+    def words(piece: str) -> list[str]:
+        if len(piece) == 1 or piece[0].isascii():  # only runs of Han characters are longer otherwise
+            return [piece]
+        if piece not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[piece] = run_words(piece, sent.value, longest, unknown)
+        return known[piece]
+
+    def cut(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten().dictionary_encode()  # every distinct piece of a batch once
+        each = [words(p) for p in flat.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        of = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[of])])
+        at = np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], sizes[of]) + np.arange(ends[-1])
+        values = pa.array([w for p in each for w in p], pa.string()).take(pa.array(at))
+        lengths = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(lengths)])], pa.int32()), values)
+
+    return F.arrow_udf(cut, "array<string>").asNondeterministic()(pieces)
 
 
 def segment(df: DataFrame, words: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
     """Add the array of tokens: dictionary words, single characters, and runs of ASCII letters or digits.
 
-    ``words`` has columns ``word, freq``. Equal texts share their tokens; a NULL text has none.
+    ``words`` has columns ``word, freq``. Equal texts have equal tokens; a NULL text has none.
     """
+    listed = checkpoint(dictionary(words))
+    if listed.count() <= MAX_WORDS:
+        return df.withColumn(out, segmented(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0)), listed))
     key = F.md5(F.col(text))
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
     cut = df.where(F.length(text) > 0).select(key.alias("__k"), pieces.alias("p")).dropDuplicates(["__k"])
     cut = cut.select("__k", F.posexplode("p").alias("i", "piece"))
     runs = cut.where(F.length("piece") > 1).where(F.col("piece").rlike(HAN_RUN)).select(F.col("piece").alias("run")).distinct()
-    known = segment_runs(runs, words)
+    known = segment_runs(runs, listed)
     plain = F.when(F.col("piece").rlike(HAN_RUN), F.split("piece", "")).otherwise(F.array("piece"))
     joined = cut.join(known, F.col("piece") == F.col("run"), "left").select("__k", "i", F.coalesce("words", plain).alias("w"))
     tokens = joined.groupBy("__k").agg(

@@ -92,6 +92,21 @@ def test_lattice_paths_are_brute_force(spark):
     assert sg.segment(df, words.limit(0)).where("id = 123").first().tokens == list("中" * 9)
 
 
+def test_a_small_dictionary_moves_no_text_and_gives_the_joined_tokens(spark, monkeypatch):
+    rng = random.Random(9)
+    signs = "中国人民银𠀀"
+    freq = [("".join(rng.choice(signs) for _ in range(rng.randrange(1, 5))), rng.randrange(1, 9)) for _ in range(60)]
+    words = spark.createDataFrame([*freq, ("國" * 3, None)], "word string, freq int")
+    texts = ["".join(rng.choice(signs + "国x7 \n，") for _ in range(rng.randrange(0, 40))) for _ in range(80)] + [None, "", "國" * 7]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    looked_up = sg.segment(df, words)
+    assert "Exchange" not in looked_up._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(sg, "MAX_WORDS", 0)
+    joined = {r.id: r.tokens for r in sg.segment(df, words).collect()}
+    assert {r.id: r.tokens for r in looked_up.collect()} == joined and len(joined) == len(texts)
+    assert joined[len(texts) - 1] == ["國" * 3, "國" * 3, "國"]
+
+
 def test_a_dictionary_of_a_million_words_stays_on_the_cluster(spark):
     signs = F.lit("".join(chr(0x4E00 + i) for i in range(1000)))
     at = lambda k: F.substring(signs, F.col("id") % k + 1, 1)
