@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quarterline.catalog.base import (
     QUARTERLY, SENTENCES, TOKENISED, quarterly, query, r6, sentences, tokenised,
 )
+from quarterline.functions.text import add_once
 from quarterline.functions.tokens import explode_tokens, filter_tokens
 from quarterline.operators import corpus as cp
 
@@ -45,7 +46,7 @@ WHERE token <> '' AND NOT regexp_matches(token, '^\p{{Nd}}+(\.\p{{Nd}}+)?$') AND
   AND token NOT IN {STOP} GROUP BY ALL""",
 )
 def filter_tokens_query(spark, sf):
-    words = sentences(spark, sf).withColumn("tokens", F.split("text", " "))
+    words = add_once(sentences(spark, sf), {"tokens": F.split("text", " ")})
     stop = spark.createDataFrame([(w,) for w in STOP], "word string")
     kept = filter_tokens(explode_tokens(words, PERIOD), stop)
     return kept.groupBy(*PERIOD, "token").agg(F.count("*").alias("n"))

@@ -66,7 +66,10 @@ def segmenter(words: Sequence[str]):
 
 def keep_token(token: Column) -> Column:
     """Neither blank, number nor punctuation."""
-    t = strip(token)
+    return _keep_stripped(strip(token))
+
+
+def _keep_stripped(t: Column) -> Column:
     return (t != "") & ~t.rlike(NUMBER_TOKEN) & ~t.rlike(PUNCTUATION_TOKEN)
 
 
@@ -77,12 +80,15 @@ def explode_tokens(df: DataFrame, keep: Sequence[str], tokens: str = "tokens") -
 def filter_tokens(tokens: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
     """Drop blanks, numbers, punctuation and stopwords from exploded tokens.
 
-    The stopword join is planned from the table's size, so a long list is not broadcast.
+    Stopwords are counted: up to HEAD_WORDS are sent to the tasks, so that no token is moved; a longer
+    list is joined by a shuffle.
     """
-    out = tokens.withColumn("token", strip(F.col("token"))).where(keep_token(F.col("token")))
+    out = tokens.withColumn("token", strip(F.col("token"))).where(_keep_stripped(F.col("token")))
     if stopwords is None:
         return out
-    return out.join(stopwords.select(F.col("word").alias("token")), "token", "left_anti")
+    listed = stopwords.select(F.col("word").alias("token"))
+    listed = F.broadcast(listed) if listed.limit(HEAD_WORDS + 1).count() <= HEAD_WORDS else listed
+    return out.join(listed, "token", "left_anti")
 
 
 def array_key(tokens: str) -> Column:

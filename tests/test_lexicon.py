@@ -104,6 +104,14 @@ def test_repeated_words_and_ids_have_one_answer(spark):
     assert sorted((r.id, len(r.tokens or []), r.dict_tone) for r in got) == [(1, 1, 1.0), (1, 1, 1.0), (1, 4, 0.0), (2, 0, 0.0)]
 
 
+def test_stopwords_are_sent_to_the_tokens(spark):
+    df = spark.createDataFrame([("的",), ("增长",), ("增长",), (None,)], "token string")
+    out = filter_tokens(df, spark.createDataFrame([("的",), (None,)], "word string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert [r.token for r in out.collect()] == ["增长", "增长"]
+
+
 def test_filter_tokens(spark):
     words = ["增长", "的", "12", "3.5", "，", "_", "a1", "①", " "]
     df = spark.createDataFrame([(w,) for w in words], "token string")
