@@ -1,19 +1,23 @@
 """Main text of web pages by template deduction.
 
-1. A page is read into tokens: its tags (with the path of open tags) and its text pieces outside the
-   article. A token's occurrence vector says how often each page of the host has it.
+1. A page is read into tokens: its tags (with the path of open tags) and its text pieces. A token's
+   occurrence vector says how often each page of the host has it; for a text piece inside an article,
+   how often each distinct article has it. Articles are told apart by their longest piece, so pages
+   that repeat an article count once.
 2. Tokens of a host with the same vector are one equivalence class. Vectors are never built: a
    grouped sum and exclusive or over (page, count) hashes identify them, so a host with a third
    of all pages is one row per token after the map-side combine.
-3. Classes that are on at least half of a host's pages, and on at least MIN_PAGES, make its template.
+3. Classes that are on at least half of a host's pages (inside articles: of its distinct articles),
+   and on at least MIN_PAGES, make its template.
    A class is valid on a page if its tokens stand there in the template's order; a class with
    larger counts is nested in the slots between the tokens of one with smaller counts.
 4. What is left between the tokens of valid classes are the slots. Slots inside menus, headers,
    footers, sidebars, notices, adverts, forms and reader comments (told by the template's tags) are
    dropped; if the page has an article, its slots are the text, else the remaining slots of the page.
 
-Text inside an article is always a slot, so articles that many pages repeat stay whole. A host with
-fewer than MIN_PAGES pages has a template of tags only.
+An article whose fixed pieces hold more than half of its characters is itself a repeat (a near copy of
+others, not text between boilerplate) and stays whole. A host with fewer than MIN_PAGES pages has a
+template of tags only, one with fewer distinct articles has none inside them.
 
 Cases: a null or empty html gives an empty text; a null or odd url has no host and no template;
 repeated pages give equal texts; broken markup (unclosed tags, quotes, comments) is read to its
@@ -34,9 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarterline.llm.common import fresh, query, small_batches, table
+from quarterline.session import stored
 
 MIN_PAGES = 3
 MIN_SHARE = 0.5
+#: Tokens of all templates together that may be broadcast; with more, pages are shuffled by host.
+MAX_BROADCAST = 1_000_000
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*+)>?""",
@@ -65,6 +72,8 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 OTHER, MAIN, ARTICLE = 0, 1, 2
+#: Kinds of tokens: tags, text, text inside an article; and the mark of an article itself.
+TAG, TEXT, INSIDE, WHOLE = 0, 1, 2, 3
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -86,11 +95,11 @@ def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
 
 
 class Reader:
-    """One pass over a page: ``blocks`` (text, zone, noise, token) and ``tokens`` (hash, is text)."""
+    """One pass over a page: ``blocks`` (text, zone, noise, token) and ``tokens`` (hash, kind)."""
 
     def __init__(self, html: str, with_tokens: bool):
         self.blocks: list[tuple[str, int, bool, int]] = []
-        self.tokens: list[tuple[int, bool]] = []
+        self.tokens: list[tuple[int, int]] = []
         self.with_tokens = with_tokens
         self.stack: list[tuple[str, int, bool, bool, int]] = []  # tag, zone, noise, can be lifted, path hash
         self.piece: list[str] = []
@@ -105,10 +114,11 @@ class Reader:
             self.piece.clear()
             if text:
                 zone, noise, path = self._state()
+                inside = zone == ARTICLE
                 token = 0
-                if zone != ARTICLE:
-                    token = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), path & 0xFFFFFFFF) >> 1
-                    self.tokens.append((token, True))
+                if self.with_tokens and not (inside and noise):
+                    token = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), (path + inside) & 0xFFFFFFFF) >> 1
+                    self.tokens.append((token, INSIDE if inside else TEXT))
                 self.blocks.append((text, zone, noise, token))
 
     def _pop_to(self, names: set[str], stops: set[str]) -> None:
@@ -145,7 +155,7 @@ class Reader:
         if self.with_tokens:
             path = xxhash.xxh64_intdigest(f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}".encode("utf-8", "surrogatepass"), path & 0xFFFFFFFFFFFFFFFF) >> 1
             if tag not in INLINE:
-                self.tokens.append((path, False))
+                self.tokens.append((path, TAG))
         if tag not in VOID:
             self.stack.append((tag, max(zone, new), noise or own, lift, path))
 
@@ -202,13 +212,18 @@ class Reader:
         self._flush()
 
 
-def page_tokens(html: str | None) -> list[tuple[int, bool, int, int]]:
-    """(token, is text, count, first place) of a page."""
-    tokens = Reader(html or "", True).tokens
-    counts, first = Counter(t for t, _ in tokens), {}
-    for i, (t, text) in enumerate(tokens):
-        first.setdefault(t, (text, i))
-    return [(t, *first[t][:1], c, first[t][1]) for t, c in counts.items()]
+def page_tokens(html: str | None) -> list[tuple[int, int, int, int]]:
+    """(token, kind, count, first place) of a page; one of kind WHOLE names the article by its longest piece."""
+    page = Reader(html or "", True)
+    counts, first = Counter(t for t, _ in page.tokens), {}
+    for i, (t, kind) in enumerate(page.tokens):
+        first.setdefault(t, (kind, i))
+    out = [(t, first[t][0], c, first[t][1]) for t, c in counts.items()]
+    article = [b[0] for b in page.blocks if b[1] == ARTICLE and not b[2]]
+    if article:
+        longest = max(article, key=lambda t: (len(t), t))
+        out.append((xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) >> 1, WHOLE, 1, 0))
+    return out
 
 
 def main_text(html: str | None, classes: list[list[int]]) -> str:
@@ -217,8 +232,6 @@ def main_text(html: str | None, classes: list[list[int]]) -> str:
         return ""
     page = Reader(html, bool(classes))
     zones = {b[1] for b in page.blocks if not b[2]}
-    if ARTICLE in zones:
-        return "\n\n".join(t for t, zone, noise, _ in page.blocks if zone == ARTICLE and not noise)
     place: dict[int, int] = {}
     for i, (t, _) in enumerate(page.tokens):
         place.setdefault(t, i)
@@ -228,7 +241,10 @@ def main_text(html: str | None, classes: list[list[int]]) -> str:
         if -1 not in places and places == sorted(places):  # valid on this page
             fixed_tokens.update(tokens)
     wanted = max(zones, default=OTHER)
-    return "\n\n".join(t for t, zone, noise, token in page.blocks if zone == wanted and not noise and token not in fixed_tokens)
+    blocks = [(t, token in fixed_tokens) for t, zone, noise, token in page.blocks if zone == wanted and not noise]
+    if wanted == ARTICLE and 2 * sum(len(t) for t, fixed in blocks if fixed) > sum(len(t) for t, _ in blocks):
+        return "\n\n".join(t for t, _ in blocks)  # the article itself is a repeat
+    return "\n\n".join(t for t, fixed in blocks if not fixed)
 
 
 def host_of(url) -> F.Column:
@@ -247,18 +263,34 @@ def templates(pages: DataFrame) -> DataFrame:
             out = []
             for host, html in zip(rows["host"], rows["html"]):
                 page = xxhash.xxh64_intdigest((html or "").encode("utf-8", "surrogatepass"))
-                for token, text, count, place in page_tokens(html):
-                    out.append((host, token, text, xxhash.xxh64_intdigest(str(count).encode(), page) >> 1, count, place))
-            yield pd.DataFrame(out, columns=["host", "token", "text", "at", "count", "place"])
+                found = page_tokens(html)
+                article = next((t for t, kind, _, _ in found if kind == WHOLE), 0)
+                for token, kind, count, place in found:
+                    at = xxhash.xxh64_intdigest(str(count).encode(), page) >> 1 if kind < INSIDE else 0
+                    out.append((host, 0 if kind == WHOLE else token, kind, article if kind >= INSIDE else 0, at, count, place))
+            yield pd.DataFrame(out, columns=["host", "token", "kind", "article", "at", "count", "place"])
 
     named = pages.where("host != ''")
-    rows = named.mapInPandas(tokens, "host string, token long, text boolean, at long, count int, place long")
-    low = F.col("at").bitwiseAND(0xFFFFFFFF)
-    found = rows.groupBy("host", "token", "text").agg(
-        F.bit_xor("at").alias("x"), F.sum(low).alias("s"), F.count("*").alias("pages"), F.sum("count").alias("total"), F.avg("place").alias("place"),
+    rows = named.mapInPandas(tokens, "host string, token long, kind int, article long, at long, count int, place long")
+    low = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
+    # Pages that repeat an article become one; of the other tokens, all rows are summed at once.
+    found = rows.groupBy("host", "token", "kind", "article").agg(
+        F.bit_xor("at").alias("x"), F.sum(low("at")).alias("s"), F.count("*").alias("pages"), F.sum("count").alias("total"), F.avg("place").alias("place"),
+    )
+    inside = F.col("kind") >= INSIDE
+    once = lambda x, y: F.when(inside, x).otherwise(F.col(y)).alias(y)
+    each = F.floor(F.col("total") / F.col("pages"))
+    named_by = F.shiftrightunsigned(F.xxhash64("article", each), 1)
+    found = found.select("host", "token", "kind", "place", once(named_by, "x"), once(named_by.bitwiseAND(0xFFFFFFFF), "s"), once(F.lit(1), "pages"), once(each, "total"))
+    found = found.groupBy("host", "token", "kind").agg(
+        F.bit_xor("x").alias("x"), F.sum("s").alias("s"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.avg("place").alias("place"),
     )
     seen = named.groupBy("host").agg(F.count("*").alias("of"))
-    often = found.join(seen, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("of")))
+    found = stored(found.where(F.col("pages") >= MIN_PAGES))  # two reads, one parse
+    articles = found.where(F.col("kind") == WHOLE).select("host", F.col("pages").alias("articles"))
+    enough = F.col("pages") >= MIN_SHARE * F.when(F.col("kind") == INSIDE, F.col("articles")).otherwise(F.col("of"))
+    often = found.where(F.col("kind") != WHOLE).join(seen, "host").join(articles, "host", "left").where(enough)
+    often = often.withColumn("text", F.col("kind") != TAG)
     classes = often.groupBy("host", "x", "s", "pages").agg(
         F.sort_array(F.collect_list(F.struct("place", "token"))).alias("tokens"), F.max("text").alias("fixed"), F.sum("total").alias("total"),
     )
@@ -273,7 +305,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[Dat
     host, of, classes, out = fresh(pages, "host", "of", "classes", "main")
     hosted = pages.withColumn(host, host_of(F.col(f"`{url}`")))
     found = templates(hosted.select(F.col(host).alias("host"), F.col(f"`{html}`").alias("html")))
-    found = found.withColumnsRenamed({"host": of, "classes": classes})
+    found = stored(found).withColumnsRenamed({"host": of, "classes": classes})
+    size = found.agg(F.sum(F.size(F.flatten(classes)) + F.lit(1))).first()[0] or 0
+    found = F.broadcast(found) if size <= MAX_BROADCAST else found
     joined = hosted.join(found, F.col(host) == F.col(of), "left")
 
     def texts(pages_: pd.Series, classes_: pd.Series) -> pd.Series:

@@ -57,3 +57,43 @@ def test_classes_are_equal_vectors(spark):
     fixed = {t for c in out[0].classes for t in c}
     texts = {t for t, is_text, *_ in h.page_tokens(page(99)) if is_text}
     assert len(texts & fixed) == 2
+
+
+STORY = "Somebody saw the thing number {} happen on the day and told us all about it."
+
+
+def inside(i, share="Share this story with friends", host="h.org"):
+    return f"<body><article><h1>Headline {i}</h1><p>{STORY.format(i)}</p><div><p>{share}</p></div></article></body>"
+
+
+def test_host_text_inside_articles_is_template(spark, monkeypatch):
+    rows = [(i, "http://h.org/", inside(i)) for i in range(6)]
+    rows += [(10 + i, "http://same.org/", inside(1)) for i in range(6)]  # one article on all pages
+    rows += [(20 + i, "http://few.org/", inside(i // 3)) for i in range(6)]  # two articles only
+    near = "".join(f"<p>{STORY.format(k)}</p>" for k in range(5))
+    rows += [(30 + i, "http://near.org/", f"<article>{near}<p>{STORY.format(0) * 2} {i}</p></article>") for i in range(6)]
+    made = spark.createDataFrame(rows, "page_id long, url string, html string")
+    done, text = h.extract(made)
+    got = {r.page_id: r[text] for r in done.collect()}
+    monkeypatch.setattr(h, "MAX_BROADCAST", 0)  # shuffled by host, the same texts
+    assert got == {r.page_id: r[text] for r in h.extract(made)[0].collect()}
+    assert all(got[i] == f"Headline {i}\n\n{STORY.format(i)}" for i in range(6))
+    assert all(got[i].endswith("Share this story with friends") for i in [*range(10, 16), *range(20, 26)])
+    assert all(got[30 + i].startswith(STORY.format(0) + "\n\n" + STORY.format(1)) for i in range(6))
+
+
+def test_templates_against_plain_vectors(spark):
+    """Fixed tokens are those of brute-force occurrence vectors, by page outside and by distinct article inside."""
+    pages = [page(i) for i in range(5)] + [inside(i % 4, "Share" if i % 3 else "Other") for i in range(9)]
+    out = h.templates(spark.createDataFrame([("h.org", x) for x in pages], "host string, html string")).collect()
+    on, of = {}, {}
+    for i, x in enumerate(pages):
+        found = h.page_tokens(x)
+        article = next((t for t, kind, *_ in found if kind == h.WHOLE), None)
+        for t, kind, *_ in found:
+            of.setdefault(kind == h.INSIDE, set()).add(article if kind == h.INSIDE else i)
+            on.setdefault((t, kind), set()).add(article if kind == h.INSIDE else i)
+    often = lambda k: len(on[k]) >= max(h.MIN_PAGES, h.MIN_SHARE * (len(of[True]) if k[1] == h.INSIDE else len(pages)))
+    expected = {t for t, kind in on if kind in (h.TEXT, h.INSIDE) and often((t, kind))}
+    texts = {t for t, kind in on if kind in (h.TEXT, h.INSIDE)}
+    assert expected and {t for r in out for c in r.classes for t in c} & texts == expected
