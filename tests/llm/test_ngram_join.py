@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quarterline.llm import ngram_join as j
+from quarterline.llm import graph
 from quarterline.llm.graph import components
 
 
@@ -107,3 +108,19 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_few_and_many_links_give_equal_components(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (9999, 9999)]
+    rng.shuffle(rows)
+    links = spark.createDataFrame(rows, "u long, v long")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        few = sorted(map(tuple, components(links).collect()))
+        assert jobs() <= 8
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert few == sorted(map(tuple, components(links).collect()))
