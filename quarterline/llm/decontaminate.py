@@ -12,7 +12,8 @@ symbols are lower-case words.
    is read by READS repetitions. ``repetitions`` gives how many reach the target recall in that one
    window with the share of its words edited that the distance bound allows of the characters.
 3. Keys of items go into a Bloom filter of fixed size, which is sent to the tasks; document windows
-   that pass it are joined with the items on the key, so any number of items works.
+   that pass it are joined with the items on the key, so any number of items works. A few items
+   (counted) are sent to the tasks, and no window is shuffled.
 4. Each candidate (document, item, place) is verified by the exact edit distance between the item
    and the best-fitting stretch of the text around the window.
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.llm.common import fixed, fresh, kept, lowered, query, small_batches, table
+from quarterline.llm.common import fixed, fresh, lowered, query, small_batches, table
 from quarterline.llm.ngram_join import mixed
 
 #: Edit distance in characters that still counts as the item, as a share of its length.
@@ -57,6 +58,8 @@ PIECE = 1 << 18
 #: Candidates are verified together up to so many characters, and with masks of so many cells.
 VERIFIED = 1 << 22
 MASK_CELLS = 1 << 21
+#: Item keys, and characters beside them, up to which they are sent to the tasks.
+SENT_KEYS, SENT_CHARS = 500_000, 1 << 25
 
 
 def window_sizes(up_to: int) -> list[int]:
@@ -121,16 +124,21 @@ def walk_keys(symbols: np.ndarray, starts: np.ndarray, size: int, walk: int, rea
     places = [sampled_places(size, r) for r in reads]
     keys = [np.full(len(at), mixed(np.array([size * 1009 + r], np.uint64))[0], np.uint64) for r in reads]
     last = max(p[-1] for p in places)
+    moves = np.empty(len(at), np.uint64)
     for j in range(last + 1):
         if j and j % 64 == 0:
             bits = walk_bits(symbols, walk, j)
         here = [k for k, p in zip(keys, places) if j in p]
         if here:
-            part = symbols.take(at) * _odd(j)
+            part = symbols.take(at)
+            part *= _odd(j)
             for k in here:
                 k += part
         if j < last:
-            at += ((bits.take(at) >> np.uint64(j % 64)) & np.uint64(1)).view(np.int64)
+            bits.take(at, out=moves, mode="clip")
+            moves >>= np.uint64(j % 64)
+            moves &= np.uint64(1)
+            at += moves.view(np.int64)
     return keys
 
 
@@ -146,18 +154,12 @@ def window_keys(symbols: np.ndarray, starts: np.ndarray, size: int, repetition:
 
 
 class Symbols:
-    """Word hashes, remembered between texts."""
-
-    def __init__(self, remembered: int = 500_000):
-        self.seen, self.remembered = {}, remembered
+    """Word hashes; 0 is left for the places between texts. Hashing a word takes less than looking it up."""
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.remembered:
-            seen.clear()
-        for w in set(found).difference(seen):
-            seen[w] = xxhash.xxh64_intdigest(w) or 1
-        return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
+        out = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+        out[out == 0] = 1
+        return out
 
 
 def fits(item: str, text: str) -> int:
@@ -362,12 +364,14 @@ def hits_of(texts: list[str | None], sizes: dict[int, int], bloom: np.ndarray, s
                         p = filter_place(keys if ok is None else keys[ok], i)
                         passed = np.flatnonzero((bloom.take(p >> 3) >> (7 - (p & 7)).astype(np.uint8)) & 1)
                         ok = passed if ok is None else ok[passed]
-                    for k in ok:
-                        d = int(np.searchsorted(begin, part[k] + head, side="right")) - 1
-                        at = int(part[k] + head - begin[d])
-                        slack = sizes[size] + sizes[size] // 4 + 2
+                    if not len(ok):
+                        continue
+                    first = part[ok] + head
+                    of = np.searchsorted(begin, first, side="right") - 1
+                    slack = sizes[size] + sizes[size] // 4 + 2
+                    for key, d, at in zip(keys[ok].view(np.int64).tolist(), of.tolist(), (first - begin[of]).tolist()):
                         around = b" ".join(found[d][max(0, at - slack) : at + slack]).decode("utf-8", "surrogatepass")
-                        out[d].append((int(keys[k].view(np.int64)), at, around))
+                        out[d].append((key, at, around))
     return out
 
 
@@ -389,15 +393,19 @@ def find_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     bloom = spark.sparkContext.broadcast(key_filter(keys.select("key")))
 
     def scan(texts: pd.Series) -> pd.Series:
-        return pd.Series(hits_of(list(texts), sizes, bloom.value, kept("symbols", Symbols), max_distance), dtype=object)
+        return pd.Series(hits_of(list(texts), sizes, bloom.value, Symbols(), max_distance), dtype=object)
 
     slim = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("t"))
     hits = slim.select("id", F.sha1("t").alias("digest"), F.explode(F.pandas_udf(scan, _HIT).asNondeterministic()("t")).alias("h"))
-    pairs = hits.select("id", "digest", "h.*").join(keys, "key").select("id", "digest", "item", "at", "around", "wanted")
-    pairs = pairs.dropDuplicates(["id", "digest", "item", "at"])
+    n, chars = keys.agg(F.count("*"), F.coalesce(F.sum(F.length("wanted")), F.lit(0))).first()
+    sent = n <= SENT_KEYS and chars <= SENT_CHARS
+    pairs = hits.select("id", "digest", "h.*").join(F.broadcast(keys) if sent else keys, "key").select("id", "digest", "item", "at", "around", "wanted")
+    same = ["id", "digest", "item", "at", "wanted"]
+    if not sent:  # keys of one window are in different tasks; otherwise they stand beside one another
+        pairs = pairs.dropDuplicates(same)
 
     def verified(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        all_ = pd.concat(rows, ignore_index=True)
+        all_ = pd.concat(rows, ignore_index=True).drop_duplicates(same)
         all_["distance"] = fits_all(all_["wanted"].tolist(), all_["around"].tolist())
         bound = np.floor(all_["wanted"].str.len() * max_distance)
         return all_.loc[all_["distance"] <= bound, ["id", "digest", "item", "at", "distance"]]

@@ -143,3 +143,25 @@ def test_distances_of_a_batch_are_those_of_single_pairs(pairs, cells):
         assert d.fits_all(items, texts).tolist() == [d.fits(a, b) for a, b in zip(items, texts)]
     finally:
         d.MASK_CELLS = before
+
+
+def test_few_items_are_sent_and_no_window_is_shuffled(spark, monkeypatch):
+    items, docs = corpus(0.07)
+    docs = spark.createDataFrame(docs + [(None, docs[0][1]), docs[1]], "doc_id long, text string")
+    items = spark.createDataFrame([*items, (items[0][0], items[1][1])], "item_id long, text string")  # an id with two texts
+
+    def found():
+        rows = d.find_items(docs, items)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        windows = [x for x in plan.splitlines() if "hashpartitioning" in x and ", at#" in x]
+        return sorted(map(str, rows.collect())), len(windows)
+
+    sent, windows = found()
+    monkeypatch.setattr(d, "SENT_KEYS", 0)
+    joined, moved = found()
+    assert sent == joined and len(sent) > 40 and windows == 0 and moved
+
+
+def test_symbols_are_the_words_hashes():
+    words = [b"a", b"b", "é".encode(), b"a"]
+    assert d.Symbols()(words).tolist() == [d.xxhash.xxh64_intdigest(w) for w in words] and not len(d.Symbols()([]))
