@@ -103,6 +103,36 @@ def test_prefixes_of_similar_sets_meet_in_every_order():
                 assert len(np.intersect1d(j.prefix(a, classes, seed, 85), j.prefix(b, classes, seed, 85)))
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_tokens(spark):
+    rng = np.random.default_rng(4)
+    rows, apart = [], []
+    for i in range(300):
+        both = rng.integers(0, 2**63, rng.integers(1, 700)).astype(np.uint64) * np.uint64(2)
+        extra = [np.unique(np.append(both, rng.integers(0, 2**63, rng.integers(0, 1 + len(both) // 5)).astype(np.uint64))) for _ in "ab"]
+        rows.append((i, *[[int(x) for x in j.odd_bits(s)] for s in extra]))
+        apart.append(len(np.setxor1d(*extra)))
+    rows += [(300, [1], [1, 2, 3, 4]), (301, [5, 3], [6])]
+    df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
+    got = {r.i: r.n for r in df.select("i", j.differing_bits("a", "b").alias("n")).collect()}
+    assert all(got[i] <= n for i, n in enumerate(apart)) and any(len(a) != len(b) for _, a, b in rows[:300])
+    assert sum(got[i] >= n / 2 for i, n in enumerate(apart)) > 250
+    assert got[300] is None and got[301] == 0
+
+
+def test_far_pairs_are_dropped_before_their_texts_are_read(spark, monkeypatch):
+    """Pairs that share a start only are told apart by the bitmaps made with the signatures."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    start = [word() for _ in range(12)]
+    docs = [(i, " ".join(start + [word() for _ in range(90)])) for i in range(40)] + [(40, " ".join(start))]
+    docs.append((41, docs[7][1] + " end"))
+    made, details = [], j.Verifier.details
+    monkeypatch.setattr(j.Verifier, "details", lambda self, pairs: (made.append(pairs.count()), details(self, pairs))[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.link_documents(df).collect()} == brute(docs)
+    assert sum(made) <= 3
+
+
 def test_components_of_a_path_and_a_star(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "u long, v long")).collect()}
