@@ -123,3 +123,75 @@ def test_scores_do_not_depend_on_the_splits_of_the_read(spark, tmp_path):
         spark.conf.set(key, before)
     assert found[0].keys() == found[1].keys() == set(range(3000))
     assert all(a == found[1][i] for i, a in found[0].items())
+
+
+def ordered_model(texts, codes=None):
+    leaves, n = np.zeros((2, 1 << lm.WORD_BITS), np.int64), np.zeros(1 << lm.CODE, np.int64)
+    for hashes, place in lm.sequences(texts):
+        lm.add_word_counts(leaves, hashes, place)
+        n += np.bincount(lm.codes_of(hashes), minlength=1 << lm.CODE)
+    counts, nodes = np.stack([lm.node_counts(x, lm.HALF) for x in leaves]), lm.node_counts(n, lm.CODE)
+    alone = np.log((nodes[:, 1] + lm.DELTA) / (nodes[:, 0] + lm.DELTA)).astype(np.float32)
+    sums = np.zeros((lm.WORD_GATES, 12))
+    for hashes, place in lm.sequences(texts, 500):
+        lm.newton_sums(alone, lm.odds_but_one(counts), hashes, place, sums)
+    return {"nodes": alone, "odds": lm.packed_odds(counts), "weights": lm.newton_step(sums)}, sums, counts
+
+
+def test_token_hashes_of_texts_and_of_words_agree():
+    texts = ["The cat sat\x0bon  the mat", " ", None, "a\tb \u00e9 \u00a0Z", "", "x" * 700] * 3
+    found = list(lm.sequences(texts, 20))
+    alone = [lm.hashes_of(lm.tokens(t)) for t in texts]
+    assert (np.concatenate([h for h, _ in found]) == np.concatenate(alone)).all()
+    assert (np.concatenate([p for _, p in found]) == np.concatenate([np.arange(len(x)) for x in alone])).all()
+    assert len(set(lm.hashes_of([b"a", b"b", lm.END]))) == 3
+
+
+def test_codes_after_any_two_words_are_a_distribution():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(60)) for _ in range(200)]
+    model, sums, counts = ordered_model(texts)
+    every = np.arange(1 << lm.CODE, dtype=np.uint64) << np.uint64(64 - lm.CODE)
+    for pair in ([b"a", b"bb"], [b"never", b"seen"], [b"h", b"a"]):
+        hashes = np.stack([np.tile(lm.hashes_of(pair)[:, None], len(every))[0], np.tile(lm.hashes_of(pair)[:, None], len(every))[1], every], 1).ravel()
+        got = lm.code_scores(model, hashes, np.tile([0, 1, 2], len(every)))
+        assert got[2::3].sum() == pytest.approx(1, abs=1e-5) and got[1] == got[4]
+    # slopes and curvatures by a plain loop over tokens and bits
+    slow = np.zeros_like(sums)
+    for text in texts:
+        h = lm.hashes_of(lm.tokens(text))
+        for d, node, bit, slots in lm.word_bits(h, np.arange(len(h))):
+            for t in range(len(h)):
+                x, gate = [float(model["nodes"][node[t]])], d
+                for i in range(2):
+                    n = counts[i][slots[i][t]] - ([0, 1] if bit[t] else [1, 0])
+                    x.append(round(max(-12, min(12, math.log((n[1] + lm.DELTA) / (n[0] + lm.DELTA)))) * 512) / 512)
+                    gate = gate * 4 + sum(int(n.sum()) > k for k in (0, 3, 31))
+                p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, lm.WORD_START))))
+                slow[gate] += [*((bit[t] - p) * np.array(x)), *(p * (1 - p) * np.outer(x, x)).ravel()]
+    np.testing.assert_allclose(sums, slow, rtol=2e-3, atol=0.05)
+
+
+def test_the_order_of_words_is_learned(spark):
+    """A held-out text in the order of the training texts beats the same words shuffled; both did score alike."""
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(60)]
+    after = {w: rng.sample(names, 2) for w in names}
+
+    def walk(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(walk(80)), False) for i in range(400)]
+    tests = [walk(80) for _ in range(20)]
+    rows += [(1000 + i, " ".join(w), True) for i, w in enumerate(tests)]
+    rows += [(2000 + i, " ".join(rng.sample(w, len(w))), True) for i, w in enumerate(tests)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in lm.score(df, lang=None, held_out=F.col("held")).collect()}
+    assert all(got[1000 + i].base_score == pytest.approx(got[2000 + i].base_score) for i in range(20))
+    bits = lambda k: sum(got[k + i].bits_per_byte for i in range(20)) / 20
+    assert bits(1000) < 0.7 * bits(2000)
